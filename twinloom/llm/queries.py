@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, mixing, sentence_spans, suffix_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, html_text, language_id, mixing, near_dedup, sentence_spans, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,31 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), kept_bytes=False)
+
+
+@query(
+    r"""
+    with recursive words as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+    ), sets as (
+      select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i : i + 4], ' ') end as s
+      from words, lateral unnest(range(1, greatest(2, len(w) - 3))) as r(i) where len(w) > 0
+    ), sizes as (select doc_id, count(*) as n from sets group by doc_id
+    ), pairs as (
+      select a.doc_id as a, b.doc_id as b, count(*) as common from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all
+    ), links as (
+      select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 75 * (x.n + y.n - common)
+    ), edges as (select a, b from links union select b, a from links
+    ), reach as (select a as doc_id, a as other from edges union select r.doc_id, e.b from reach r join edges e on e.a = r.other
+    ), low as (select doc_id, min(other) as component_id from reach group by doc_id)
+    select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(l.component_id, d.doc_id) as component_id, coalesce(l.component_id, d.doc_id) = d.doc_id as kept
+    from documents d left join sizes s using (doc_id) left join low l using (doc_id)
+    """
+)
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
