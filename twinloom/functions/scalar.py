@@ -165,9 +165,9 @@ def parse_probe(body: Column) -> Column:
         raw = F.lower(F.trim(F.coalesce(F.try_element_at(s["tags"], F.lit("language")), F.try_element_at(s["tags"], F.lit("LANGUAGE")))))
         return F.struct(F.coalesce(number(s["index"]).cast("int"), F.lit(0)).alias("index"), F.when(~raw.isin(*UNKNOWN_LANGUAGES), raw).alias("lang_tag"), s["codec_name"].alias("codec"), number(s["channels"]).cast("int").alias("channels"))
 
-    rate = F.coalesce(number(video["bit_rate"]), number(found["format.bit_rate"]))
+    rate = F.coalesce(number(video["bit_rate"]), number(found["format"]["bit_rate"]))
     return F.struct(
-        F.coalesce(found["format.duration"].try_cast("double"), video["duration"].try_cast("double"), F.lit(0.0)).alias("duration_s"),
+        F.coalesce(found["format"]["duration"].try_cast("double"), video["duration"].try_cast("double"), F.lit(0.0)).alias("duration_s"),
         F.coalesce(number(video["width"]).cast("int"), F.lit(0)).alias("width"), F.coalesce(number(video["height"]).cast("int"), F.lit(0)).alias("height"),
         F.coalesce(video["codec_name"], F.lit("")).alias("vcodec"), F.floor(rate / 1000).cast("long").alias("bitrate_kbps"),
         F.transform(F.filter(streams, lambda s: s["codec_type"] == "audio"), track).alias("audio_tracks"),

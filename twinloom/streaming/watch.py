@@ -21,8 +21,13 @@ def ingest(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, per_batch: int = 4, newest_first: bool = True, kind: str = "parquet") -> DataFrame:
-    """New files of a folder, newest first, at most per_batch a micro-batch."""
-    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_batch).option("latestFirst", str(newest_first).lower()).load(folder)
+    """New files of a folder (or the one file of that name), newest first, at most per_batch a micro-batch."""
+    reader = spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_batch).option("latestFirst", str(newest_first).lower())
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where) and fs.getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", where.getName()).load(where.getParent().toString())
+    return reader.load(folder)
 
 
 def fast_lane(events: DataFrame, path: str = "path", ts: str = "ts") -> DataFrame:
