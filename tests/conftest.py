@@ -16,7 +16,7 @@ def spark():
     scratch = tempfile.mkdtemp(prefix="twinloom-test-")
     os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
     session = (
-        SparkSession.builder.master("local[8]").appName("tests")
+        SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse").config("spark.checkpoint.dir", f"{scratch}/checkpoint")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 
-POINTER = "_current"
+POINTER = "CURRENT"
 
 
 # --- plans ------------------------------------------------------------------
