@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from .common import block_count, text_bytes
 DEPTH = 50
 GRAM = 16
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 CHUNK = 1 << 20
 HOT = 4096
 NAMELESS = np.iinfo(np.int64).max
@@ -121,6 +122,10 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(values: np.ndarray | bytes, codec: zstandard.ZstdCompressor) -> bytes:
+    return codec.compress(values if isinstance(values, bytes) else values.tobytes())
+
+
 def _binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
@@ -202,10 +207,12 @@ def _run_rows(key: tuple, left: pa.Table, right: pa.Table, depth: int, buckets:
         if sends:
             for b, x in zip(_bucket(np.array([s[0] for s in sends], np.uint64), buckets).tolist(), sends, strict=True):
                 by.setdefault(b, []).append(x)
+        codec = zstandard.ZstdCompressor(level=1)
         for b, xs in by.items():
-            out.append((b, np.array([(x[1], x[2]) for x in xs], np.int64).tobytes(), np.array([x[3] for x in xs], np.int64).tobytes(), np.array([x[4] for x in xs], np.int64).tobytes(), np.array([x[0] for x in xs], np.uint64).tobytes(), b"".join(x[5] for x in xs), b""))
+            places = np.array([x[1:5] for x in xs], np.int64).T  # identifiers, documents, first windows, numbers of windows
+            out.append((b, _packed(places[:2], codec), _packed(places[2], codec), _packed(places[3], codec), np.array([x[0] for x in xs], np.uint64).tobytes(), _packed(b"".join(x[5] for x in xs), codec), b""))
         if marked:
-            out.append((number % buckets, b"", b"", b"", b"", b"", _united(np.array(marked, np.int64)).tobytes()))
+            out.append((number % buckets, b"", b"", b"", b"", b"", _packed(_united(np.array(marked, np.int64)), codec)))
     columns = list(zip(*out, strict=True)) or [()] * 7
     return pa.table({"bucket": pa.array(columns[0], pa.int64()), "blk": pa.array([number] * len(out), pa.int64()), **{n: _binary(list(c)) for n, c in zip(("ids", "at", "n", "keys", "body", "own"), columns[1:], strict=True)}})
 
@@ -252,13 +259,14 @@ def _marks(table: pa.Table, depth: int) -> pa.Table:
     """Pass 2, a bucket's side: the marked spans of each block's rows."""
     spans: dict[int, list[np.ndarray]] = {}
     blks, ids, docs, ats, ns, keys, bodies = [], [], [], [], [], [], []
+    opened = zstandard.ZstdDecompressor().decompress
     for blk, row_ids, at, n, key, body, own in zip(table.column("blk").to_pylist(), *(table.column(c) for c in ("ids", "at", "n", "keys", "body", "own")), strict=True):
         if len(o := own.as_py()):
-            spans.setdefault(blk, []).append(np.frombuffer(o, np.int64).reshape(-1, 3))
+            spans.setdefault(blk, []).append(np.frombuffer(opened(o), np.int64).reshape(-1, 3))
             continue
-        pairs = np.frombuffer(row_ids.as_py(), np.int64).reshape(-1, 2)
-        ids.append(pairs[:, 0]), docs.append(pairs[:, 1]), ats.append(np.frombuffer(at.as_py(), np.int64)), ns.append(np.frombuffer(n.as_py(), np.int64)), keys.append(np.frombuffer(key.as_py(), np.uint64)), bodies.append(body.as_py())
-        blks.append(np.full(len(pairs), blk, np.int64))
+        pairs = np.frombuffer(opened(row_ids.as_py()), np.int64).reshape(2, -1)
+        ids.append(pairs[0]), docs.append(pairs[1]), ats.append(np.frombuffer(opened(at.as_py()), np.int64)), ns.append(np.frombuffer(opened(n.as_py()), np.int64)), keys.append(np.frombuffer(key.as_py(), np.uint64)), bodies.append(opened(body.as_py()))
+        blks.append(np.full(pairs.shape[1], blk, np.int64))
     if ids:
         blk, ids, doc, at, n, key = (np.concatenate(x) for x in (blks, ids, docs, ats, ns, keys))
         raw = b"".join(bodies) + bytes(8)
@@ -339,7 +347,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     depth: bytes of a window, at least 24.
     """
     total = text_bytes(docs, text)
-    blocks, buckets = block_count(total, BLOCK_BYTES), block_count(total, BUCKET_BYTES) * 2
+    blocks, buckets = block_count(total, BLOCK_BYTES), block_count(total, BUCKET_BYTES)
     width = min(8, max(4, -(-(max(1, total // 16).bit_length() + 8) // 8)))
     place = F.pmod(F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.xxhash64(text)), F.lit(blocks))
     rows = docs.select(place.alias("blk"), F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("body")).repartition("blk")
