@@ -14,7 +14,11 @@ TH = Thresholds()
 
 
 def comps(spark, edges):
-    return {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    """By union-find in one task and by rounds of joins."""
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, many = ({r.id: r.component for r in components(df, small=n).collect()} for n in (10**6, -1))
+    assert one == many
+    return one
 
 
 @pytest.mark.parametrize(
