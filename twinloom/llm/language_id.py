@@ -66,7 +66,7 @@ class Model:
             for i, found in enumerate(tokens.values()):
                 for language, n in found.items():
                     table[i, place[language]] = n
-            logs = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * max(1, len(tokens))))
+            logs = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * (len(tokens) + 1)))
             logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
             self.tables[order] = {x: len(rows) + i for i, x in enumerate(tokens)}
             rows.extend(logs.astype(np.float32))

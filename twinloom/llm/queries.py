@@ -99,7 +99,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query()
+@query(
+    r"""
+    with docs as (select doc_id, strlen(coalesce(text, '')) as n, hex(encode(coalesce(text, ''))) as h from documents),
+    windows as (select doc_id, i, substr(h, 2 * i + 1, 100) as w from docs, lateral unnest(range(0, greatest(0, n - 49))) as t(i)),
+    firsts as (select w, min(doc_id) as low from windows group by w having min(doc_id) < max(doc_id)),
+    hits as (select doc_id, i from windows join firsts using (w) where doc_id > low),
+    marked as (select *, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as opens from hits),
+    numbered as (select *, sum(opens) over (partition by doc_id order by i) as k from marked),
+    spans as (select doc_id, k, min(i) as a, max(i) + 50 as b from numbered group by all),
+    pieces as (select doc_id, k, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
+    cut as (select p.doc_id, sum(b - a) as removed, count(*) as spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from pieces p join docs d on d.doc_id = p.doc_id group by p.doc_id)
+    select doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from docs left join cut using (doc_id)
+    """
+)
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), kept_bytes=False)
 

@@ -45,6 +45,8 @@ def path_of(url: Column) -> Column:
 
 def listed(rows: DataFrame, rules: dict[str, str], host: str = "host", path: str = "path") -> DataFrame:
     """Adds `rule` (the longest fitting one, else null) and `listed` (its verdict). rules: 'host/path' -> verdict."""
+    if not rules:
+        return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("listed", F.lit(None).cast("string"))
     by_host: dict[str, list[tuple[str, str]]] = {}
     for rule in rules:
         name, slash, rest = rule.partition("/")
@@ -56,7 +58,6 @@ def listed(rows: DataFrame, rules: dict[str, str], host: str = "host", path: str
     entry = "array<struct<rule:string,path:string>>"
     index = F.create_map(*[x for name, own in by_host.items() for x in (F.lit(name), F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(p).alias("path")) for r, p in own]).cast(entry))])
     known = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
-
     found = F.flatten(F.transform(F.filter(suffixes, lambda s: F.map_contains_key(index, s)), lambda s: index[s]))
     fits = F.filter(found, lambda r: F.col(path).startswith(r["path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"))))["rule"]
