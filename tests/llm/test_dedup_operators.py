@@ -204,7 +204,7 @@ def plain_spans(rows, least=sentence_spans.MIN_SENTENCES, words=sentence_spans.M
                     break
     out = []
     for i, p in parts:
-        gone = {k for j, a, b in found if j == i for k in range(a, b)}
+        gone = {k for j, a, b in found if j == i and i is not None for k in range(a, b)}
         out.append((i, "".join(x for k, x in enumerate(p) if k not in gone), len(p), len([k for k in gone if k < len(p)])))
     return sorted(out, key=repr)
 

@@ -13,7 +13,7 @@ only hashes that repeat are joined back, per (hash, salt), so a passage that a t
 SALTS tasks. Texts are shuffled once, to meet the positions of their removed sentences.
 
 Edge cases: a null text counts as empty, and its kept text is ''; equal rows with equal identifiers are occurrences at the same
-place, so all of them are first; rows without identifier come last in the order; a text without sentence ends is one sentence;
+place, so all of them are first; rows without identifier come last in the order and lose nothing; a text without sentence ends is one sentence;
 an empty table gives an empty result; further columns of the input are not looked at.
 """
 
