@@ -157,3 +157,47 @@ def test_settled_and_removals(spark):
     p = lambda *x: spark.createDataFrame([(v,) for v in x], "path string")
     got = watch.removals(p("/r/a", "/r/b"), p("/r/a", "/r/b", "/r/c", "/off/d"), p("/r/b"), ["/r"])
     assert sorted(r.path for r in got.collect()) == ["/r/a", "/r/c"]
+
+
+def test_prune_reachable_and_fixes(spark, tmp_path):
+    from twinloom.operators.store import prune_missing, quality_fix, reachable, repair_accepted
+
+    s = Store(spark, str(tmp_path / "store"))
+    root = str(tmp_path)
+    s.save_files(files(spark, f"{root}/a", f"{root}/b", "/offline/c").withColumn("audio_coverage", F.lit(0.4)))
+    s.upsert("problems", spark.createDataFrame([(f"{root}/z", "x")], "path string, error string"))
+    roots = reachable(spark, [root, "/offline"])
+    assert roots == [root]
+    listing = spark.createDataFrame([(f"{root}/a",)], "path string")
+    assert prune_missing(s, listing, roots) == {"files": 1, "problems": 1}
+    assert {r.path for r in s.read("files").collect()} == {f"{root}/a", "/offline/c"}
+    quality_fix(s, listing, "override")
+    assert [r.path for r in s.read("overrides").collect()] == [f"{root}/a"]
+    quality_fix(s, listing, "recheck")
+    assert s.read("overrides").count() == 0 and {r.path: r.audio_coverage for r in s.read("files").collect()} == {f"{root}/a": None, "/offline/c": 0.4}
+    with pytest.raises(ValueError):
+        quality_fix(s, listing, "?")
+    got = spark.createDataFrame([(10.0, 12.0), (10.0, 12.1), (1000.0, 1019.0)], "a double, b double").select(repair_accepted(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, True]
+
+
+def test_thresholds_from_files(tmp_path):
+    from twinloom import config
+
+    base, own = tmp_path / "base.json", str(tmp_path / "own.json")
+    base.write_text('{"theta_v": 0.6, "theta_a": 0.7}')
+    assert config.load(str(base), own).theta_v == 0.6
+    assert config.save_override(own, theta_v=0.9).theta_v == 0.9
+    both = config.load(str(base), own)
+    assert (both.theta_v, both.theta_a) == (0.9, 0.7) and config.load("missing") == config.Thresholds()
+    with pytest.raises(TypeError):
+        config.save_override(own, nonsense=1)
+    assert config.load(override=own).theta_v == 0.9
+
+
+def test_titles_and_deletables(spark):
+    from twinloom.functions import scalar as S
+
+    rows = spark.createDataFrame([("/x/B.mkv", ["/x/A.mkv", "/x/B.mkv"]), (None, ["/x/D.mkv", "/x/C.mkv"])], "keep string, members array<string>")
+    got = rows.select(S.cluster_title(F.col("keep"), F.col("members")).alias("t"), S.deletable(F.col("members"), F.col("keep")).alias("d")).collect()
+    assert [(r.t, r.d) for r in got] == [("B", ["/x/A.mkv"]), ("C", [])]

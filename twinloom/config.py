@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import asdict, dataclass, replace
 
 
@@ -71,3 +72,27 @@ def fingerprint(th: Thresholds, feature_version: str = MODEL_VERSION) -> str:
 
 def feature_version(model: str, dim: int, fps: float, audio_cap_s: float, scene_mode: str) -> str:
     return f"{model}|d{dim}|fps{fps:g}|audio{audio_cap_s:g}|{scene_mode}"
+
+
+def load(default: str | None = None, override: str | None = None) -> Thresholds:
+    """Thresholds from JSON files of fields; the override's fields win over the default file's, and both over the built-in ones.
+    Files that are missing count as empty; an unknown field is an error."""
+    values: dict[str, float] = {}
+    for path in (default, override):
+        if path and os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                values |= json.load(f)
+    return Thresholds(**values)
+
+
+def save_override(path: str, **values: float) -> Thresholds:
+    """Adds fields to an override file, written whole and then renamed; the thresholds that now hold."""
+    known: dict[str, float] = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f)
+    Thresholds(**(known | values))  # fields are checked before anything is written
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        json.dump(known | values, f, sort_keys=True)
+    os.replace(f"{path}.new", path)
+    return load(override=path)

@@ -275,3 +275,19 @@ def audio_note(coverage: Column, duration: Column, ok: float) -> Column:
 
 def notification(title: Column, copies: Column, keep: Column) -> Column:
     return F.format_string("%s: %d copies, keep %s", title, copies, keep)
+
+
+def problem_text(error: Column, note: Column, category: Column, coverage: Column, duration: Column) -> Column:
+    """Why a file is listed: the repair note over the error; for an audio warning, the minutes that are silent."""
+    silent = F.round((1 - coverage) * duration / 60).cast("long")
+    return F.coalesce(note, error, F.when(coverage < 0.85, F.concat(F.lit("audio missing for about "), silent.cast("string"), F.lit(" min"))), category)
+
+
+def cluster_title(keep: Column, members: Column) -> Column:
+    """The kept file's title, or the first member's."""
+    return clean_title(F.coalesce(keep, F.element_at(F.sort_array(members), 1)))
+
+
+def deletable(members: Column, keep: Column) -> Column:
+    """Members that may go: all but the kept one, and none while nothing is kept."""
+    return F.when(keep.isNull(), F.array().cast("array<string>")).otherwise(F.filter(members, lambda m: m != keep))

@@ -121,3 +121,28 @@ def without_pairs(pairs: DataFrame, vetoes: DataFrame) -> DataFrame:
     """Pairs, in whatever order of ends, that are not vetoed."""
     no = canonical(vetoes).select(F.col("a").alias("va"), F.col("b").alias("vb"))
     return pairs.join(no, (F.least("a", "b") == F.col("va")) & (F.greatest("a", "b") == F.col("vb")), "left_anti")
+
+
+def existing(pairs: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
+    """Pairs both of whose ends are still listed."""
+    own = listing.select(F.col(path).alias("_p")).distinct()
+    return pairs.join(own, F.col("a") == F.col("_p"), "left_semi").join(own, F.col("b") == F.col("_p"), "left_semi")
+
+
+def label_candidates(items: DataFrame, decided: DataFrame, key: str = "path", title: str = "title", duration: str = "duration", most: int = 4, tolerance: float = 0.02) -> DataFrame:
+    """(a, b, kind) of undecided pairs worth a label: `recall` for equal titles of two to `most` items, `negative` for like
+    durations (difference over the longer below the tolerance) with other titles."""
+    own = items.select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(duration).cast("double").alias("d"))
+    few = own.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most)).select("t")
+    named = own.join(few, "t")
+    same = named.select("t", F.col("k").alias("a")).join(named.select("t", F.col("k").alias("b")), "t").filter("a < b").select("a", "b", F.lit("recall").alias("kind"))
+    info = lambda s: own.select(F.col("k").alias(s), F.col("t").alias(f"t{s}"), F.col("d").alias(f"d{s}"))
+    near = canonical(duration_pairs(own, "k", "d", tolerance)).join(info("a"), "a").join(info("b"), "b")
+    near = near.filter((F.col("ta") != F.col("tb")) & (F.abs(F.col("da") - F.col("db")) < F.greatest("da", "db") * tolerance)).select("a", "b", F.lit("negative").alias("kind"))
+    return without_pairs(same.union(near), decided)
+
+
+def strided(items: DataFrame, prefix: str, step: int, key: str = "path") -> DataFrame:
+    """Every step-th path below a prefix, in order of the path. A sample for profiling."""
+    own = items.filter(F.col(key).startswith(prefix))
+    return own.withColumn("_r", F.row_number().over(W.orderBy(key))).filter((F.col("_r") - 1) % step == 0).drop("_r")

@@ -82,3 +82,14 @@ def redecide(matches: DataFrame, th: Thresholds) -> tuple[DataFrame, DataFrame]:
     known = matches.filter(F.col("v_score").isNotNull())
     new = known.drop("verdict", "confidence", "tier").withColumn("_d", decision(th, have=have)).select("*", "_d.*").drop("_d")
     return new.filter("verdict <> 'DIFFERENT'"), new.filter("verdict = 'DIFFERENT'").select("a", "b")
+
+
+def feedback_signals(feedback: DataFrame, matches: DataFrame, recompute) -> DataFrame:
+    """Labelled signals of feedback (a, b, label): from the stored match where there is one, else from recompute(pairs), which gives
+    (a, b, signal columns) for what it can; pairs without either are left out. Signal columns are those of a labelled signal."""
+    columns = ["a_score", "v_score", "v_coverage", "superset", "s_score"]
+    own = feedback.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "label")
+    stored = matches.filter(F.col("v_score").isNotNull()).select("a", "b", *columns)
+    known = own.join(stored, ["a", "b"])
+    orphans = own.join(stored.select("a", "b"), ["a", "b"], "left_anti")
+    return known.unionByName(orphans.join(recompute(orphans.select("a", "b")).select("a", "b", *columns), ["a", "b"]))

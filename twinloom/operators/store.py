@@ -196,3 +196,48 @@ class Store:
 
         new = pairs.select(pair_digest(F.col("a"), F.col("b")).alias("pair_hash"), F.lit(version).alias("fingerprint")).distinct()
         self.replace("ledger", upserted(self.ledger(version), new, ["pair_hash"]))
+
+
+def prune_missing(store: Store, listing: DataFrame, roots: list[str]) -> dict[str, int]:
+    """Takes files and problems that are gone from reachable roots out of the store; how many of each."""
+    from ..sources.scratch import materialise
+
+    counts = {}
+    for table in ("files", "problems"):
+        gone = materialise(orphans(store.read(table), listing, roots), "gone")
+        counts[table] = gone.count()
+        if counts[table] and table == "files":
+            store.forget(gone)
+        elif counts[table]:
+            store.replace(table, without_paths(store.read(table), gone, ["path"]))
+    return counts
+
+
+def reachable(spark: SparkSession, roots: list[str]) -> list[str]:
+    """Roots that can be listed now; what is below the others is not known to be gone."""
+    out = []
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            out.append(root)
+    return out
+
+
+def quality_fix(store: Store, paths: DataFrame, mode: str, kind: str = "audio") -> None:
+    """What a user decides about a quality warning: `override` (it is fine), `restore` (take that back), `recheck` (measure anew)."""
+    own = paths.select("path").distinct()
+    if mode == "override":
+        store.upsert("overrides", store.read("files").join(own, "path", "left_semi").select("path", F.lit(kind).alias("kind"), "mtime", "size"))
+        return
+    overrides = store.read("overrides")
+    store.replace("overrides", overrides.filter(F.col("kind") == kind).join(own, "path", "left_anti").unionByName(overrides.filter(F.col("kind") != kind)))
+    if mode == "recheck":
+        files = store.read("files").join(own.withColumn("_again", F.lit(True)), "path", "left")
+        store.replace("files", files.withColumn("audio_coverage", F.when(F.col("_again").isNull(), F.col("audio_coverage"))).drop("_again"))
+    elif mode != "restore":
+        raise ValueError(f"unknown mode {mode}")
+
+
+def repair_accepted(before: Column, after: Column) -> Column:
+    """Whether a remuxed file's duration is the original's, give or take two seconds or 2%."""
+    return F.abs(after - before) <= F.greatest(F.lit(2.0), before * 0.02)

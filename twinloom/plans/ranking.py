@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..functions import scalar as S
-from ..operators import calibrate, rank, views
+from ..operators import blocking, calibrate, rank, summaries, views
 from ..sources import media
 from ..sources.scratch import scratch_path
 from ..streaming import watch
@@ -100,14 +100,7 @@ def cam_score(spark, sf):
 )
 def color_stats(spark, sf):
     px = table(spark, sf, "embeddings").select(F.col("label").alias("path"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(*[(F.abs(F.get("embedding", i * 3 + j).cast("double")) * 255).alias(c) for j, c in enumerate("rgb")]))).alias("p")).select("path", "p.*")
-    return color_descriptor(px).select("path", *[F.round(c, 6).alias(c) for c in ("clip", "cast_", "saturation", "contrast")])
-
-
-def color_descriptor(px):
-    """Colour statistics of pixel rows (path, r, g, b): clipped share, spread of channel means, saturation, contrast."""
-    luma, mx, mn = F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114, F.greatest("r", "g", "b"), F.least("r", "g", "b")
-    means = [F.avg(c) for c in "rgb"]
-    return px.groupBy("path").agg(F.avg(F.when((luma < 5) | (luma > 250), 1.0).otherwise(0.0)).alias("clip"), ((F.greatest(*means) - F.least(*means)) / 255.0).alias("cast_"), F.avg((mx - mn) / (mx + 1e-6)).alias("saturation"), F.stddev_pop(luma / 255.0).alias("contrast"))
+    return summaries.color_descriptor(px).select("path", *[F.round(c, 6).alias(c) for c in ("clip", "cast_", "saturation", "contrast")])
 
 
 @query(
@@ -120,16 +113,7 @@ def color_descriptor(px):
 def lang_vote(spark, sf):
     n = F.length("text")
     votes = table(spark, sf, "conversations").select("conv_id", "turn", F.when(n % 5 == 0, "unknown").when(n % 3 == 0, "spa").when(n % 3 == 1, "eng").otherwise("fre").alias("lang"), (n % 101 / 100.0).alias("prob"))
-    return language_vote(votes).select("conv_id", "lang", F.round("confidence", 9).alias("confidence"))
-
-
-def language_vote(votes):
-    """(conv_id, lang, confidence): the language with the greatest sum of probabilities, the earliest of equal ones, and its mean.
-
-    Sums are of whole hundredths, so that their order does not depend on the order of addition."""
-    sums = votes.filter("lang <> 'unknown'").groupBy("conv_id", "lang").agg(F.sum(F.round(F.col("prob") * 100).cast("long")).alias("total"), F.avg("prob").alias("confidence"), F.min("turn").alias("first"))
-    best = F.min_by(F.struct("lang", "confidence"), F.struct(-F.col("total"), "first")).alias("v")
-    return sums.groupBy("conv_id").agg(best).select("conv_id", "v.lang", "v.confidence")
+    return summaries.language_vote(votes, "conv_id").select("conv_id", "lang", F.round("confidence", 9).alias("confidence"))
 
 
 # --- calibration ------------------------------------------------------------
@@ -245,6 +229,72 @@ def label_sheet(spark, sf):
     return media.label_sheet(m, {"O": 20, "F": 15, "P": 6}).select("a", "b", "verdict")
 
 
+@query("with p as (select user_id as path, event_id % 12 as point, max(case when value > 50 then null else -value * 2 end) as db from events group by all) select path, coalesce(avg(case when db is not null then (case when db > -60 then 1.0 else 0.0 end) end), 1.0) as audio_coverage from p group by 1")
+def presence(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), (F.col("event_id") % 12).alias("point"), F.lit(0).alias("stream"), F.when(F.col("value") <= 50, -F.col("value") * 2).alias("db"))
+    return summaries.presence(e, "path")
+
+
+@query("select user_id as path, epoch_us(ts) // 1000000 as start, epoch_us(ts) // 1000000 + event_id % 40 as end_ from events qualify row_number() over (partition by user_id order by event_id % 40 desc, epoch_us(ts) // 1000000) = 1")
+def longest_speech(spark, sf):
+    start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), start.alias("start"), (start + F.col("event_id") % 40).alias("end"))
+    return summaries.longest_segment(e, "path").withColumnRenamed("end", "end_")
+
+
+@query("select o_orderkey, round(sum(o_totalprice) over (partition by o_orderpriority order by o_orderkey rows between unbounded preceding and current row) / sum(o_totalprice) over (partition by o_orderpriority), 6) as done from orders")
+def repair_progress(spark, sf):
+    return summaries.progress(table(spark, sf, "orders"), "o_orderpriority", "o_orderkey", "o_totalprice").select("o_orderkey", F.round("done", 6).alias("done"))
+
+
+@query("select event_type, round(median(value), 6) as median, count(*) as n from events group by 1")
+def probe_latency(spark, sf):
+    return summaries.latency(table(spark, sf, "events"), "event_type", "value").select("event_type", F.round("median", 6).alias("median"), "n")
+
+
+@query(
+    """
+    with i as (select doc_id as k, n_chars // 3 as t, n_chars::double as d from documents where doc_id < 400), few as (select t from i group by t having count(*) between 2 and 4),
+    p as (select x.k as a, y.k as b, 'recall' as kind from i x join i y using (t) join few using (t) where x.k < y.k union all select x.k, y.k, 'negative' from i x, i y where x.k < y.k and x.t <> y.t and abs(x.d - y.d) < greatest(x.d, y.d) * 0.02::double)
+    select * from p where a % 5 <> 0
+    """
+)
+def label_candidates(spark, sf):
+    items = table(spark, sf, "documents").filter("doc_id < 400").select(F.col("doc_id").alias("path"), F.floor(F.col("n_chars") / 3).alias("title"), F.col("n_chars").alias("duration"))
+    found = blocking.label_candidates(items, spark.createDataFrame([], "a bigint, b bigint"))
+    return blocking.without_pairs(found, found.filter("a % 5 = 0").select("a", "b"))
+
+
+@query("with p as (select p_name || '/' || p_partkey as path from part) select path from (select path, row_number() over (order by path) as r from p where path like 'red%') where (r - 1) % 7 = 0")
+def profile_sample(spark, sf):
+    return blocking.strided(table(spark, sf, "part").select(F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("path")), "red", 7)
+
+
+@query("select o_orderkey as a, o_custkey as b from orders where o_orderkey % 3 <> 0 and o_custkey % 3 <> 0 and o_orderkey < 2000 and o_custkey < 2000")
+def surviving_pairs(spark, sf):
+    pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
+    return blocking.existing(pairs, spark.range(2000).filter("id % 3 <> 0").withColumnRenamed("id", "path"))
+
+
+@query(f"with {_LABELLED_SQL} select k, label, case when k % 4 = 0 then 0.5 else v_score end as v_score from labelled where k % 12 <> 0")
+def feedback_signals(spark, sf):
+    own = labelled(spark, sf).withColumn("a", F.col("k")).withColumn("b", F.col("k") + 1)
+    again = own.filter("k % 4 = 0 and k % 12 <> 0").withColumn("v_score", F.lit(0.5))
+    return calibrate.feedback_signals(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "label"), own.filter("k % 4 <> 0"), lambda pairs: again).select(F.col("a").alias("k"), "label", "v_score")
+
+
+@query(
+    r"""
+    select doc_id, 'Film ' || doc_id as title, 'Film.' || doc_id || '.1080p.mkv' as name, round(n_chars / 1048576.0, 1) as size_mb, case when doc_id % 2 = 0 then 'note' when doc_id % 3 = 0 then 'probe failed' when doc_id % 20 < 17 then 'audio missing for about ' || cast(round((1 - (doc_id % 20) / 20.0::double) * n_chars / 60) as bigint) || ' min' else 'corrupt' end as reason from documents
+    """
+)
+def problem_rows(spark, sf):
+    path = F.concat(F.lit("/m/Film."), F.col("doc_id").cast("string"), F.lit(".1080p.mkv"))
+    rows = table(spark, sf, "documents").select("doc_id", path.alias("path"), F.col("n_chars").alias("size"), F.when(F.col("doc_id") % 2 == 0, "note").alias("repair_note"), F.when(F.col("doc_id") % 3 == 0, "probe failed").alias("e"))
+    why = S.problem_text(F.col("e"), F.col("repair_note"), F.lit("corrupt"), F.col("doc_id") % 20 / 20.0, F.col("size"))
+    return media.problem_export(rows.withColumn("error", why)).withColumn("doc_id", F.regexp_extract("name", r"\.(\d+)\.", 1).cast("long")).select("doc_id", "title", "name", "size_mb", "reason")
+
+
 # --- incremental ------------------------------------------------------------
 
 
