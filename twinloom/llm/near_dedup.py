@@ -7,10 +7,12 @@
 3. Candidates that agree in a band are screened by their sizes and sketches, and confirmed on the full sets of shingles,
    computed anew from their texts. Nothing is linked by an estimate.
 4. Links are found in rounds, so that a large group costs one confirmed link a document and not all its pairs: first each
-   document with the first one of its bands; then, in bands that still hold several components, one document of each component
-   with the first; at last every remaining pair of different components in a band. Pairs within a component change nothing.
-   A band that many components share (a passage that countless documents hold) is not expanded into pairs: its documents are
-   joined exactly by prefix filtering, where two sets can only be similar if they share one of their rarest shingles.
+   document with the most popular one of its bands (that whose bands hold the most documents, which is the likely origin of
+   copies); then one document of each component with the most popular one of another component; at last every remaining pair
+   of different components in a band. Pairs within a component change nothing. A band that many components share (a passage
+   that countless documents hold, copies that were changed too much) is not expanded into pairs: its documents are joined
+   exactly by prefix filtering, where two sets can only be similar if they share a shingle among their rarest, early enough in
+   both for what follows to suffice.
 
 Skew: hot bands and hot sets are joined per (key, salt) after a combine; only a 4 MB filter of identifiers is broadcast, to keep
 texts that are in no pair out of the shuffle; iterations are written to the shared folder. No pairs or components are collected.
@@ -44,9 +46,11 @@ SKETCH_BITS = 1024
 #: samples differ there, at most 140, and 2 * 140 flips set 216 bits of 1024, give or take 11.
 SKETCH_MOST = 275
 SALTS = 32
-#: A band with more components, or more pairs, is joined by prefix filtering.
-HOT_COMPONENTS, HOT_PAIRS = 100, 20_000
+#: A band with more components, or more pairs of a component and a member, is joined by prefix filtering.
+HOT_COMPONENTS, HOT_PAIRS = 30, 2_000
 PIECE = 2048
+#: Places in the table of counts: 2^19.
+COUNT_BITS = 19
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _ADD = _random.integers(0, 2**32, SAMPLES, np.uint32)
@@ -163,22 +167,40 @@ class _Search:
     """Candidate tables of one run."""
 
     def __init__(self, docs: DataFrame, sigs: DataFrame, members: DataFrame) -> None:
-        self.docs, self.sigs = docs, sigs
+        self.docs = docs
         reps = members.filter("id = rep").select("id").distinct()
-        keyed = sigs.select("id", "bands").dropDuplicates(["id"]).join(reps, "id").select("id", F.explode("bands").alias("key")).withColumn("salt", _salt())
-        groups = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), _mask()).filter("low < high")
-        groups = groups.select("key", "low", F.explode(_salts("salts")).alias("salt"))
-        self.shared = materialise(keyed.join(groups, ["key", "salt"]).select("key", "id", "low"), "bands")
+        own = materialise(sigs.dropDuplicates(["id"]).join(reps, "id"), "representatives")
+        self.heads = own.select("id", "n", *_SKETCH)
+        keyed = own.select("id", F.explode("bands").alias("key")).withColumn("salt", _salt())
+        groups = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members"), _mask()).filter("low < high")
+        shared = keyed.join(groups.select("key", "members", F.explode(_salts("salts")).alias("salt")), ["key", "salt"]).select("key", "id", "salt", "members")
+        self.shared = materialise(shared, "bands")
+        self.popular = materialise(self.shared.groupBy("id").agg(F.sum("members").alias("pop")), "popular")
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
 
+    def first_pairs(self) -> DataFrame:
+        """Each document with the most popular one that shares a band with it."""
+        rows = self.shared.join(self.popular, "id").select("key", "id", "salt", "pop")
+        best = rows.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("id"))).alias("best"), _mask()).select("key", "best", F.explode(_salts("salts")).alias("salt"))
+        top = rows.join(best, ["key", "salt"]).groupBy("id").agg(F.max("best").alias("best"))
+        return top.select((-F.col("best.id")).alias("a"), F.col("id").alias("b"))
+
+    def component_pairs(self) -> DataFrame:
+        """One document of each component with the most popular one of another component in its bands."""
+        rows = self.labelled().join(self.popular, "id")
+        own = rows.groupBy("key", "component").agg(F.max(F.struct("pop", (-F.col("id")).alias("id"))).alias("own"))
+        best = own.groupBy("key").agg(F.max(F.struct("own", "component")).alias("best"))
+        pairs = own.join(best, "key").filter(F.col("component") != F.col("best.component"))
+        pairs = pairs.groupBy("component").agg(F.max(F.struct("best.own", F.col("own").alias("mine"))).alias("p"))
+        return pairs.select((-F.col("p.own.id")).alias("a"), (-F.col("p.mine.id")).alias("b"))
+
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a < b) that were not tested before and pass sizes and sketches."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        sigs = self.sigs.select("id", "n", *_SKETCH).dropDuplicates(["id"])
-        x, y = sigs.withColumnRenamed("id", "a").alias("x"), sigs.withColumnRenamed("id", "b").alias("y")
+        x, y = self.heads.withColumnRenamed("id", "a").alias("x"), self.heads.withColumnRenamed("id", "b").alias("y")
         return pairs.join(x, "a").join(y, "b").filter(_may_be_similar("x", "y")).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> bool:
@@ -215,46 +237,84 @@ class _Search:
         return True
 
     def labelled(self) -> DataFrame:
-        """Members of bands that still hold several components: key, id, component, number of members and components of the band."""
+        """Members of bands that still hold several components: key, id, component, n_components, n_members."""
         if self.links is None:
-            rows = self.shared.select("key", "id", F.col("id").alias("component"))
+            rows = self.shared.select("key", "id", "salt", F.col("id").alias("component"))
         else:
             found = materialise(components(self.links), "components")
-            rows = self.shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        rows = rows.withColumn("salt", _salt())
-        part = rows.groupBy("key", "component").agg(F.min("id").alias("first"), F.count("*").alias("members"), _mask())
-        bands = part.groupBy("key").agg(F.count("*").alias("n_components"), F.sum("members").alias("n_members"), F.min("first").alias("low"), F.bit_or("salts").alias("salts")).filter("n_components > 1")
-        bands = bands.select("key", "n_components", "n_members", "low", F.explode(_salts("salts")).alias("salt"))
-        return materialise(rows.join(bands, ["key", "salt"]).select("key", "id", "component", "n_components", "n_members", "low"), "open")
+            rows = self.shared.join(found, "id", "left").select("key", "id", "salt", F.coalesce("component", "id").alias("component"))
+        part = rows.groupBy("key", "component").agg(F.count("*").alias("members"), _mask())
+        bands = part.groupBy("key").agg(F.count("*").alias("n_components"), F.sum("members").alias("n_members"), F.bit_or("salts").alias("salts")).filter("n_components > 1")
+        bands = bands.select("key", "n_components", "n_members", F.explode(_salts("salts")).alias("salt"))
+        return materialise(rows.join(bands, ["key", "salt"]).select("key", "id", "component", "n_components", "n_members"), "open")
+
+
+def _places(found: np.ndarray) -> np.ndarray:
+    """Where shingles stand in the table of counts."""
+    return (found >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How many documents hold a shingle, at least: counts of hashed shingles in a table of fixed size (2 MB)."""
+    share = 1 << (COUNT_BITS - 4)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = Words(), np.zeros(1 << COUNT_BITS, np.int32)
+        for batch in batches:
+            for text in batch.column(1):
+                np.add.at(total, _places(shingles(text.as_py(), known)), 1)
+        held = np.flatnonzero(total)
+        for part in np.split(held, np.searchsorted(held, np.arange(1, 16) * share)):
+            if len(part):
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) // share], pa.int32()), pa.array([part.astype(np.int32).tobytes()], pa.binary()), pa.array([total[part].tobytes()], pa.binary())], names=["part", "at", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(share, np.int64)
+        part = table.column("part")[0].as_py()
+        for at, n in zip(table.column("at"), table.column("n"), strict=True):
+            total[np.frombuffer(at.as_py(), np.int32) - part * share] += np.frombuffer(n.as_py(), np.int32)
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << COUNT_BITS, np.int32)
+    counted = texts.select("id", "text").mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
+    for row in counted.collect():  # 16 rows at most
+        out[row["part"] * share : (row["part"] + 1) * share] = np.frombuffer(row["n"], np.int32)
+    return out
 
 
 def _prefix_pairs(search: _Search, members: DataFrame) -> DataFrame:
     """Candidate pairs of different components among members (id, component), by shared rare shingles: exact for the threshold.
 
-    Sets of n shingles are ordered by how many members hold a shingle; a similar pair shares one of the first
-    n - ceil(0.75 n) + 1 of both."""
-    texts = maybe_in(search.docs, "id", members, "id")
+    Shingles are put in one order for all, about by how many members hold them. A similar pair's first common shingle in that
+    order is followed, in both sets, by as many as the pair still needs, so shingles too far back open no pair. The order is by
+    counts in a table of fixed size, which alone is broadcast; it need not be exact, only the same everywhere, and a shingle
+    that is counted once is indeed held by one member."""
+    texts = materialise(maybe_in(search.docs, "id", members, "id").dropDuplicates(["id"]).join(members, "id").select("id", "text"), "hot-texts")
+    rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = Words(), rarity.value
         for batch in batches:
+            ids, sizes, tokens, after = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = shingles(text.as_py(), known).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found), pa.array(np.full(len(found), len(found), np.int32))], names=["id", "shingle", "n"])
-
-    own = texts.filter(F.col("id").isNotNull()).dropDuplicates(["id"]).join(members, "id").select("id", "text", "component")
-    rows = materialise(own.select("id", "text").mapInArrow(explode, "id long, shingle long, n int").withColumn("salt", _salt()), "shingles")
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("df"), _mask()).select("shingle", "df", F.explode(_salts("salts")).alias("salt"))
-    ranked = rows.join(counts, ["shingle", "salt"]).filter("df > 1 or n = 1").select("id", "n", "shingle", "df")
-    # shingles of one member come first in every order, so a set's rank starts after them
-    alone = rows.groupBy("id").agg(F.count("*").alias("all_n"))
-    prefix = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order"), F.first("n").alias("n")).join(alone, "id")
-    most = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = prefix.select("id", "n", F.slice("order", 1, F.greatest(F.lit(0), most - (F.col("n") - F.size("order"))).cast("int")).alias("own"))
-    tokens = prefix.select("id", "n", F.explode("own.shingle").alias("shingle")).join(members, "id")
+                found = shingles(text.as_py(), known)
+                n = len(found)
+                often = counts[_places(found)]
+                order = np.lexsort((found, often))
+                behind = np.arange(n - 1, -1, -1)
+                # a set of n shingles needs ceil(0.75 n) common ones at least, whatever its partner
+                own = ((behind + 1) * 100 >= n * PERCENT) & (often[order] > 1)
+                tokens.append(found[order[own]].view(np.int64)), after.append(behind[own])
+                ids.append(np.full(len(after[-1]), key)), sizes.append(np.full(len(after[-1]), n))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(after), pa.int32())], names=["id", "n", "shingle", "after"])
+
+    tokens = materialise(texts.mapInArrow(prefixes, "id long, n int, shingle long, after int").join(members, "id"), "prefixes")
     x, y = tokens.alias("x"), tokens.alias("y")
+    # the first common shingle of a similar pair leaves enough behind it: 100 * common >= 75 * union
+    enough = (F.least("x.after", "y.after") + 1) * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
     size = F.least(F.col("x.n"), F.col("y.n")) * 100 >= F.greatest(F.col("x.n"), F.col("y.n")) * PERCENT
-    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & size).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & size & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,21 +326,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     same = filled.groupBy("f1", "f2").agg(F.min("id").alias("rep"), _mask()).select("f1", "f2", "rep", F.explode(_salts("salts")).alias("salt"))
     members = materialise(filled.join(same, ["f1", "f2", "salt"]).select("id", "rep").distinct(), "members")
     search = _Search(base.filter("id is not null"), sigs, members)
-    shared = search.shared
-    search.confirm(search.screened(shared.filter("id > low").groupBy("id").agg(F.min("low").alias("low")).select(F.col("low").alias("a"), F.col("id").alias("b"))))
-    for _ in range(2):
-        opened = search.labelled()
-        firsts = opened.groupBy("key", "component", "low").agg(F.min("id").alias("id"))
-        if not search.confirm(search.screened(firsts.select(F.col("low").alias("a"), F.col("id").alias("b")))):
-            break
+    search.confirm(search.screened(search.first_pairs()))
+    search.confirm(search.screened(search.component_pairs()))
     opened = search.labelled().withColumn("hot", (F.col("n_components") > HOT_COMPONENTS) | (F.col("n_components") * F.col("n_members") > HOT_PAIRS))
-    some = opened.filter("not hot").select("key", "id", "component").join(sigs.select("id", "n", *_SKETCH).dropDuplicates(["id"]), "id")
-    some = materialise(some, "remaining")
+    hot = materialise(opened.filter("hot").select("id", "component").distinct(), "hot")
+    # pairs of two documents that are in some hot band are all left to the prefix filter
+    some = opened.filter("not hot").select("key", "id", "component").join(search.heads, "id").join(hot.select("id", F.lit(True).alias("in_hot")), "id", "left")
+    some = materialise(some.withColumn("in_hot", F.coalesce("in_hot", F.lit(False))), "remaining")
     x, y = some.alias("x"), some.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _may_be_similar("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    hot = opened.filter("hot").select("id", "component").distinct()
+    cold = ~(F.col("x.in_hot") & F.col("y.in_hot"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & cold & _may_be_similar("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     if not hot.isEmpty():
-        rest = rest.union(_prefix_pairs(search, materialise(hot, "hot")))
+        rest = rest.union(_prefix_pairs(search, hot))
     search.confirm(search.screened(rest))
     whole = members.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a < b")
     edges = whole if search.links is None else whole.union(search.links)
