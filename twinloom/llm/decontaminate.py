@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,7 @@ class Items:
             q = min(LONGEST_SEED, -(-(len(w) - self.edits[i]) // (self.edits[i] + 1)))
             for a in range(len(w) - q + 1):
                 places.setdefault(tuple(w[a : a + q]), []).append((i, a))
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         self.base = len(self.known) + 2
         self.seeds: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
         for q in {len(x) for x in places}:
@@ -124,33 +126,35 @@ class Items:
             out = out * self.base + int(x)
         return out
 
-    def windows(self, text: np.ndarray) -> np.ndarray:
-        """(item, start) of the windows of a text that hold a seed at its place."""
+    def windows(self, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """(text, item, start) of the windows that hold a seed at its place. flat: the texts one after the other; begins: where
+        each begins."""
         found = []
         for q, (codes, places) in self.seeds.items():
-            if len(text) < q:
+            if len(flat) < q:
                 continue
-            own = text[: len(text) - q + 1].copy()
+            own = flat[: len(flat) - q + 1].copy()
             for i in range(1, q):
-                own = own * self.base + text[i : len(text) - q + 1 + i]
+                own *= self.base
+                own += flat[i : len(flat) - q + 1 + i]
             near = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            for at in np.flatnonzero(codes[near] == own):
-                for item, a in places[near[at]]:
-                    found.append((item, at - a))
-        return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-
-    def candidates(self, texts: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+            hits = np.flatnonzero(codes[near] == own)
+            texts = np.searchsorted(begins, hits, "right") - 1
+            inside = texts == np.searchsorted(begins, hits + q - 1, "right") - 1  # no seed across two texts
+            for at, text, begin in zip(hits[inside].tolist(), texts[inside].tolist(), begins[texts[inside]].tolist(), strict=True):
+                for item, a in places[near[at]].tolist():
+                    found.append((text, item, at - begin - a))
+        return np.unique(np.array(found, np.int64).reshape(-1, 3), axis=0)
+
+    def candidates(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Which of the rows (text, item, start) agree with their item in a key of any repeat."""
         live = np.zeros(len(rows), bool)
         if not len(rows):
             return live
-        ends = np.cumsum([len(t) for t in texts])
-        flat = np.concatenate([*texts, np.zeros(1, np.int64)])
-        begin = (ends - [len(t) for t in texts])[rows[:, 0]]
         size = self.sizes[rows[:, 1]]
         place = rows[:, 2][:, None] + np.arange(self.longest)
-        inside = (place >= 0) & (place < (ends[rows[:, 0]] - begin)[:, None]) & (np.arange(self.longest) < size[:, None])
-        table = np.where(inside, flat[np.where(inside, place + begin[:, None], len(flat) - 1)], 0)
+        inside = (place >= 0) & (place < lengths[rows[:, 0]][:, None]) & (np.arange(self.longest) < size[:, None])
+        table = np.where(inside, flat[np.where(inside, place + begins[rows[:, 0]][:, None], 0)], 0)
         for repeat in range(REPEATS):
             open_ = np.flatnonzero(~live)
             if not len(open_):
@@ -165,6 +169,9 @@ class Items:
         k, w = self.edits[item], self.words[item]
         low, high = max(0, start - k), min(len(text), start + len(w) + k)
         part = text[low:high]
+        own, times = self.bags[item]
+        if int(np.minimum(np.bincount(part, minlength=len(self.known) + 1)[own], times).sum()) < len(w) - k:  # too few of its words
+            return k + 1, low, low
         row, origin = np.zeros(len(part) + 1, np.int64), np.arange(len(part) + 1)
         step = np.arange(len(part) + 1)
         for i, x in enumerate(w, 1):
@@ -186,23 +193,22 @@ class Items:
 
 def _matches(items: Items, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, first word, word after the last, edits): per row and item the closest passage, the first of equals."""
-    known = items.known.get
-    texts, rows = [], []
+    known, texts = items.known.get, []
     for i, value in enumerate(batch.column(1)):
         own = words_of(value.as_py())
-        text = np.fromiter((known(x, 0) for x in own), np.int64, len(own))
+        text = np.array(list(map(known, own, repeat(0))), np.int64)
         texts.append(text)
         if len(text) < MIN_WORDS and len(text):
             for item in items.short.get(text.tobytes(), ()):
                 yield i, item, 0, len(text), 0
-        found = items.windows(text)
-        if len(found):
-            rows.append(np.concatenate([np.full((len(found), 1), i, np.int64), found], 1))
-    if not rows:
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    rows = items.windows(flat, begins)
+    if not len(rows):
         return
-    rows = np.concatenate(rows)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for i, item, start in rows[items.candidates(texts, rows)].tolist():
+    for i, item, start in rows[items.candidates(flat, begins, lengths, rows)].tolist():
         edits, first, end = items.distance(item, texts[i], start)
         if edits <= items.edits[item]:
             best[i, item] = min(best.get((i, item), (edits, first, end)), (edits, first, end))
