@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +26,19 @@ def build(app: str = "twinloom", master: str | None = None, **conf: str) -> Spar
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers. Where PYTHONPATH has it, nothing is to do; else a zip of the package goes
+    with the application, once."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if os.path.realpath(root) in known or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="twinloom-zip-")
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "twinloom"), "zip", root, "twinloom"))

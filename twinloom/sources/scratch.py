@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder where that is unset, as in tests on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="twinloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _own:
+            own = _own[context.applicationId] = tempfile.mkdtemp(prefix="twinloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = _own[context.applicationId]
     return found
 
 
