@@ -2,7 +2,8 @@
 character n-grams, the longest order of which any is known, down to single letters.
 
 Training uses a bounded sample of labelled documents: at most about `max_train_docs` per language, picked by the hash of the
-identifier, and keeps the `max_words` most frequent words and `max_grams` most frequent n-grams of every order, so the model
+identifier, and keeps the `max_words` most frequent words and `max_grams` most frequent n-grams of every order, in the MAX_LANGUAGES most
+frequent languages, so the model
 that is broadcast is bounded by these parameters and the number of languages, whatever the size of the corpus. Prediction
 reads whole texts.
 

@@ -2,7 +2,7 @@
 
 List rules are strings host[/path]: a rule fits its host and all subdomains if the url's path starts with the rule's path; the
 longest fitting rule gives the verdict. They are found by lookup, not by trying every rule: a url yields its host suffixes
-(at most MAX_LABELS) and those are looked up in a map of the rules.
+and those are looked up in a map of the rules.
 
 Mined rules: a labelled url is a transaction of its tokens, plus BLOCK if its label says so. FP-growth mines frequent token
 sets; rules {tokens} -> BLOCK below the least confidence are dropped, and so is a rule that holds more tokens than another
@@ -29,8 +29,6 @@ BLOCK = "label=block"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
 MAX_RULES = 20_000
-MAX_LABELS = 127
-MAX_TOKENS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -75,7 +73,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """labelled: (tokens, bad). Rules: rule_id, tokens, confidence, support; written once."""
     from pyspark.ml.fpm import FPGrowth
 
-    items = F.slice(F.col("tokens"), 1, MAX_TOKENS)
+    items = F.col("tokens")
     baskets = materialise(labelled.filter(F.size("tokens") > 0).select(F.when(F.col("bad"), F.concat(F.array(F.lit(BLOCK)), items)).otherwise(items).alias("items")), "baskets")
     while True:
         mined = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
