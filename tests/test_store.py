@@ -201,3 +201,16 @@ def test_titles_and_deletables(spark):
     rows = spark.createDataFrame([("/x/B.mkv", ["/x/A.mkv", "/x/B.mkv"]), (None, ["/x/D.mkv", "/x/C.mkv"])], "keep string, members array<string>")
     got = rows.select(S.cluster_title(F.col("keep"), F.col("members")).alias("t"), S.deletable(F.col("members"), F.col("keep")).alias("d")).collect()
     assert [(r.t, r.d) for r in got] == [("B", ["/x/A.mkv"]), ("C", [])]
+
+
+def test_priority_lock(spark, tmp_path):
+    clock = [100.0]
+    path = str(tmp_path / "scan.lock")
+    scan, watcher = (watch.PriorityLock(spark, path, who, ttl=10, now=lambda: clock[0]) for who in ("scan 1", "watch"))
+    assert not watcher.busy() and scan.acquire() and scan.acquire() and watcher.busy() and not scan.busy() and not watcher.acquire()
+    watcher.release()
+    assert watcher.busy()
+    clock[0] = 111.0
+    assert not watcher.busy() and watcher.acquire() and scan.busy()
+    watcher.release()
+    assert not scan.busy()

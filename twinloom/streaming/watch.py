@@ -95,3 +95,43 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     """Event-time counts and sums per window and type, with a watermark for late rows; the same plan for batch and stream."""
     rows = events.withWatermark(ts, late) if events.isStreaming else events
     return rows.groupBy(F.window(ts, window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+class PriorityLock:
+    """Lets a heavy job take precedence over the watcher: a file in the shared folder that says who holds it and until when. A lock
+    whose time is over is free, so a job that died holds nothing up for longer than `ttl` seconds."""
+
+    def __init__(self, spark: SparkSession, path: str, owner: str, ttl: float = 3600.0, now: Callable[[], float] = time.time) -> None:
+        self.spark, self.owner, self.ttl, self.now = spark, owner, ttl, now
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def holder(self) -> str | None:
+        if not self.fs.exists(self.path):
+            return None
+        found = self.spark.read.text(self.path.toString()).collect()
+        owner, _, until = found[0][0].rpartition(" ") if found else ("", "", "0")
+        return owner if float(until) > self.now() else None
+
+    def acquire(self) -> bool:
+        """Takes or renews the lock; false if another owner holds it."""
+        held = self.holder()
+        if held not in (None, self.owner):
+            return False
+        if self.fs.exists(self.path):
+            self.fs.delete(self.path, False)
+        try:
+            out = self.fs.create(self.path, False)  # fails if another owner was faster
+        except Exception:
+            return False
+        out.write(bytearray(f"{self.owner} {self.now() + self.ttl}".encode()))
+        out.close()
+        return True
+
+    def release(self) -> None:
+        if self.holder() == self.owner:
+            self.fs.delete(self.path, False)
+
+    def busy(self) -> bool:
+        """Whether another owner holds the lock: what the watcher asks before heavy work."""
+        return self.holder() not in (None, self.owner)
