@@ -33,9 +33,9 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("script style textarea title noscript iframe template head form button select option nav footer aside menu svg canvas object embed audio video map dialog datalist fieldset noembed noframes".split())
 SIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion promoted "
-    "sidebar rail aside menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead header footer pagination pager "
-    "comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert "
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle adbox adslot banner sponsor sponsored promo promotion promoted "
+    "sidebar rail aside menu nav navbar navbox mainnav subnav navigation breadcrumb breadcrumbs crumbs topbar toolbar masthead header footer pagination pager "
+    "comment comments commentlist commentbox reply replies respond responses disqus discussion cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
     "teaser widget copyright legal disclaimer skip hidden".split()
 )
