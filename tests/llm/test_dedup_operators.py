@@ -164,7 +164,6 @@ def test_passes_agree_for_hot_anchors(monkeypatch, hot):
     """The passes without Spark, with all anchors hot and with none, in pieces of a few hundred positions."""
     import pyarrow as pa
 
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 256)
     r = random.Random(2)
     shared = "".join(r.choice("abcdef ") for _ in range(400))
@@ -174,7 +173,7 @@ def test_passes_agree_for_hot_anchors(monkeypatch, hot):
     tables = [pa.table({"blk": pa.array([b] * len(own), pa.int64()), "id": pa.array([i for i, _ in own], pa.int64()), "body": pa.array([t.encode() for _, t in own], pa.binary())}) for b in range(blocks) for own in [[x for x in rows if x[0] % blocks == b]]]
     by = lambda t, c: [t.filter(pa.compute.equal(t.column(c), v)) for v in sorted(set(t.column(c).to_pylist()))]
     sent = pa.concat_tables([suffix_dedup._anchor_rows(t, depth, buckets, width) for t in tables])
-    again = pa.concat_tables([suffix_dedup._again(t, width) for t in by(sent, "bucket")])
+    again = pa.concat_tables([suffix_dedup.answer(t, width, hot) for t in by(sent, "bucket")])
     runs = pa.concat_tables([suffix_dedup._run_rows((pa.scalar(b),), t, again.filter(pa.compute.equal(again.column("blk"), b)), depth, buckets) for b, t in enumerate(tables)])
     marks = pa.concat_tables([suffix_dedup._marks(t, depth) for t in by(runs, "bucket")])
     got = []

@@ -38,8 +38,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def block_count(total_bytes: int, block_bytes: int) -> int:
-    return max(8, -(-int(total_bytes) // block_bytes))
+def block_count(total_bytes: int, least: int, most: int) -> int:
+    """Number of parts of a corpus. Parts of `least` bytes, growing with the root of the corpus up to `most`, so that what each of n
+    blocks sends to each of m buckets stays more than a row's overhead: 2 MB blocks up to 100 GB, 64 MB at 100 TB."""
+    size = min(most, max(least, int(least * (total_bytes / 100e9) ** 0.5)))
+    return max(8, -(-int(total_bytes) // size))
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -12,7 +12,7 @@ exactly the repeated windows. The sort runs in passes; each pass splits groups b
    smallest identifier is its first; the windows of other documents are marked.
 3. Marked windows go back to their block, where a document's marked bytes are united and cut out.
 
-Scale: texts are shuffled once, into blocks of about BLOCK_BYTES by the hash of the identifier; all passes read that one
+Scale: texts are shuffled once, into blocks of a few MB by the hash of the identifier; all passes read that one
 exchange. Passes move packed arrays. Equal runs of a block are sent once. An anchor with over HOT runs is not sent to one
 bucket: its suffixes are dealt out one by one, by the hash of all their bytes. No list of anchors reaches the driver.
 
@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_count, text_bytes
+from .passes import ANSWER, SENT, answer, binary, bucket_of, flags, mix, send, width_for
 
 DEPTH = 50
 GRAM = 16
-BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20, 64 << 20
+BUCKET_BYTES = 8 << 20, 256 << 20
 CHUNK = 1 << 20
 HOT = 4096
 NAMELESS = np.iinfo(np.int64).max
@@ -45,15 +46,6 @@ NAMELESS = np.iinfo(np.int64).max
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x *= _K3
-    x ^= x >> np.uint64(29)
-    x *= _K1
-    x ^= x >> np.uint64(32)
-    return x
-
-
 def _words(data: np.ndarray, at: int, n: int) -> np.ndarray:
     """n overlapping 8-byte words of data, from each position on."""
     return np.ndarray((n,), "<u8", data, at, (1,))
@@ -72,7 +64,7 @@ class Block:
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
         self.data = np.frombuffer(b"".join(parts) + bytes(16), np.uint8)
         self.at, self.n, keys = self._runs()  # first window, number of windows, anchor
-        self.keys, self.place, counts = np.unique(_mix(keys), return_inverse=True, return_counts=True)
+        self.keys, self.place, counts = np.unique(mix(keys), return_inverse=True, return_counts=True)
         self.counts = np.minimum(counts, 255).astype(np.uint8)
         self.doc = np.searchsorted(self.starts, self.at, "right") - 1
 
@@ -118,55 +110,14 @@ class Block:
         return np.concatenate(at), np.concatenate(n), np.concatenate(keys)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def _packed(values: np.ndarray | bytes, codec: zstandard.ZstdCompressor) -> bytes:
     return codec.compress(values if isinstance(values, bytes) else values.tobytes())
 
 
-def _binary(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 def _anchor_rows(table: pa.Table, depth: int, buckets: int, width: int) -> pa.Table:
     """Pass 1, a block's side: packed fingerprints and counts of its distinct anchors, by bucket."""
     block = Block(table, depth)
-    number = table.column("blk")[0].as_py()
-    cuts = np.searchsorted(_bucket(block.keys, buckets), np.arange(buckets + 1)) if buckets < len(block.keys) else None
-    owners = np.arange(buckets) if cuts is not None else np.unique(_bucket(block.keys, buckets))
-    if cuts is None:
-        own = _bucket(block.keys, buckets)
-        lows, highs = np.searchsorted(own, owners, "left"), np.searchsorted(own, owners, "right")
-    else:
-        lows, highs = cuts[:-1], cuts[1:]
-    packed = np.ascontiguousarray(_mix(block.keys).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    rows = [(int(o), packed[a:b].tobytes(), block.counts[a:b].tobytes()) for o, a, b in zip(owners, lows, highs, strict=True) if b > a]
-    return pa.table({"bucket": pa.array([x[0] for x in rows], pa.int64()), "blk": pa.array([number] * len(rows), pa.int64()), "keys": _binary([x[1] for x in rows]), "counts": _binary([x[2] for x in rows])})
-
-
-def _again(table: pa.Table, width: int) -> pa.Table:
-    """Pass 1, a bucket's side: for each block's anchors, in the order sent, a bit for `occurs again` and a bit for `hot`."""
-    sent = [x.as_py() for x in table.column("keys")]
-    sizes = np.array([len(x) // width for x in sent])
-    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-    wide[:, :width] = np.frombuffer(b"".join(sent), np.uint8).reshape(-1, width)
-    keys = wide.view("<u8").ravel()
-    counts = np.frombuffer(b"".join(x.as_py() for x in table.column("counts")), np.uint8)
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    begin = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    totals = np.add.reduceat(counts[order].astype(np.int64), begin)
-    per_key = np.repeat(totals, np.diff(np.append(begin, len(keys))))
-    total = np.empty(len(keys), np.int64)
-    total[order] = per_key
-    ends = np.cumsum(sizes)
-    again, hot = [], []
-    for a, b in zip(ends - sizes, ends, strict=True):
-        again.append(np.packbits(total[a:b] > 1).tobytes())
-        hot.append(np.packbits(total[a:b] > HOT).tobytes())
-    return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"), "again": _binary(again), "hot": _binary(hot)})
+    return send(table.column("blk")[0].as_py(), block.keys, block.counts, buckets, width)
 
 
 RUN_SCHEMA = "bucket long, blk long, ids binary, at binary, n binary, keys binary, body binary, own binary"
@@ -178,12 +129,7 @@ def _run_rows(key: tuple, left: pa.Table, right: pa.Table, depth: int, buckets:
     number = key[0].as_py()
     if left.num_rows and right.num_rows:
         block = Block(left, depth)
-        own = _bucket(block.keys, buckets)
-        again, hot = np.zeros(len(block.keys), bool), np.zeros(len(block.keys), bool)
-        for bucket, a, h in zip(right.column("bucket").to_pylist(), right.column("again"), right.column("hot"), strict=True):
-            low, high = np.searchsorted(own, [bucket, bucket + 1])
-            again[low:high] = np.unpackbits(np.frombuffer(a.as_py(), np.uint8), count=high - low).astype(bool)
-            hot[low:high] = np.unpackbits(np.frombuffer(h.as_py(), np.uint8), count=high - low).astype(bool)
+        again, hot = flags(block.keys, right, buckets)
         raw, first, marked, sends = block.data.tobytes(), {}, [], []
         picked = np.flatnonzero(again[block.place])
         picked = picked[np.lexsort((block.at[picked], block.ids[block.doc[picked]]))]  # smallest identifier first
@@ -205,7 +151,7 @@ def _run_rows(key: tuple, left: pa.Table, right: pa.Table, depth: int, buckets:
                     sends.append((int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little"), ids[doc], doc, x - starts[doc], 1, body))
         by: dict[int, list] = {}
         if sends:
-            for b, x in zip(_bucket(np.array([s[0] for s in sends], np.uint64), buckets).tolist(), sends, strict=True):
+            for b, x in zip(bucket_of(np.array([s[0] for s in sends], np.uint64), buckets).tolist(), sends, strict=True):
                 by.setdefault(b, []).append(x)
         codec = zstandard.ZstdCompressor(level=1)
         for b, xs in by.items():
@@ -214,7 +160,7 @@ def _run_rows(key: tuple, left: pa.Table, right: pa.Table, depth: int, buckets:
         if marked:
             out.append((number % buckets, b"", b"", b"", b"", b"", _packed(_united(np.array(marked, np.int64)), codec)))
     columns = list(zip(*out, strict=True)) or [()] * 7
-    return pa.table({"bucket": pa.array(columns[0], pa.int64()), "blk": pa.array([number] * len(out), pa.int64()), **{n: _binary(list(c)) for n, c in zip(("ids", "at", "n", "keys", "body", "own"), columns[1:], strict=True)}})
+    return pa.table({"bucket": pa.array(columns[0], pa.int64()), "blk": pa.array([number] * len(out), pa.int64()), **{n: binary(list(c)) for n, c in zip(("ids", "at", "n", "keys", "body", "own"), columns[1:], strict=True)}})
 
 
 def _united(spans: np.ndarray) -> np.ndarray:
@@ -318,7 +264,7 @@ def _marks(table: pa.Table, depth: int) -> pa.Table:
             for b, part in zip(*_split(found[:, 0], found[:, 1:]), strict=True):
                 spans.setdefault(b, []).append(part)
     out = [(b, _united(np.concatenate(x)).tobytes()) for b, x in spans.items()]
-    return pa.table({"blk": pa.array([x[0] for x in out], pa.int64()), "spans": _binary([x[1] for x in out])})
+    return pa.table({"blk": pa.array([x[0] for x in out], pa.int64()), "spans": binary([x[1] for x in out])})
 
 
 def _split(keys: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -338,7 +284,7 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
         sizes.append(len(body)), runs.append(len(own)), removed.append(sum(b - a for a, b in own))
         edges = [0, *(x for pair in own for x in pair), len(body)]
         kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if own else body)
-    return pa.table({"id": left.column("id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": _binary(kept)})
+    return pa.table({"id": left.column("id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": binary(kept)})
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, kept_bytes: bool = True) -> DataFrame:
@@ -347,12 +293,12 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     depth: bytes of a window, at least 24.
     """
     total = text_bytes(docs, text)
-    blocks, buckets = block_count(total, BLOCK_BYTES), block_count(total, BUCKET_BYTES)
-    width = min(8, max(4, -(-(max(1, total // 16).bit_length() + 8) // 8)))
+    blocks, buckets = block_count(total, *BLOCK_BYTES), block_count(total, *BUCKET_BYTES)
+    width = width_for(total // 16)
     place = F.pmod(F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.xxhash64(text)), F.lit(blocks))
     rows = docs.select(place.alias("blk"), F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("body")).repartition("blk")
-    sent = rows.groupBy("blk").applyInArrow(lambda t: _anchor_rows(t, depth, buckets, width), "bucket long, blk long, keys binary, counts binary")
-    again = sent.groupBy("bucket").applyInArrow(lambda t: _again(t, width), "blk long, bucket long, again binary, hot binary")
+    sent = rows.groupBy("blk").applyInArrow(lambda t: _anchor_rows(t, depth, buckets, width), SENT)
+    again = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width, HOT), ANSWER)
     runs = rows.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda k, x, y: _run_rows(k, x, y, depth, buckets), RUN_SCHEMA)
     marks = runs.groupBy("bucket").applyInArrow(lambda t: _marks(t, depth), "blk long, spans binary")
     out = rows.groupBy("blk").cogroup(marks.groupBy("blk")).applyInArrow(lambda x, y: _with_digest(_cut(x, y), kept_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_bytes)
