@@ -214,3 +214,14 @@ def test_priority_lock(spark, tmp_path):
     assert not watcher.busy() and watcher.acquire() and scan.busy()
     watcher.release()
     assert not scan.busy()
+
+
+def test_scratch_tables(spark):
+    from twinloom.sources.scratch import discard, materialise, scratch_path
+
+    df = materialise(spark.range(5), "five")
+    assert df.count() == 5 and spark.sparkContext.applicationId in df.scratch_path
+    discard(df)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.scratch_path)
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")

@@ -26,8 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/twinloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/twinloom/{name}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; results that were not written elsewhere can't be read any more."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    home.getFileSystem(spark._jsc.hadoopConfiguration()).delete(home, True)
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
