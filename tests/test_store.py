@@ -225,3 +225,29 @@ def test_scratch_tables(spark):
     with pytest.raises(Exception):
         spark.read.parquet(df.scratch_path)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_partial_writes(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.save_files(files(spark, "a", "b"))
+    s.save_meta(spark.createDataFrame([("a", 7, "new"), ("c", 8, "hc")], "path string, size bigint, content_hash string"))
+    got = {r.path: (r.size, r.content_hash, r.audio_fp) for r in s.read("files").collect()}
+    assert got["a"][:2] == (7, "new") and len(got["a"][2]) == 4 and got["b"][0] == 999 and got["c"] == (8, "hc", None)
+    s.update("files", spark.createDataFrame([("a", 0.25), ("x", 0.5)], "path string, audio_coverage double"), "audio_coverage")
+    assert {r.path: r.audio_coverage for r in s.read("files").collect()} == {"a": 0.25, "b": None, "c": None}
+    s.upsert("matches", spark.createDataFrame([("a", "b", "PROBABLE"), ("a", "c", "CERTAIN")], "a string, b string, verdict string"))
+    assert s.delete("matches", F.col("verdict") == "PROBABLE") == 1 and s.delete("matches", F.col("confidence") > 1) == 0 and s.read("matches").count() == 1
+    s.upsert("problems", spark.createDataFrame([("z", "corrupt"), ("y", "corrupt"), ("x", "reindex")], "path string, category string"))
+    assert [r.path for r in s.problems("corrupt").collect()] == ["y", "z"]
+
+
+def test_sql_functions(spark):
+    from twinloom.functions import scalar as S
+    from twinloom.functions import sql
+
+    assert "base_stem" in sql.register(spark)
+    spark.createDataFrame([("movie (1) (2)", 185742.0, "a", "b"), ("x", 59.0, "b", "a"), ("y (2009)", -1.0, None, "c")], "s string, d double, a string, b string").createOrReplaceTempView("sql_rows")
+    got = spark.sql("select base_stem(s) s, duration_text(d) d, pair_digest(a, b) p, hamming32(5, 6) h, vector_dot(array(1D, 2D), array(3D, 4D)) v, problem_category('Timed out') c, long_coverage(0.8D, 10D, 20D) l from sql_rows").collect()
+    want = spark.table("sql_rows").select(S.base_stem(F.col("s")).alias("s"), S.duration_text(F.col("d")).alias("d"), S.pair_digest(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [(r.s, r.d, r.p) for r in got] == [(r.s, r.d, r.p) for r in want]
+    assert (got[0].h, got[0].v, got[0].c, got[0].l) == (2, 11.0, "reindex", 0.4)

@@ -181,6 +181,33 @@ class Store:
         self.replace("problems", without_paths(self.read("problems"), rows, ["path"]))
         self.replace("matches", without_paths(self.read("matches"), rows, ["a", "b"]))
 
+    def save_meta(self, rows: DataFrame) -> None:
+        """Upserts hash and probe of files without touching their other features; for a new path these stay null."""
+        own = ["mtime", "size", "content_hash", "probe", "feature_version"]
+        old = self.read("files")
+        new = rows.select("path", *[F.col(c).alias(f"_{c}") for c in own if c in rows.columns])
+        merged = old.join(new, "path", "inner").select(*[F.col(f"_{c}").alias(c) if f"_{c}" in new.columns else F.col(c) for c in old.columns])
+        fresh = rows.join(old.select("path"), "path", "left_anti")
+        self.upsert("files", merged.unionByName(fresh.select(*[c for c in old.columns if c in rows.columns]), allowMissingColumns=True))
+
+    def delete(self, table: str, condition: Column) -> int:
+        """Deletes the rows that meet a condition; how many."""
+        rows = self.read(table)
+        gone = rows.filter(F.coalesce(condition, F.lit(False))).count()
+        if gone:
+            self.replace(table, rows.filter(~F.coalesce(condition, F.lit(False))))
+        return gone
+
+    def update(self, table: str, rows: DataFrame, column: str) -> None:
+        """Sets one column from rows (keys, column); keys that are not in the table are left out."""
+        keys = schema.KEYS[table]
+        new = rows.select(*keys, F.col(column).alias("_new"), F.lit(True).alias("_set"))
+        old = self.read(table)
+        self.replace(table, old.join(new, keys, "left").withColumn(column, F.when(F.col("_set"), F.col("_new")).otherwise(F.col(column))).select(*old.columns))
+
+    def problems(self, category: str) -> DataFrame:
+        return self.read("problems").filter(F.col("category") == category).orderBy("path")
+
     def forget(self, paths: DataFrame) -> None:
         """Takes paths out of all tables."""
         for table, columns in (("files", ["path"]), ("frames", ["path"]), ("windows", ["path"]), ("matches", ["a", "b"]), ("clusters", ["path"]), ("overrides", ["path"])):
