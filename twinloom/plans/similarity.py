@@ -136,7 +136,7 @@ def audio_offset_search(spark, sf):
 
     items = table(spark, sf, "events").filter("user_id < 12").select(F.col("user_id").alias("key"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts")) - 1).alias("i"), (F.col("event_id") * 2654435761 % 4294967296).alias("x"))
     keys = items.select("key").distinct()
-    pairs = keys.select(F.col("key").alias("a")).join(keys.select(F.col("key").alias("b")), F.col("a") < F.col("b"))
+    pairs = keys.select(F.col("key").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("b")).filter("a < b").join(keys.withColumnRenamed("key", "b"), "b", "left_semi").select("a", "b")
     return align.audio_offsets_sql(pairs, items, 20, 30).select("a", "b", "off", "n", F.round("sim", 9).alias("sim"))
 
 
@@ -199,8 +199,7 @@ def audio_fft(spark, sf):
     """Offset search by cross-correlation; the tests hold it against the relational form."""
     items = table(spark, sf, "events").select((F.col("user_id") % 20).alias("path"), "ts", (F.col("event_id") * 2654435761 % 4294967296).alias("x"))
     prints = items.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "x"))), lambda s: s["x"]).alias("audio_fp"))
-    keys = prints.select("path")
-    pairs = keys.select(F.col("path").alias("a")).join(keys.select(F.col("path").alias("b")), F.col("a") < F.col("b"))
+    pairs = prints.select(F.col("path").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("b")).filter("a < b").join(prints.select(F.col("path").alias("b")), "b", "left_semi").select("a", "b")
     return align.align_audio(pairs, prints, TH.override(min_overlap_s=8.0)).select("a", "b", "audio.score", "audio.offset_s", "audio.coverage")
 
 
