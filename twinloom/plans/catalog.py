@@ -26,3 +26,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    """df with columns as 64-bit integers, as the oracle counts them."""
+    return df.withColumns({c: df[c].cast("long") for c in columns})

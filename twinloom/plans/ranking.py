@@ -12,7 +12,7 @@ from ..operators import blocking, calibrate, rank, summaries, views
 from ..sources import media
 from ..sources.scratch import scratch_path
 from ..streaming import watch
-from .catalog import query, table
+from .catalog import longs, query, table
 
 TH = Thresholds()
 
@@ -38,7 +38,7 @@ def members(spark, sf):
 
 @query(f"with {_MEMBERS_SQL} select cluster_id, path, round(score, 6) as score, rank from ranked")
 def keep_rank(spark, sf):
-    return members(spark, sf).select("cluster_id", "path", "score", "rank")
+    return longs(members(spark, sf).select("cluster_id", "path", "score", "rank"), "rank")
 
 
 _KEEP_SQL = "kept as (select cluster_id, coalesce(arg_min(path, rank) filter (audio_coverage >= 0.85), arg_min(path, rank)) as keep, count(*) filter (audio_coverage >= 0.85) = 0 and max(audio_coverage) - min(audio_coverage) > 0.05 as audio_warning from ranked group by 1)"
@@ -206,7 +206,7 @@ def cluster_sort(spark, sf):
     from pyspark.sql import Window as W
 
     s = table(spark, sf, "documents").groupBy(F.col("source").alias("title")).agg(F.count("*").alias("n_copies"), F.sum("n_chars").alias("reclaimable"))
-    return views.sort_clusters(s, "space").withColumn("place", F.row_number().over(W.orderBy(F.desc("reclaimable"), "title")))
+    return longs(views.sort_clusters(s, "space").withColumn("place", F.row_number().over(W.orderBy(F.desc("reclaimable"), "title"))), "place")
 
 
 @query("with ends as (select o_orderkey % 1000 as path from orders union select o_custkey % 1000 from orders), f as (select doc_id as path, case when doc_id % 3 = 0 then 'old' else 'v1' end as fv from documents) select (select count(*) from ends) as matched, (select count(*) from f join ends using (path) where fv <> 'v1') as stale, (select count(*) from f) as n_files, (select count(*) from f where fv = 'v1') as n_indexed")

@@ -10,7 +10,7 @@ from ..functions import vectors as V
 from ..operators import align, blocking, decide, store
 from ..operators.graph import cluster_name, components
 from ..operators.cluster import membership_key, split_vetoes, touched_clusters
-from .catalog import query, table
+from .catalog import longs, query, table
 
 TH = Thresholds()
 
@@ -30,18 +30,18 @@ _CELLS = f"cells as (select label as path, vec_id, row_number() over (partition
 
 @query(f"with {_CELLS}, m as (select path, pos, avg(x) as x from cells group by all) select path, pos - 1 as pos, round(x / sqrt(sum(x * x) over (partition by path)), 6) as x from m")
 def global_descriptor(spark, sf):
-    return V.global_descriptor(frames(spark, sf)).select("path", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return longs(V.global_descriptor(frames(spark, sf)).select("path", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 6)), "pos")
 
 
 @query(f"with w as (select vec_id, ntile(12) over (partition by label order by vec_id) - 1 as w from embeddings), {_CELLS}, m as (select path, w, pos, avg(x) as x from cells join w using (vec_id) group by all) select path, w, pos - 1 as pos, round(x / sqrt(sum(x * x) over (partition by path, w)), 6) as x from m")
 def window_descriptors(spark, sf):
-    return V.window_descriptors(frames(spark, sf)).select("path", "w", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return longs(V.window_descriptors(frames(spark, sf)).select("path", "w", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 6)), "pos", "w")
 
 
 @query(f"with s as (select a.vec_id as id, b.vec_id as other, list_dot_product({_VEC.replace('embedding', 'a.embedding')}, {_VEC.replace('embedding', 'b.embedding')}) as s from embeddings a, embeddings b) select id, other, round(s, 6) as score, r as rank from (select *, row_number() over (partition by id order by round(s, 12) desc, other) as r from s) where r <= 25")
 def knn_global(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return blocking.top_k(e, e, TH.knn_k).select("id", "other", F.round("score", 6).alias("score"), "rank")
+    return longs(blocking.top_k(e, e, TH.knn_k).select("id", "other", F.round("score", 6).alias("score"), "rank"), "rank")
 
 
 @query(
@@ -118,7 +118,7 @@ def cut_density(spark, sf):
 @query("select * from (select user_id as path, row_number() over w - 2 as i, round((epoch_us(ts) - lag(epoch_us(ts)) over w) / 1e6, 6) as gap from events window w as (partition by user_id order by ts)) where gap is not null")
 def cut_intervals(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
-    return align.intervals(e).select("path", "i", F.round(F.col("gap") / 1e6, 6).alias("gap"))
+    return longs(align.intervals(e).select("path", "i", F.round(F.col("gap") / 1e6, 6).alias("gap")), "i")
 
 
 _ITEMS_SQL = "items as (select user_id as key, row_number() over (partition by user_id order by ts) - 1 as i, (event_id * 2654435761) % 4294967296 as x from events where user_id < 12)"
@@ -137,7 +137,7 @@ def audio_offset_search(spark, sf):
     items = table(spark, sf, "events").filter("user_id < 12").select(F.col("user_id").alias("key"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts")) - 1).alias("i"), (F.col("event_id") * 2654435761 % 4294967296).alias("x"))
     keys = items.select("key").distinct()
     pairs = keys.select(F.col("key").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("b")).filter("a < b").join(keys.withColumnRenamed("key", "b"), "b", "left_semi").select("a", "b")
-    return align.audio_offsets_sql(pairs, items, 20, 30).select("a", "b", "off", "n", F.round("sim", 9).alias("sim"))
+    return longs(align.audio_offsets_sql(pairs, items, 20, 30).select("a", "b", "off", "n", F.round("sim", 9).alias("sim")), "off")
 
 
 @query(
@@ -149,7 +149,7 @@ def audio_offset_search(spark, sf):
 )
 def grid_resample(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("frame_no"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200).alias("ts"))
-    return align.nearest_grid(e, 3600.0)
+    return longs(align.nearest_grid(e, 3600.0), "i")
 
 
 @query("with p as (select distinct l_orderkey as k, l_linenumber * 3 + l_partkey % 3 as pos, 40 as total from lineitem), g as (select *, pos - lag(pos) over (partition by k order by pos) - 1 as gap from p) select k, cast(coalesce(sum(case when gap >= 3 then gap else 0 end), 0) as bigint) as foreign_, coalesce(sum(case when gap >= 3 then gap else 0 end), 0) / 40.0::double as ratio from g group by k")
