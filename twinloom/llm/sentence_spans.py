@@ -8,9 +8,10 @@ covers which is not the first of its kind (smallest identifier, then position) i
 A span depends only on the sentences it holds, so a passage that repeats gives the same spans in all its copies. Short spans
 at a text's end that don't reach `min_words` are no spans, so chance repeats of a few words are left alone.
 
-Scale: a text yields one row per sentence (hash, identifier, position); the rows are reduced per (hash, salt) before they meet,
-only hashes that repeat are joined back, per (hash, salt), so a passage that a third of all documents share is dealt over
-SALTS tasks. Texts are shuffled once, to meet the positions of their removed sentences.
+Scale: texts are shuffled once, into blocks by the hash of the identifier, and every pass reads that one exchange. A first pass
+(see passes.py) sends packed fingerprints and leaves only spans that occur again, a small part, to be joined as rows (hash,
+identifier, position). They are reduced and joined per (hash, salt), so a passage that a third of all documents share is dealt
+over SALTS tasks.
 
 Edge cases: a null text counts as empty, and its kept text is ''; equal rows with equal identifiers are occurrences at the same
 place, so all of them are first; rows without identifier come last in the order and lose nothing; a text without sentence ends is one sentence;
@@ -23,15 +24,19 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import block_count, text_bytes
+from .passes import ANSWER, SENT, answer, flags, send, width_for
 
 MIN_SENTENCES = 2
 MIN_WORDS = 8
 SALTS = 32
+BLOCK_BYTES = 2 << 20, 64 << 20
+BUCKET_BYTES = 32 << 20, 256 << 20
 SENTENCE = re.compile(r"[^\n.!?]*+(?:[.!?](?![.!?\"'»”’)\]]*+(?:\s|$))[^\n.!?]*+)*+(?:[.!?]++[\"'»”’)\]]*+[^\S\n]*+|\n[^\S\n]*+|$)")
 
 
@@ -58,53 +63,73 @@ def spans(parts: list[str], min_sentences: int, min_words: int) -> Iterator[tupl
         total -= sizes[at]
 
 
-def _span_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at, n, high, low = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for a, k, h, l in spans(sentences(text.as_py() or ""), min_sentences, min_words):
-                    ids.append(key), at.append(a), n.append(k), high.append(h), low.append(l)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["id", "at", "n", "h1", "h2"])
+def _hashed(text: str | None, min_sentences: int, min_words: int) -> list[tuple[int, int, int, int]]:
+    return list(spans(sentences(text), min_sentences, min_words)) if text else []
 
-    return docs.select("id", "text").mapInArrow(run, "id long, at int, n int, h1 long, h2 long")
+
+def _keys(halves: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a block, sorted; the place of each span's key; how often each key stands (up to 255)."""
+    keys, place, counts = np.unique(np.array(halves, np.int64).view(np.uint64), return_inverse=True, return_counts=True)
+    return keys, place, np.minimum(counts, 255).astype(np.uint8)
+
+
+def _prints(table: pa.Table, buckets: int, width: int, how: tuple[int, int]) -> pa.Table:
+    """A block's side of the filter pass."""
+    keys, _, counts = _keys([x[2] for text in table.column("text") for x in _hashed(text.as_py(), *how)])
+    return send(table.column("blk")[0].as_py(), keys, counts, buckets, width)
+
+
+def _repeated(left: pa.Table, right: pa.Table, buckets: int, how: tuple[int, int]) -> pa.Table:
+    """The spans of a block that may occur again."""
+    rows = []
+    if left.num_rows and right.num_rows:
+        found = [(key, *x) for key, text in zip(left.column("id").to_pylist(), left.column("text"), strict=True) for x in _hashed(text.as_py(), *how)]
+        keys, place, _ = _keys([x[3] for x in found])
+        stay = flags(keys, right, buckets)[0][place]
+        rows = [x for x, s in zip(found, stay, strict=True) if s]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.table({n: pa.array(c, t) for (n, t), c in zip((("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())), columns, strict=True)})
+
+
+def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block's documents without the sentences that its hits (id, at, n) cover."""
+    hits: dict[int, set[int]] = {}
+    for key, at, n in zip(*(right.column(c).to_pylist() for c in ("id", "at", "n")), strict=True):
+        hits.setdefault(key, set()).update(range(at, at + n))
+    kept, total, gone, words, runs = [], [], [], [], []
+    for key, body in zip(left.column("id").to_pylist(), left.column("text"), strict=True):
+        body = body.as_py() or ""
+        parts = sentences(body)
+        covered = sorted(i for i in hits.get(key, ()) if i < len(parts)) if key is not None else []
+        hidden, own = set(covered), []
+        for i in covered:
+            if own and own[-1]["first"] + own[-1]["n"] == i:
+                own[-1]["n"] += 1
+            else:
+                own.append({"first": i, "n": 1})
+        kept.append("".join(x for i, x in enumerate(parts) if i not in hidden) if hidden else body)
+        total.append(len(parts)), gone.append(len(hidden)), words.append(sum(len(parts[i].split()) for i in covered)), runs.append(own)
+    return pa.table({"id": left.column("id"), "text": pa.array(kept, pa.string()), "n_sentences": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed_words": pa.array(words, pa.int64()), "removed_spans": pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))})
 
 
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: key, text (what is kept), n_sentences, n_removed, removed_words, removed_spans (first sentence and
     number of sentences of every maximal removed run)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    total, how = text_bytes(docs, text), (min_sentences, min_words)
+    blocks, buckets, width = block_count(total, *BLOCK_BYTES), block_count(total, *BUCKET_BYTES), width_for(total // 64)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialise(_span_rows(base, min_sentences, min_words), "spans").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "at")).alias("first")
-    part = rows.groupBy("h1", "h2", "salt").agg(first, F.count("*").alias("n"))
-    repeated = part.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("members"), F.collect_list("salt").alias("salts")).filter("members > 1")
-    repeated = repeated.select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), F.explode("salts").alias("salt"))
-    later = rows.join(repeated, ["h1", "h2", "salt"]).filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))))
-    hits = later.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("hits")).withColumnRenamed("id", "hit_id")
-    joined = base.join(hits, base["id"] == F.col("hit_id"), "left").select("id", "text", F.col("hits.at").alias("at"), F.col("hits.n").alias("n"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, total, gone, words, runs = [], [], [], [], []
-            for body, at, n in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                body = body.as_py() or ""
-                parts = sentences(body)
-                covered = sorted({i for a, k in zip(at or (), n or (), strict=True) for i in range(a, a + k)})
-                hidden, own = set(covered), []
-                for i in covered:
-                    if own and own[-1][0] + own[-1][1] == i:
-                        own[-1][1] += 1
-                    else:
-                        own.append([i, 1])
-                kept.append("".join(x for i, x in enumerate(parts) if i not in hidden) if hidden else body)
-                total.append(len(parts)), gone.append(len(hidden)), words.append(sum(len(parts[i].split()) for i in covered))
-                runs.append([{"first": a, "n": k} for a, k in own])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))],
-                names=["id", "text", "n_sentences", "n_removed", "removed_words", "removed_spans"],
-            )
-
-    out = joined.mapInArrow(cut, "id long, text string, n_sentences long, n_removed long, removed_words long, removed_spans array<struct<first:int,n:int>>")
-    return out.select(F.col("id").alias(key), "text", "n_sentences", "n_removed", "removed_words", "removed_spans")
+    base = base.select(F.when(F.col("id").isNull(), place("text")).otherwise(place("id")).alias("blk"), "id", "text").repartition("blk")
+    sent = base.groupBy("blk").applyInArrow(lambda t: _prints(t, buckets, width, how), SENT)
+    again = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width, 255), ANSWER)
+    rows = base.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda x, y: _repeated(x, y, buckets, how), "id long, at int not null, n int not null, h1 long not null, h2 long not null")
+    # read twice, dealt once: both readers ask for the same columns, and none puts a filter for nulls below the exchange
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.lit(0))).repartition("h1", "h2", "salt")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "at", "n")).alias("first")
+    part = rows.groupBy("h1", "h2", "salt").agg(first, F.count("*").alias("members"))
+    firsts = part.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("members").alias("members"), F.collect_list("salt").alias("salts")).filter("members > 1")
+    firsts = firsts.select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), F.explode("salts").alias("salt"))
+    later = rows.join(firsts, ["h1", "h2", "salt"]).filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))))
+    hits = later.select(place("id").alias("blk"), "id", "at", "n")
+    out = base.groupBy("blk").cogroup(hits.groupBy("blk")).applyInArrow(_cut, "id long, text string, n_sentences long, n_removed long, removed_words long, removed_spans array<struct<first:int,n:int>>")
+    return out.withColumnRenamed("id", key)
