@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,9 +41,9 @@ def test_language_edges(spark):
 
 
 def test_backoff_goes_from_words_to_shorter_grams():
-    counts = {0: {"cat": {"en": 5}}, **{k: {} for k in language_id.ORDERS}}
-    counts[3] = {"<ca": {"en": 9}, "gat": {"es": 9}}
-    counts[1] = {"z": {"es": 3}}
+    counts = {0: (["cat"], np.array([[5, 0]])), **{k: ([], np.zeros((0, 2))) for k in language_id.ORDERS}}
+    counts[3] = ["<ca", "gat"], np.array([[9, 0], [0, 9]])
+    counts[1] = ["z"], np.array([[0, 3]])
     m = language_id.Model(["en", "es"], counts)
     assert m.vector("cat")[0] > m.vector("cat")[1] and m.vector("gato")[1] > m.vector("gato")[0] and m.vector("zz")[1] > m.vector("zz")[0]
     assert list(m.vector("qq")) == [0, 0]

@@ -56,22 +56,18 @@ def grams(word: str, order: int) -> list[str]:
 class Model:
     """Vectors of words and n-grams over the languages, in sorted order."""
 
-    def __init__(self, languages: list[str], counts: dict[int, dict[str, dict[str, int]]]) -> None:
-        """counts: order (0: whole words) -> token -> language -> occurrences."""
+    def __init__(self, languages: list[str], counts: dict[int, tuple[list[str], np.ndarray]]) -> None:
+        """counts: order (0: whole words) -> tokens, and their occurrences in each of the sorted languages."""
         self.languages = sorted(languages)
-        place = {x: i for i, x in enumerate(self.languages)}
         self.tables: dict[int, dict[str, int]] = {}
-        rows = []
-        for order, tokens in counts.items():
-            table = np.zeros((len(tokens), len(place)))
-            for i, found in enumerate(tokens.values()):
-                for language, n in found.items():
-                    table[i, place[language]] = n
+        rows, at = [], 0
+        for order, (tokens, table) in counts.items():
             logs = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * (len(tokens) + 1)))
             logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
-            self.tables[order] = {x: len(rows) + i for i, x in enumerate(tokens)}
-            rows.extend(logs.astype(np.float32))
-        self.rows = np.array(rows, np.float32).reshape(len(rows), len(place))
+            self.tables[order] = dict(zip(tokens, range(at, at + len(tokens)), strict=True))
+            rows.append(logs.astype(np.float32))
+            at += len(tokens)
+        self.rows = np.concatenate(rows) if rows else np.zeros((0, len(self.languages)), np.float32)
 
     def vector(self, word: str) -> np.ndarray:
         if (i := self.tables[0].get(word)) is not None:
@@ -122,7 +118,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
-        return Model([], {k: {} for k in (0, *ORDERS)})
+        return Model([], {k: ([], np.zeros((0, 0))) for k in (0, *ORDERS)})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_train_docs / n))])
     picked = rows.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
@@ -135,20 +131,21 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     for order in ORDERS:
                         for g in grams(word, order):
                             found[language, order, g] += k
-            if len(found) > 500_000:
+            if len(found) > 150_000:
                 yield _counts(found)
                 found = Counter()
         yield _counts(found)
 
     small_batches(docs.sparkSession)
     counted = picked.select("lang", "text").mapInArrow(count, "lang string, ord int, token string, n long").groupBy("ord", "token", "lang").agg(F.sum("n").alias("n"))
-    counts: dict[int, dict[str, dict[str, int]]] = {}
     per_token = materialise(counted.groupBy("ord", "token").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")), "tokens")
+    languages, counts = sorted(sizes), {}
     for order in (0, *ORDERS):
         most = max_words if order == 0 else max_grams
         kept = per_token.filter(F.col("ord") == order).orderBy(F.desc("n"), "token").limit(most)
-        counts[order] = {r["token"]: r["by"] for r in kept.collect()}
-    return Model(list(sizes), counts)
+        found = kept.select("token", *[F.coalesce(F.col("by")[F.lit(x)], F.lit(0)).cast("double").alias(f"l{i}") for i, x in enumerate(languages)]).toArrow()
+        counts[order] = found.column("token").to_pylist(), np.stack([found.column(f"l{i}").to_numpy() for i in range(len(languages))], 1)
+    return Model(languages, counts)
 
 
 def _counts(found: Counter) -> pa.RecordBatch:
@@ -178,13 +175,13 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = 0.0, **how) -> DataFrame:
     """The documents, with all their columns, whose language is recognised with at least min_score."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, key, text, lang, **how))
+    place = docs.columns.index(text)
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guess = Predictor(model.value)
-        return pd.Series([(x := guess(t))[0] != UNKNOWN and x[1] >= min_score for t in texts], dtype=bool)
+        for batch in batches:
+            found = (guess(x.as_py()) for x in batch.column(place))
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= min_score for x in found], pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.filter(known(F.col(text)))
+    return docs.mapInArrow(known, docs.schema)
