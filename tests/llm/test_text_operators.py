@@ -45,9 +45,20 @@ def test_backoff_goes_from_words_to_shorter_grams():
     counts[3] = ["<ca", "gat"], np.array([[9, 0], [0, 9]])
     counts[1] = ["z"], np.array([[0, 3]])
     m = language_id.Model(["en", "es"], counts)
-    assert m.vector("cat")[0] > m.vector("cat")[1] and m.vector("gato")[1] > m.vector("gato")[0] and m.vector("zz")[1] > m.vector("zz")[0]
-    assert list(m.vector("qq")) == [0, 0]
-    assert abs(m.vector("gato")).max() > 0
+    cat, gato, zz, none = m.vectors(["cat", "gato", "zz", "qq"])
+    assert cat[0] > cat[1] and gato[1] > gato[0] and zz[1] > zz[0] and list(none) == [0, 0]
+    assert abs(cat).max() > abs(gato).max() > 0 and m.vectors([]).shape == (0, 2)
+
+
+def test_small_cache_changes_nothing(monkeypatch):
+    counts = {k: ([], np.zeros((0, 2))) for k in (0, *language_id.ORDERS)}
+    counts[2] = ["<a", "<b", "xx"], np.array([[9, 1], [2, 5], [3, 3]])
+    m = language_id.Model(["en", "es"], counts)
+    texts = ["ab ac ad bx by", "axx bxx cxx", "b", "ab " * 50 + "by bz", "a b c d e f g h i j k"]
+    want = [language_id.Predictor(m)(t) for t in texts]
+    monkeypatch.setattr(language_id, "CACHE", 4)
+    small = language_id.Predictor(m)
+    assert [(a, round(x, 9)) for a, x in map(small, texts)] == [(a, round(x, 9)) for a, x in want]
 
 
 # --- tokens -----------------------------------------------------------------

@@ -69,16 +69,31 @@ class Model:
             at += len(tokens)
         self.rows = np.concatenate(rows) if rows else np.zeros((0, len(self.languages)), np.float32)
 
-    def vector(self, word: str) -> np.ndarray:
+    def _found(self, word: str) -> tuple[list[int], float]:
+        """Rows that stand for a word, and their weight: its own, or those of its known n-grams of the longest order with any."""
         if (i := self.tables[0].get(word)) is not None:
-            return self.rows[i]
+            return [i], 1.0
         weight = BACKOFF
         for order in ORDERS:
-            known = [i for g in grams(word, order) if (i := self.tables[order].get(g)) is not None]
+            get = self.tables[order].get
+            known = [i for g in grams(word, order) if (i := get(g)) is not None]
             if known:
-                return self.rows[known].mean(0) * weight
+                return known, weight
             weight *= BACKOFF
-        return np.zeros(len(self.languages), np.float32)
+        return [], 0.0
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """One row per word: the weighted mean of the rows that stand for it, zeros if there are none."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        found = [self._found(w) for w in words]
+        sizes = np.array([len(x) for x, _ in found])
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.array([i for x, _ in found for i in x])
+            begins = (np.cumsum(sizes) - sizes)[some]
+            weights = np.array([w for _, w in found], np.float32)[some] / sizes[some]
+            out[some] = np.add.reduceat(self.rows[flat], begins, axis=0) * weights[:, None]
+        return out
 
 
 class Predictor:
@@ -86,28 +101,30 @@ class Predictor:
 
     def __init__(self, model: Model) -> None:
         self.model, self.cache = model, {}
-        self.vectors = np.zeros((CACHE, len(model.languages)), np.float32)
+        self.kept = np.zeros((CACHE, len(model.languages)), np.float32)
+
+    def _total(self, words: Counter) -> np.ndarray:
+        """Sum of the vectors of a text's words."""
+        if len(self.cache) + len(words) > CACHE:
+            self.cache.clear()
+        at = list(map(self.cache.get, words))
+        n = np.fromiter(words.values(), np.float64, len(words))
+        if None in at:
+            new = [w for w, i in zip(words, at, strict=True) if i is None]
+            found = self.model.vectors(new)
+            if len(words) > CACHE:  # more words than the cache has places: nothing of this text is kept
+                return n @ found.astype(np.float64)
+            first = len(self.cache)
+            self.kept[first : first + len(new)] = found
+            self.cache.update(zip(new, range(first, first + len(new)), strict=True))
+            at = list(map(self.cache.get, words))
+        return n @ self.kept[at].astype(np.float64)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = Counter(WORDS.findall(text.lower())) if text else None
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        cache, at = self.cache, []
-        extra = np.zeros(len(self.model.languages))
-        n = []
-        for word, k in words.items():
-            i = cache.get(word)
-            if i is None:
-                if len(cache) >= CACHE:  # one text with more words than the cache has places
-                    extra += self.model.vector(word) * k
-                    continue
-                i = cache[word] = len(cache)
-                self.vectors[i] = self.model.vector(word)
-            at.append(i)
-            n.append(k)
-        total = np.asarray(n, np.float64) @ self.vectors[at].astype(np.float64) + extra
+        total = self._total(words)
         best = int(np.argmax(np.round(total, 9)))
         scaled = total * (min(EVIDENCE, words.total()) / words.total())
         return self.model.languages[best], float(min(1.0, math.exp(scaled[best] - np.logaddexp.reduce(scaled))))
