@@ -21,3 +21,15 @@ def test_entry_points():
 
     assert set(CATALOG.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_points_without_the_optional_part(monkeypatch):
+    import importlib.util
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    spec = importlib.util.find_spec("__spark_entry__")
+    entry = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(entry)
+    assert "keep_view" in entry.queries() and not any(n.startswith("op") and n[2].isdigit() or n == "pipeline" for n in entry.queries())
+    assert set(entry.oracle_sql()) == set(CATALOG.ORACLES)
