@@ -69,3 +69,21 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> D
     found = rows.withColumn("_f_bucket", bucket).withColumn("_f_bit", bit).join(F.broadcast(bits), "_f_bucket")
     byte = F.conv(F.hex(F.substring(F.col("_f_bits"), F.expr("cast(_f_bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
     return found.filter(F.getbit(byte, (F.col("_f_bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
+#: Parts of a key that may be hot; at most 63, as a part is a bit of a mask.
+SALTS = 60
+
+
+def salt_of(key: str) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"), F.lit(0))
+
+
+def salt_mask(salt: str = "salt") -> Column:
+    """Aggregate: the salts under which a key's rows stand, as a bit mask."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(salt)))
+
+
+def salts_in(mask: str) -> Column:
+    """The salts of a mask, as an array to explode: what is joined back per (key, salt) is repeated as often as needed only."""
+    return F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col(mask), i) == 1)

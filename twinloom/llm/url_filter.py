@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from .common import lower_ascii, materialise, salt_mask, salt_of, salts_in
 
 BLOCK = "label=block"
 MIN_SUPPORT = 0.002
@@ -106,13 +106,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str], key: str =
     facts = labels.select(F.col("url_id").cast("long").alias("url_id"), F.col("bad").cast("boolean").alias("bad")).filter("url_id is not null").groupBy("url_id").agg(F.max(F.coalesce("bad", F.lit(False))).alias("bad"))
     mined = mine(rows.select("tokens", number.alias("url_id")).join(facts, "url_id").select("tokens", "bad"), **how)
     index = mined.select(F.explode("tokens").alias("token"), "rule_id", "confidence", F.size("tokens").alias("n_tokens"))
-    # urls share few token sets, so the sets are matched once each
-    sets = rows.select("tokens").distinct().withColumn("set_id", F.xxhash64(F.array_join("tokens", "\x1f")))
+    # urls share few token sets, so the sets are matched once each; a set that very many urls have is joined back in parts
+    rows = rows.withColumn("set_id", F.xxhash64(F.array_join("tokens", "\x1f"))).withColumn("salt", salt_of("id"))
+    sets = rows.groupBy("set_id").agg(F.first("tokens").alias("tokens"), salt_mask().alias("mask"))
     fired = (
-        sets.select("set_id", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
-        .groupBy("set_id", "rule_id", "n_tokens").agg(F.count("*").alias("found"), F.first("confidence").alias("confidence"))
-        .filter("found = n_tokens").groupBy("set_id").agg(F.max("confidence").alias("confidence"))
+        sets.select("set_id", "mask", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+        .groupBy("set_id", "rule_id", "n_tokens").agg(F.count("*").alias("found"), F.first("confidence").alias("confidence"), F.first("mask").alias("mask"))
+        .filter("found = n_tokens").groupBy("set_id").agg(F.max("confidence").alias("confidence"), F.first("mask").alias("mask"))
+        .select("set_id", "confidence", F.explode(salts_in("mask")).alias("salt"))
     )
-    out = rows.withColumn("set_id", F.xxhash64(F.array_join("tokens", "\x1f"))).join(fired, "set_id", "left")
+    out = rows.join(fired, ["set_id", "salt"], "left")
     verdict = F.coalesce("listed", F.when(F.col("confidence").isNotNull(), F.lit("block")), F.lit("allow"))
     return out.select(F.col("id").alias(key), "host", "path", "rule", verdict.alias("verdict"), "confidence")
