@@ -34,7 +34,7 @@ from .passes import ANSWER, SENT, answer, flags, send, width_for
 
 MIN_SENTENCES = 2
 MIN_WORDS = 8
-SALTS = 32
+SALTS = 512
 BLOCK_BYTES = 2 << 20, 64 << 20
 BUCKET_BYTES = 32 << 20, 256 << 20
 SENTENCE = re.compile(r"[^\n.!?]*+(?:[.!?](?![.!?\"'»”’)\]]*+(?:\s|$))[^\n.!?]*+)*+(?:[.!?]++[\"'»”’)\]]*+[^\S\n]*+|\n[^\S\n]*+|$)")
