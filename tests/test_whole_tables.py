@@ -1,0 +1,49 @@
+"""Queries over whole tables, on tables that are larger than the bounds of the bounded ones."""
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from compare import check
+from twinloom.plans import load_all
+
+SF = "/root/testdata/sf0.01"
+CATALOG = load_all()
+
+
+@pytest.mark.parametrize("name", ["candidates", "audio_offset_search", "ads_flag", "label_candidates", "surviving_pairs"])
+def test_whole_table_equals_oracle(spark, name):
+    got = CATALOG.QUERIES[f"{name}_whole"](spark, SF)
+    check(got, CATALOG.ORACLES[f"{name}_whole"], SF)
+    assert got.count() > CATALOG.QUERIES[name](spark, SF).count()
+
+
+def test_whole_split_equals_brute_force(spark, tmp_path):
+    rows = [(i, f"s{i % 7}") for i in range(700)]
+    pq.write_table(pa.table({"doc_id": [i for i, _ in rows], "source": [s for _, s in rows]}), tmp_path / "documents.parquet")
+    got = sorted((r.a, r.b) for r in CATALOG.QUERIES["split_veto_pairs_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted((min(x, y), max(x, y)) for x, s in rows if x % 10 == 1 for y, t in rows if s == t and y % 10 != 1)
+    assert len(got) > CATALOG.QUERIES["split_veto_pairs"](spark, str(tmp_path)).count() > 0
+
+
+def test_whole_graph_equals_union_find(spark):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect():
+        x, y = sorted((root(r.doc_id), root((r.doc_id * 7 + 3) % 1009)))
+        up[y] = x
+    want = {x: root(x) for x in up}
+    assert {r.id: r.component for r in CATALOG.QUERIES["connected_components_whole"](spark, SF).collect()} == want
+    groups = {}
+    for x, c in want.items():
+        groups.setdefault(c, []).append(str(x))
+    keys = spark.createDataFrame([(c, "\x1f".join(sorted(m))) for c, m in groups.items()], "component long, members string").select("component", F.sha2("members", 256).alias("members_key"))
+    got = {r.component: r.members_key for r in CATALOG.QUERIES["cluster_membership_whole"](spark, SF).collect()}
+    assert got == {r.component: r.members_key for r in keys.collect()}
+    assert set(want) > {r.id for r in CATALOG.QUERIES["connected_components"](spark, SF).collect()}

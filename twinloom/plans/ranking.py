@@ -12,7 +12,7 @@ from ..operators import blocking, calibrate, rank, summaries, views
 from ..sources import media
 from ..sources.scratch import scratch_path
 from ..streaming import watch
-from .catalog import longs, query, table
+from .catalog import longs, query, table, whole
 
 TH = Thresholds()
 
@@ -78,9 +78,18 @@ _PAIRS_SQL = "pairs as (select o_orderkey % 900 as a, o_custkey % 900 as b, case
     """
 )
 def ads_flag(spark, sf):
+    return _ads(spark, sf, table(spark, sf, "part").filter("p_partkey < 900"))
+
+
+@query(whole("ads_flag", " where p_partkey < 900"))
+def ads_flag_whole(spark, sf):
+    return _ads(spark, sf, table(spark, sf, "part"))
+
+
+def _ads(spark, sf, part):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     pairs = table(spark, sf, "orders").select((k % 900).alias("a"), (c % 900).alias("b"), F.when(k % 5 != 0, (k % 31 - 15).cast("double")).alias("ad_offset_s"), (c % 10 / 100.0).alias("interleaved_ratio"), (k % 3 - 1).alias("ad_dir"))
-    own = table(spark, sf, "part").filter("p_partkey < 900").select((F.col("p_partkey") % 40).alias("cluster_id"), F.col("p_partkey").alias("path"))
+    own = part.select((F.col("p_partkey") % 40).alias("cluster_id"), F.col("p_partkey").alias("path"))
     return rank.carries_ads(pairs, own, TH)
 
 
@@ -260,7 +269,16 @@ def probe_latency(spark, sf):
     """
 )
 def label_candidates(spark, sf):
-    items = table(spark, sf, "documents").filter("doc_id < 400").select(F.col("doc_id").alias("path"), F.floor(F.col("n_chars") / 3).alias("title"), F.col("n_chars").alias("duration"))
+    return _label_candidates(spark, table(spark, sf, "documents").filter("doc_id < 400"))
+
+
+@query(whole("label_candidates", " where doc_id < 400"))
+def label_candidates_whole(spark, sf):
+    return _label_candidates(spark, table(spark, sf, "documents"))
+
+
+def _label_candidates(spark, documents):
+    items = documents.select(F.col("doc_id").alias("path"), F.floor(F.col("n_chars") / 3).alias("title"), F.col("n_chars").alias("duration"))
     found = blocking.label_candidates(items, spark.createDataFrame([], "a bigint, b bigint"))
     return blocking.without_pairs(found, found.filter("a % 5 = 0").select("a", "b"))
 
@@ -276,6 +294,12 @@ def surviving_pairs(spark, sf):
     return blocking.existing(pairs, spark.range(2000).filter("id % 3 <> 0").withColumnRenamed("id", "path"))
 
 
+@query(whole("surviving_pairs", " and o_orderkey < 2000 and o_custkey < 2000"))
+def surviving_pairs_whole(spark, sf):
+    pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
+    return blocking.existing(pairs, pairs.select(F.col("a").alias("path")).union(pairs.select("b")).filter("path % 3 <> 0"))
+
+
 @query(f"with {_LABELLED_SQL} select k, label, case when k % 4 = 0 then 0.5 else v_score end as v_score from labelled where k % 12 <> 0")
 def feedback_signals(spark, sf):
     own = labelled(spark, sf).withColumn("a", F.col("k")).withColumn("b", F.col("k") + 1)

@@ -10,7 +10,7 @@ from ..functions import vectors as V
 from ..operators import align, blocking, decide, store
 from ..operators.graph import cluster_name, components
 from ..operators.cluster import membership_key, split_vetoes, touched_clusters
-from .catalog import longs, query, table
+from .catalog import longs, query, table, whole
 
 TH = Thresholds()
 
@@ -78,9 +78,18 @@ def cosine_gate(spark, sf):
     """
 )
 def candidates(spark, sf):
+    return _candidates(spark, sf, table(spark, sf, "documents").filter("doc_id < 500"))
+
+
+@query(whole("candidates", "a.doc_id < 500 and b.doc_id < 500 and "))
+def candidates_whole(spark, sf):
+    return _candidates(spark, sf, table(spark, sf, "documents"))
+
+
+def _candidates(spark, sf, documents):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     near = blocking.top_k(e, e, 5).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    return blocking.candidates(near, blocking.duration_pairs(table(spark, sf, "documents").filter("doc_id < 500"), "doc_id", "n_chars", 0.01))
+    return blocking.candidates(near, blocking.duration_pairs(documents, "doc_id", "n_chars", 0.01))
 
 
 _PAIRS_SQL = "pairs as (select o_orderkey as a, o_orderkey + 1 + o_custkey % 7 as b from orders)"
@@ -132,11 +141,20 @@ _ITEMS_SQL = "items as (select user_id as key, row_number() over (partition by u
     """
 )
 def audio_offset_search(spark, sf):
+    return _audio_offsets(table(spark, sf, "events").filter("user_id < 12"))
+
+
+@query(whole("audio_offset_search", " where user_id < 12"))
+def audio_offset_search_whole(spark, sf):
+    return _audio_offsets(table(spark, sf, "events"))
+
+
+def _audio_offsets(events):
     from pyspark.sql import Window as W
 
-    items = table(spark, sf, "events").filter("user_id < 12").select(F.col("user_id").alias("key"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts")) - 1).alias("i"), (F.col("event_id") * 2654435761 % 4294967296).alias("x"))
+    items = events.select(F.col("user_id").alias("key"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts")) - 1).alias("i"), (F.col("event_id") * 2654435761 % 4294967296).alias("x"))
     keys = items.select("key").distinct()
-    pairs = keys.select(F.col("key").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("b")).filter("a < b").join(keys.withColumnRenamed("key", "b"), "b", "left_semi").select("a", "b")
+    pairs = keys.select(F.col("key").alias("a")).join(keys.select(F.col("key").alias("b")), F.col("a") < F.col("b"))
     return longs(align.audio_offsets_sql(pairs, items, 20, 30).select("a", "b", "off", "n", F.round("sim", 9).alias("sim")), "off")
 
 
@@ -285,8 +303,8 @@ _GRAPH_SQL = "edges as (select doc_id as a, (doc_id * 7 + 3) % 1009 as b from do
 _REACH_SQL = "both_ as (select a, b from edges union select b, a from edges), reach as (select a as x, a as y from both_ union select r.x, e.b from reach r join both_ e on e.a = r.y), comp as (select x as id, min(y) as component from reach group by x)"
 
 
-def edges(spark, sf):
-    return table(spark, sf, "documents").filter("n_chars % 4 = 0").select(F.col("doc_id").alias("a"), ((F.col("doc_id") * 7 + 3) % 1009).alias("b"))
+def edges(spark, sf, which="n_chars % 4 = 0"):
+    return table(spark, sf, "documents").filter(which).select(F.col("doc_id").alias("a"), ((F.col("doc_id") * 7 + 3) % 1009).alias("b"))
 
 
 @query(f"with recursive {_GRAPH_SQL}, {_REACH_SQL} select id, component, ('0x' || substr(sha256(component::varchar), 1, 14))::bigint as cluster_id from comp")
@@ -294,17 +312,34 @@ def connected_components(spark, sf):
     return components(edges(spark, sf)).withColumn("cluster_id", cluster_name(F.col("component")))
 
 
+@query()
+def connected_components_whole(spark, sf):
+    """Without an oracle, as the closure of the whole graph grows with the square of its components."""
+    return components(edges(spark, sf, "true")).withColumn("cluster_id", cluster_name(F.col("component")))
+
+
 @query(f"with recursive {_GRAPH_SQL}, {_REACH_SQL} select component, sha256(string_agg(id::varchar, chr(31) order by id::varchar)) as members_key from comp group by 1")
 def cluster_membership(spark, sf):
     return membership_key(components(edges(spark, sf)), "component", "id")
 
 
+@query()
+def cluster_membership_whole(spark, sf):
+    return membership_key(components(edges(spark, sf, "true")), "component", "id")
+
+
 @query("with g as (select source as c, doc_id from documents where doc_id < 300) select least(x.doc_id, y.doc_id) as a, greatest(x.doc_id, y.doc_id) as b from g x join g y using (c) where x.doc_id % 10 = 1 and y.doc_id % 10 <> 1")
 def split_veto_pairs(spark, sf):
     g = table(spark, sf, "documents").filter("doc_id < 300").select(F.col("source").alias("cluster_id"), F.col("doc_id").alias("path"))
     return split_vetoes(g, g.filter("path % 10 = 1"))
 
 
+@query(whole("split_veto_pairs", " where doc_id < 300"))
+def split_veto_pairs_whole(spark, sf):
+    g = table(spark, sf, "documents").select(F.col("source").alias("cluster_id"), F.col("doc_id").alias("path"))
+    return split_vetoes(g, g.filter("path % 10 = 1"))
+
+
 @query("select distinct source as cluster_id from documents where doc_id % 97 = 1")
 def affected_clusters(spark, sf):
     g = table(spark, sf, "documents").select(F.col("source").alias("cluster_id"), F.col("doc_id").alias("path"))
