@@ -285,3 +285,13 @@ def test_items_in_blocks_and_clean_documents(spark, monkeypatch):
     kept = decontaminate.keep_clean(docs, items)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {5, 6, None}
     assert decontaminate.leaks(docs, items.filter("false")).count() == 0 and decontaminate.leaks(docs.filter("false"), items).count() == 0
+
+
+@pytest.mark.parametrize("n", [30, 100, 200, 400])
+def test_long_items_are_found_at_the_largest_distance(n):
+    items = decontaminate.Items([(i, " ".join(f"i{i}x{j}" for j in range(n))) for i in range(20)], decontaminate.MAX_EDITS)
+    import pyarrow as pa
+
+    texts = [" ".join(["pad"] * i + [f"new{j}" if j % 4 == 3 else f"i{i}x{j}" for j in range(n)] + ["pad"] * 9) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], names=["id", "text"])
+    assert sorted((i, item, edits) for i, item, _, _, edits in decontaminate._matches(items, batch)) == [(i, i, n // 4) for i in range(20)]

@@ -5,6 +5,8 @@ embedded by CGK random walks: a walk writes the word that it stands on and moves
 so that a small edit distance becomes a small Hamming distance. The Hamming space is searched by bit-sampling LSH: a key is
 what an embedding holds at SAMPLED random steps; REPEATS independent walks and samples give the target recall. Window and item
 that agree in a key are verified by the exact edit distance (with free ends around the window, so a shift costs nothing).
+Items of more than EMBEDDED_WORDS words are not embedded, as the share of agreeing steps falls with the length: all their windows
+go to the exact check, which first counts the words that window and item share.
 
 Windows: of all item-sized windows only those are embedded that share `q` consecutive words with the item at the place where
 the item has them. No passage within the distance is lost by that: k edits leave one of k + 1 pieces of n words untouched, and
@@ -39,6 +41,8 @@ SAMPLED = 2
 TARGET_RECALL = 0.999
 #: Share of steps at which the embeddings of two sequences at the largest distance still agree, at least.
 AGREEMENT = 0.4
+#: Longer items are not embedded: walks that are out of step meet late, so AGREEMENT does not hold; all their windows are verified.
+EMBEDDED_WORDS = 16
 REPEATS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREEMENT**SAMPLED))
 BLOCK_ITEMS = 20_000
 BLOCK_WORDS = 2_000_000
@@ -111,14 +115,15 @@ class Items:
         for q in {len(x) for x in places}:
             own = sorted((self.code(x), np.array(at, np.int64)) for x, at in places.items() if len(x) == q)
             self.seeds[q] = np.array([c for c, _ in own], np.int64), [at for _, at in own]
-        self.longest = max([len(w) for w in self.words if len(w) >= MIN_WORDS], default=0)
+        self.longest = max([len(w) for w in self.words if MIN_WORDS <= len(w) <= EMBEDDED_WORDS], default=0)
         self.walks = Walks(self.longest) if self.longest else None
         self.table = np.zeros((len(self.words), self.longest), np.int64)
         for i, w in enumerate(self.words):
-            if len(w) >= MIN_WORDS:
+            if MIN_WORDS <= len(w) <= EMBEDDED_WORDS:
                 self.table[i, : len(w)] = w
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.item_keys = [self.walks.keys(self.table, self.sizes, r) for r in range(REPEATS)] if self.walks else []
+        embedded = np.where(self.sizes <= EMBEDDED_WORDS, self.sizes, 0)
+        self.item_keys = [self.walks.keys(self.table, embedded, r) for r in range(REPEATS)] if self.walks else []
 
     def code(self, words: tuple[int, ...]) -> int:
         out = 0
@@ -147,10 +152,16 @@ class Items:
         return np.unique(np.array(found, np.int64).reshape(-1, 3), axis=0)
 
     def candidates(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Which of the rows (text, item, start) agree with their item in a key of any repeat."""
+        """Which of the rows (text, item, start) agree with their item in a key of any repeat, or have an item that is not embedded."""
+        live = self.sizes[rows[:, 1]] > EMBEDDED_WORDS
+        short = np.flatnonzero(~live)
+        if len(short):
+            live[short] = self.agreeing(flat, begins, lengths, rows[short])
+        return live
+
+    def agreeing(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which of the rows (text, item, start), all of embedded items, agree with their item in a key of any repeat."""
         live = np.zeros(len(rows), bool)
-        if not len(rows):
-            return live
         size = self.sizes[rows[:, 1]]
         place = rows[:, 2][:, None] + np.arange(self.longest)
         inside = (place >= 0) & (place < lengths[rows[:, 0]][:, None]) & (np.arange(self.longest) < size[:, None])
@@ -170,7 +181,9 @@ class Items:
         low, high = max(0, start - k), min(len(text), start + len(w) + k)
         part = text[low:high]
         own, times = self.bags[item]
-        if int(np.minimum(np.bincount(part, minlength=len(self.known) + 1)[own], times).sum()) < len(w) - k:  # too few of its words
+        there, often = np.unique(part, return_counts=True)
+        at = np.minimum(np.searchsorted(there, own), len(there) - 1)
+        if int(np.minimum(np.where(there[at] == own, often[at], 0), times).sum()) < len(w) - k:  # too few of its words
             return k + 1, low, low
         row, origin = np.zeros(len(part) + 1, np.int64), np.arange(len(part) + 1)
         step = np.arange(len(part) + 1)
