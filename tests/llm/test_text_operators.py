@@ -127,6 +127,17 @@ def test_extract(page, text):
     assert html_text.extract(page) == text
 
 
+def test_text_beside_the_core_stays():
+    line = "Plain words of the article stand here without any paragraph around them, all along the page's way. "
+    quote = "<blockquote><p>" + "quoted words " * 13 + "</p><p>" + "cited words " * 14 + "</p></blockquote>"
+    own = [line.strip()] * 20
+    cited = [" ".join(["quoted words"] * 13), " ".join(["cited words"] * 14)]
+    page = f"<body><div>{'<br>'.join(own[:10])}{quote}{'<br>'.join(own[10:])}</div></body>"
+    assert html_text.extract(page) == "\n".join([" ".join(own[:10]), *cited, " ".join(own[10:])])
+    page = f"<body>Direct <i>text</i> in the body.<div>{quote}</div><a href=x>link</a>&nbsp;| <a href=y>link</a></body>"
+    assert html_text.extract(page) == "\n".join(["Direct text in the body.", *cited])
+
+
 def test_deep_and_broken_markup_is_linear():
     assert "x" in html_text.extract("<div>" * 5000 + "x")
     assert html_text.extract("<p>" + "<b " * 20000) is not None

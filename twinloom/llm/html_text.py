@@ -5,7 +5,8 @@ footers, elements whose class or id says advert, comments, notice, ...) are cut
 text density is computed: characters per tag, adjusted by the share of linked characters and tags against the page's share.
 The densities of a block's children are summed; the block with the greatest sum is the core. The threshold is the least
 density on the path from the core up to the body, and every block beside that path whose density reaches it belongs to the
-text as well; if the core lies in an <article> or <main>, the outermost of these is taken whole.
+text as well, and so does text that lies directly in an element on the path, apart from runs of nothing but links and signs
+between them; if the core lies in an <article> or <main>, the outermost of these is taken whole.
 
 Text: character references decoded, white space inside a block made one space and trimmed, blocks joined in page order by \\n.
 
@@ -49,6 +50,8 @@ SCOPE = frozenset("html body article section div main table td th ul ol dl form
 MARKUP = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?")
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 TOKEN = re.compile(r"[a-z0-9]+")
+#: No element's name: a block of the text that lies directly in an element.
+RUN = "#run"
 
 
 class Node:
@@ -236,14 +239,51 @@ def _chosen(order: list[Node], body: Node) -> list[Node]:
                 out.append(node)
                 continue
             if id(node) in on_path:
-                todo.extend(reversed([x for x in node.children if not isinstance(x, str)]))
-            elif node.density >= threshold and node.chars:
+                todo.extend(reversed(_runs(node, on_path)))
+            elif node.tag == RUN or node.density >= threshold and node.chars:
                 out.append(node)
 
     walk(path[-1])
     return out
 
 
+def _says(parts: list) -> bool:
+    """Whether there is a letter or digit outside of links."""
+    todo = list(parts)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if any(map(str.isalnum, html.unescape(x))):
+                return True
+        elif x.tag != "a":
+            todo.extend(x.children)
+    return False
+
+
+def _runs(node: Node, on_path: set[int]) -> list[Node]:
+    """The children of an element, with its own text and inline elements gathered to runs; runs of nothing but links and signs between them stay apart."""
+    out: list[Node] = []
+    own: list = []
+
+    def flush() -> None:
+        if _says(own):
+            run = Node(RUN, "", node)
+            run.children = own.copy()
+            out.append(run)
+        else:
+            out.extend(x for x in own if not isinstance(x, str))
+        own.clear()
+
+    for x in node.children:
+        if isinstance(x, str) or x.tag in INLINE and id(x) not in on_path:
+            own.append(x)
+        else:
+            flush()
+            out.append(x)
+    flush()
+    return out
+
+
 def _lines(node: Node) -> list[str]:
     """Blocks of text below a node, in page order."""
     lines: list[str] = []
