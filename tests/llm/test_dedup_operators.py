@@ -227,6 +227,16 @@ def test_span_edges(spark):
     assert [[s.asDict() for s in r.removed_spans] for r in got if r.doc_id == 2] == [[{"first": 0, "n": 2}]]
 
 
+@pytest.mark.parametrize("sizes", [(20, 34, 17, 1, 1), (2, 10, 24, 1, 6), (3, 3, 3), (1, 1, 9, 1, 1), (5, 1, 1, 1)])
+def test_short_ends_of_copies_go(spark, tmp_path, sizes):
+    words = iter(f"w{i}" for i in range(99))
+    copied = " ".join(" ".join(next(words) for _ in range(n)) + "." for n in sizes)
+    rows = [(1, f"{copied} Here the first text goes on by itself, at some length."), (2, copied), (3, f"Own words of the third text stand before it. {copied} And others follow it here.")]
+    spark.createDataFrame(rows, DDL).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op4_sentence_spans(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "Own words of the third text stand before it. And others follow it here."}
+
+
 @pytest.mark.parametrize("text", ["", "a", "a.b. c", "x!? \"Y.\" z\n\n w", "\n", "...", "a. " * 50, "e.g. f", ".", ". .\n.", "?!)]\n"])
 def test_sentences_join_to_the_text(text):
     assert "".join(sentence_spans.sentences(text)) == text

@@ -70,7 +70,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.dedup_spans(table(spark, sf_dir, "documents"))
+    return sentence_spans.dedup_spans(table(spark, sf_dir, "documents"), both_ends=True)
 
 
 @query()

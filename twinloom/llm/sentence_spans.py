@@ -1,7 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
 Texts are cut into sentences (after . ! ? and their closing marks before white space, and at line ends). From every sentence
-on, the shortest run of at least `min_sentences` consecutive sentences with at least `min_words` words is a span. Spans are
+on, the shortest run of at least `min_sentences` consecutive sentences with at least `min_words` words is a span; with `both_ends`
+the shortest such run up to every sentence is one as well, so every sentence of a repeated run that meets both minima is covered
+by a span within that run (without, a copy's last short sentences may stay). Spans are
 hashed (128 bits of their words, lower-cased, white space apart), joined over all documents, and each sentence that a span
 covers which is not the first of its kind (smallest identifier, then position) is removed.
 
@@ -45,26 +47,36 @@ def sentences(text: str) -> list[str]:
     return [x for x in SENTENCE.findall(text) if x]
 
 
-def spans(parts: list[str], min_sentences: int, min_words: int) -> Iterator[tuple[int, int, int, int]]:
+def spans(parts: list[str], min_sentences: int, min_words: int, both_ends: bool = False) -> Iterator[tuple[int, int, int, int]]:
     """(first sentence, number of sentences, two halves of the hash) of every span."""
     words = [x.lower().split() for x in parts]
     full = [i for i, x in enumerate(words) if x]  # blank sentences are part of no span
     forms = [" ".join(words[i]).encode() for i in full]
     sizes = [len(words[i]) for i in full]
-    end = total = 0
+    found, end, total = set(), 0, 0
     for at in range(len(full)):
         while end < len(full) and (end - at < min_sentences or total < min_words):
             total += sizes[end]
             end += 1
         if end - at < min_sentences or total < min_words:
-            return
+            break
+        found.add((at, end))
+        total -= sizes[at]
+    at = total = 0
+    for end in range(1, len(full) + 1) if both_ends else ():
+        total += sizes[end - 1]
+        while end - at > min_sentences and total - sizes[at] >= min_words:
+            total -= sizes[at]
+            at += 1
+        if end - at >= min_sentences and total >= min_words:
+            found.add((at, end))
+    for at, end in sorted(found):
         digest = hashlib.blake2b(b"\n".join(forms[at:end]), digest_size=16).digest()
         yield full[at], full[end - 1] - full[at] + 1, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-        total -= sizes[at]
 
 
-def _hashed(text: str | None, min_sentences: int, min_words: int) -> list[tuple[int, int, int, int]]:
-    return list(spans(sentences(text), min_sentences, min_words)) if text else []
+def _hashed(text: str | None, *how: int) -> list[tuple[int, int, int, int]]:
+    return list(spans(sentences(text), *how)) if text else []
 
 
 def _keys(halves: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,13 +85,13 @@ def _keys(halves: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, place, np.minimum(counts, 255).astype(np.uint8)
 
 
-def _prints(table: pa.Table, buckets: int, width: int, how: tuple[int, int]) -> pa.Table:
+def _prints(table: pa.Table, buckets: int, width: int, how: tuple[int, int, bool]) -> pa.Table:
     """A block's side of the filter pass."""
     keys, _, counts = _keys([x[2] for text in table.column("text") for x in _hashed(text.as_py(), *how)])
     return send(table.column("blk")[0].as_py(), keys, counts, buckets, width)
 
 
-def _repeated(left: pa.Table, right: pa.Table, buckets: int, how: tuple[int, int]) -> pa.Table:
+def _repeated(left: pa.Table, right: pa.Table, buckets: int, how: tuple[int, int, bool]) -> pa.Table:
     """The spans of a block that may occur again."""
     rows = []
     if left.num_rows and right.num_rows:
@@ -112,10 +124,10 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"id": left.column("id"), "text": pa.array(kept, pa.string()), "n_sentences": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed_words": pa.array(words, pa.int64()), "removed_spans": pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))})
 
 
-def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, both_ends: bool = False) -> DataFrame:
     """One row per document: key, text (what is kept), n_sentences, n_removed, removed_words, removed_spans (first sentence and
     number of sentences of every maximal removed run)."""
-    total, how = text_bytes(docs, text), (min_sentences, min_words)
+    total, how = text_bytes(docs, text), (min_sentences, min_words, both_ends)
     blocks, buckets, width = block_count(total, *BLOCK_BYTES), block_count(total, *BUCKET_BYTES), width_for(total // 64)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
