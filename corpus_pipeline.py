@@ -21,7 +21,7 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised; no score is too low, so only texts without letters go."""
     return language_id.keep_identified(docs)
 
 
