@@ -45,6 +45,13 @@ def block_count(total_bytes: int, least: int, most: int) -> int:
     return max(8, -(-int(total_bytes) // size))
 
 
+def part_count(spark: SparkSession, total_bytes: int) -> int:
+    """Shuffle partitions for a corpus of so many bytes: 16 MB each up to 1 GB of texts, growing with the root of the corpus up to
+    1 GB each (100,000 parts at 100 TB), and enough of them to keep every core busy."""
+    size = min(1 << 30, max(16 << 20, int((16 << 20) * (total_bytes / 1e9) ** 0.5)))
+    return max(2 * spark.sparkContext.defaultParallelism if total_bytes > (4 << 20) else 4, -(-int(total_bytes) // size))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts; one pass over the column."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("b")).first()["b"] or 0)

@@ -28,6 +28,19 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def in_order(table: pa.Table, body: str) -> pa.Table:
+    """A block's rows by identifier (nulls last) and text. A shuffle brings rows in any order, and a block is read by several
+    stages, so a row's place in the block means the same in all of them only after this; rows that are equal are alike."""
+    ids = table.column("id").combine_chunks()
+    null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, null))
+    ranked, last = ids[order], null[order]
+    if ((ranked[1:] == ranked[:-1]) & (last[1:] == last[:-1])).any():
+        texts = table.column(body)
+        order = sorted(order.tolist(), key=lambda i: (null[i], ids[i], texts[i].is_valid, texts[i].as_py()) if texts[i].is_valid else (null[i], ids[i], False))
+    return table.take(pa.array(order, pa.int64()))
+
+
 def width_for(n: int) -> int:
     """Bytes of a fingerprint so that few of n keys collide by chance."""
     return min(8, max(4, -(-(max(1, n).bit_length() + 8) // 8)))

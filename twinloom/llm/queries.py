@@ -109,8 +109,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered as (select *, sum(opens) over (partition by doc_id order by i) as k from marked),
     spans as (select doc_id, k, min(i) as a, max(i) + 50 as b from numbered group by all),
     pieces as (select doc_id, k, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
-    cut as (select p.doc_id, sum(b - a) as removed, count(*) as spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from pieces p join docs d on d.doc_id = p.doc_id group by p.doc_id)
-    select doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from docs left join cut using (doc_id)
+    cut as (select p.doc_id, sum(b - a) as removed, count(*) as spans, max(b - a) as longest, count(*) filter (where b - a >= 250) as passages, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from pieces p join docs d on d.doc_id = p.doc_id group by p.doc_id)
+    select doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, coalesce(longest, 0) as longest_removed, coalesce(passages, 0) as n_passages, sha256(unhex(coalesce(kept, h))) as kept_sha256,
+      decode(unhex(regexp_replace(coalesce(kept, h), '([0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]|E0[AB][0-9A-F][89AB][0-9A-F]|ED[89][0-9A-F][89AB][0-9A-F]|E[1-9ABCEF](?:[89AB][0-9A-F]){2}|F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}|F[1-3](?:[89AB][0-9A-F]){3}|F48[0-9A-F](?:[89AB][0-9A-F]){2})|..', '\1', 'g'))) as kept_text
+    from docs left join cut using (doc_id)
     """
 )
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

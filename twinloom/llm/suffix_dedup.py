@@ -12,12 +12,12 @@ exactly the repeated windows. The sort runs in passes; each pass splits groups b
    smallest identifier is its first; the windows of other documents are marked.
 3. Marked windows go back to their block, where a document's marked bytes are united and cut out.
 
-Scale: texts are shuffled once, into blocks of a few MB by the hash of the identifier; all passes read that one
-exchange. Passes move packed arrays. Equal runs of a block are sent once. An anchor with over HOT runs is not sent to one
+Scale: texts are shuffled once, into blocks of a few MB by the hash of the identifier; all passes read that one exchange, and put
+a block's rows in one order, as they name rows by their place. The number of partitions of every exchange follows from the bytes. Passes move packed arrays. Equal runs of a block are sent once. An anchor with over HOT runs is not sent to one
 bucket: its suffixes are dealt out one by one, by the hash of all their bytes. No list of anchors reaches the driver.
 
 Edge cases: a null text counts as empty; a text shorter than `depth` loses nothing; a null identifier is larger than all
-others; rows with equal identifiers are one place in the order and never remove each other's bytes; matches never cross
+others; rows with equal identifiers are one place in the order and never remove each other's bytes, whatever their texts; matches never cross
 documents; very long texts are handled whole, in pieces of CHUNK positions; an empty table gives an empty result; further
 columns are not looked at.
 """
@@ -32,8 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, text_bytes
-from .passes import ANSWER, SENT, answer, binary, bucket_of, flags, mix, send, width_for
+from .common import block_count, part_count, text_bytes
+from .passes import ANSWER, SENT, answer, binary, bucket_of, flags, in_order, mix, send, width_for
 
 DEPTH = 50
 GRAM = 16
@@ -41,6 +41,8 @@ BLOCK_BYTES = 2 << 20, 64 << 20
 BUCKET_BYTES = 8 << 20, 256 << 20
 CHUNK = 1 << 20
 HOT = 4096
+#: Bytes of a removed run that make it a passage (some 50 words) rather than a phrase that repeats by chance.
+PASSAGE = 250
 NAMELESS = np.iinfo(np.int64).max
 
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -56,6 +58,7 @@ class Block:
 
     def __init__(self, table: pa.Table, depth: int) -> None:
         self.depth = depth
+        table = in_order(table, "body")
         ids = table.column("id").combine_chunks()
         self.ids = ids.fill_null(int(NAMELESS)).to_numpy(zero_copy_only=False).astype(np.int64)
         self.null = ids.is_null().to_numpy(zero_copy_only=False)
@@ -274,38 +277,46 @@ def _split(keys: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[np.ndarr
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     """Pass 3: a block's documents without their marked bytes."""
+    left = in_order(left, "body")
     parts = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 3) for x in right.column("spans")]
     spans = _united(np.concatenate(parts)) if parts else np.zeros((0, 3), np.int64)
     begin = np.searchsorted(spans[:, 0], np.arange(left.num_rows + 1))
-    sizes, removed, runs, kept = [], [], [], []
+    sizes, removed, runs, longest, passages, kept = [], [], [], [], [], []
     for i, value in enumerate(left.column("body")):
         body = value.as_py() or b""
         own = spans[begin[i] : begin[i + 1], 1:].tolist()
-        sizes.append(len(body)), runs.append(len(own)), removed.append(sum(b - a for a, b in own))
+        lengths = [b - a for a, b in own]
+        sizes.append(len(body)), runs.append(len(own)), removed.append(sum(lengths)), longest.append(max(lengths, default=0)), passages.append(sum(x >= PASSAGE for x in lengths))
         edges = [0, *(x for pair in own for x in pair), len(body)]
         kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if own else body)
-    return pa.table({"id": left.column("id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": binary(kept)})
+    counts = {n: pa.array(x, pa.int64()) for n, x in (("n_bytes", sizes), ("n_removed", removed), ("n_spans", runs), ("longest_removed", longest), ("n_passages", passages))}
+    return pa.table({"id": left.column("id"), **counts, "kept": binary(kept)})
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, kept_bytes: bool = True) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, if kept_bytes, kept (the bytes that stay).
+    """One row per document: key, n_bytes, n_removed, n_spans, longest_removed (bytes of the longest removed run), n_passages
+    (removed runs of at least PASSAGE bytes), kept_sha256, kept_text (the bytes that stay, without characters that a cut broke)
+    and, if kept_bytes, kept (the bytes themselves).
 
     depth: bytes of a window, at least 24.
     """
     total = text_bytes(docs, text)
     blocks, buckets = block_count(total, *BLOCK_BYTES), block_count(total, *BUCKET_BYTES)
-    width = width_for(total // 16)
+    parts, width = part_count(docs.sparkSession, total), width_for(total // 16)
     place = F.pmod(F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.xxhash64(text)), F.lit(blocks))
-    rows = docs.select(place.alias("blk"), F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("body")).repartition("blk")
-    sent = rows.groupBy("blk").applyInArrow(lambda t: _anchor_rows(t, depth, buckets, width), SENT)
-    again = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width, HOT), ANSWER)
-    runs = rows.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda k, x, y: _run_rows(k, x, y, depth, buckets), RUN_SCHEMA)
-    marks = runs.groupBy("bucket").applyInArrow(lambda t: _marks(t, depth), "blk long, spans binary")
-    out = rows.groupBy("blk").cogroup(marks.groupBy("blk")).applyInArrow(lambda x, y: _with_digest(_cut(x, y), kept_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_bytes)
+    rows = docs.select(place.alias("blk"), F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("body")).repartition(min(parts, blocks), "blk")
+    sent = rows.groupBy("blk").applyInArrow(lambda t: _anchor_rows(t, depth, buckets, width), SENT).repartition(min(parts, buckets), "bucket")
+    again = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width, HOT), ANSWER).repartition(min(parts, blocks), "blk")
+    runs = rows.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda k, x, y: _run_rows(k, x, y, depth, buckets), RUN_SCHEMA).repartition(min(parts, buckets), "bucket")
+    marks = runs.groupBy("bucket").applyInArrow(lambda t: _marks(t, depth), "blk long, spans binary").repartition(min(parts, blocks), "blk")
+    schema = "id long, n_bytes long, n_removed long, n_spans long, longest_removed long, n_passages long, kept_sha256 string, kept_text string" + ", kept binary" * kept_bytes
+    out = rows.groupBy("blk").cogroup(marks.groupBy("blk")).applyInArrow(lambda x, y: _with_digest(_cut(x, y), kept_bytes), schema)
     return out.withColumnRenamed("id", key)
 
 
 def _with_digest(table: pa.Table, kept_bytes: bool) -> pa.Table:
-    digests = pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in table.column("kept")], pa.string())
-    columns = [*table.columns[:4], digests] + ([table.column("kept")] if kept_bytes else [])
-    return pa.table(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept_bytes)
+    kept = [x.as_py() for x in table.column("kept")]
+    digests = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+    texts = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+    columns = [*table.columns[:6], digests, texts] + ([table.column("kept")] if kept_bytes else [])
+    return pa.table(columns, names=[*table.column_names[:6], "kept_sha256", "kept_text"] + ["kept"] * kept_bytes)
