@@ -212,7 +212,7 @@ def plain_spans(rows, least=sentence_spans.MIN_SENTENCES, words=sentence_spans.M
     order = lambda r: (r[0] is None, r[0] or 0)
     seen, found = {}, []
     parts = [(i, sentence_spans.sentences(t or "")) for i, t in rows]
-    for i, p in sorted(parts, key=order):
+    for row, (i, p) in sorted(enumerate(parts), key=lambda r: order(r[1])):
         full = [k for k, x in enumerate(p) if x.split()]
         for a in range(len(full)):
             for b in range(a + least, len(full) + 1):
@@ -220,11 +220,11 @@ def plain_spans(rows, least=sentence_spans.MIN_SENTENCES, words=sentence_spans.M
                 if sum(map(len, run)) >= words:
                     at = (order((i, p)), full[a])
                     if seen.setdefault(tuple(run), at) != at:
-                        found.append((i, full[a], full[b - 1] + 1))
+                        found.append((row, full[a], full[b - 1] + 1))
                     break
     out = []
-    for i, p in parts:
-        gone = {k for j, a, b in found if j == i and i is not None for k in range(a, b)}
+    for row, (i, p) in enumerate(parts):
+        gone = {k for j, a, b in found if j == row and i is not None for k in range(a, b)}
         out.append((i, "".join(x for k, x in enumerate(p) if k not in gone), len(p), len([k for k in gone if k < len(p)])))
     return sorted(out, key=repr)
 
@@ -240,6 +240,15 @@ def test_spans_equal_brute_force(spark, sf):
     assert span_rows(df) == plain_spans(rows)
 
 
+def test_rows_that_share_an_identifier_lose_their_own_spans_only(spark):
+    passage = "One two three four five. Six seven eight nine ten."
+    rows = [(1, passage), (2, f"{passage} Tail of the second text."), (2, "Other words that repeat nowhere. They are in no other text."), (3, f"Head goes first here. {passage}"), (3, passage), (3, passage)]
+    rows += [(None, passage), (None, f"{passage} More.")]
+    got = span_rows(spark.createDataFrame(rows, DDL))
+    assert got == plain_spans(rows)
+    assert (2, rows[2][1], 2, 0) in got and (2, "Tail of the second text.", 3, 2) in got
+
+
 def test_span_edges(spark):
     assert span_rows(spark.createDataFrame([], DDL)) == []
     twice = [(1, "A b c d e. F g h i j."), (1, "A b c d e. F g h i j."), (2, "A b c d e. F g h i j.")]

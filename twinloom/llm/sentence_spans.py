@@ -15,9 +15,13 @@ Scale: texts are shuffled once, into blocks by the hash of the identifier, and e
 identifier, position). They are reduced and joined per (hash, salt), so a passage that a third of all documents share is dealt
 over SALTS tasks.
 
-Edge cases: a null text counts as empty, and its kept text is ''; equal rows with equal identifiers are occurrences at the same
-place, so all of them are first; rows without identifier come last in the order and lose nothing; a text without sentence ends is one sentence;
-an empty table gives an empty result; further columns of the input are not looked at.
+Blocks grow with the root of the corpus and partitions with the blocks, so no task's share grows with the corpus alone. A block's
+rows are put in one order, and a hit names its row by its place there, never by its identifier.
+
+Edge cases: a null text counts as empty, and its kept text is ''; rows with equal identifiers are occurrences at the same place
+if they hold a span at the same sentence, and all of these stay; where their texts differ each row loses its own spans only;
+rows without identifier come last in the order and lose nothing; a text without sentence ends is one sentence; a very long text
+is read whole, in the memory of one task; an empty table gives an empty result; further columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, text_bytes
-from .passes import ANSWER, SENT, answer, flags, send, width_for
+from .common import block_count, part_count, text_bytes
+from .passes import ANSWER, SENT, answer, flags, in_order, send, width_for
 
 MIN_SENTENCES = 2
 MIN_WORDS = 8
@@ -87,32 +91,38 @@ def _keys(halves: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _prints(table: pa.Table, buckets: int, width: int, how: tuple[int, int, bool]) -> pa.Table:
     """A block's side of the filter pass."""
-    keys, _, counts = _keys([x[2] for text in table.column("text") for x in _hashed(text.as_py(), *how)])
+    keys, _, counts = _keys([x[2] for key, text in zip(table.column("id"), table.column("text"), strict=True) if key.is_valid for x in _hashed(text.as_py(), *how)])
     return send(table.column("blk")[0].as_py(), keys, counts, buckets, width)
 
 
+SPANS = "blk long not null, row int not null, id long not null, at int not null, n int not null, h1 long not null, h2 long not null"
+
+
 def _repeated(left: pa.Table, right: pa.Table, buckets: int, how: tuple[int, int, bool]) -> pa.Table:
-    """The spans of a block that may occur again."""
-    rows = []
+    """The spans of a block that may occur again; `row` is the place of the text in the block. Rows without identifier come last
+    and lose nothing, so their spans decide nothing."""
+    rows, number = [], left.column("blk")[0].as_py() if left.num_rows else 0
     if left.num_rows and right.num_rows:
-        found = [(key, *x) for key, text in zip(left.column("id").to_pylist(), left.column("text"), strict=True) for x in _hashed(text.as_py(), *how)]
-        keys, place, _ = _keys([x[3] for x in found])
+        left = in_order(left, "text")
+        found = [(number, row, key, *x) for row, (key, text) in enumerate(zip(left.column("id").to_pylist(), left.column("text"), strict=True)) if key is not None for x in _hashed(text.as_py(), *how)]
+        keys, place, _ = _keys([x[5] for x in found])
         stay = flags(keys, right, buckets)[0][place]
         rows = [x for x, s in zip(found, stay, strict=True) if s]
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.table({n: pa.array(c, t) for (n, t), c in zip((("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())), columns, strict=True)})
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    types = (("blk", pa.int64()), ("row", pa.int32()), ("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()))
+    return pa.table({n: pa.array(c, t) for (n, t), c in zip(types, columns, strict=True)})
 
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block's documents without the sentences that its hits (id, at, n) cover."""
-    hits: dict[int, set[int]] = {}
-    for key, at, n in zip(*(right.column(c).to_pylist() for c in ("id", "at", "n")), strict=True):
-        hits.setdefault(key, set()).update(range(at, at + n))
+    """A block's documents without the sentences that its hits (row, at, n) cover."""
+    left, hits = in_order(left, "text"), {}
+    for row, at, n in zip(*(right.column(c).to_pylist() for c in ("row", "at", "n")), strict=True):
+        hits.setdefault(row, set()).update(range(at, at + n))
     kept, total, gone, words, runs = [], [], [], [], []
-    for key, body in zip(left.column("id").to_pylist(), left.column("text"), strict=True):
+    for row, body in enumerate(left.column("text")):
         body = body.as_py() or ""
         parts = sentences(body)
-        covered = sorted(i for i in hits.get(key, ()) if i < len(parts)) if key is not None else []
+        covered = sorted(hits.get(row, ()))
         hidden, own = set(covered), []
         for i in covered:
             if own and own[-1]["first"] + own[-1]["n"] == i:
@@ -129,19 +139,20 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_se
     number of sentences of every maximal removed run)."""
     total, how = text_bytes(docs, text), (min_sentences, min_words, both_ends)
     blocks, buckets, width = block_count(total, *BLOCK_BYTES), block_count(total, *BUCKET_BYTES), width_for(total // 64)
+    parts = part_count(docs.sparkSession, total)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    base = base.select(F.when(F.col("id").isNull(), place("text")).otherwise(place("id")).alias("blk"), "id", "text").repartition("blk")
-    sent = base.groupBy("blk").applyInArrow(lambda t: _prints(t, buckets, width, how), SENT)
-    again = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width, 255), ANSWER)
-    rows = base.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda x, y: _repeated(x, y, buckets, how), "id long, at int not null, n int not null, h1 long not null, h2 long not null")
+    base = base.select(F.when(F.col("id").isNull(), place("text")).otherwise(place("id")).alias("blk"), "id", "text").repartition(min(parts, blocks), "blk")
+    sent = base.groupBy("blk").applyInArrow(lambda t: _prints(t, buckets, width, how), SENT).repartition(min(parts, buckets), "bucket")
+    again = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width, 255), ANSWER).repartition(min(parts, blocks), "blk")
+    rows = base.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda x, y: _repeated(x, y, buckets, how), SPANS)
     # read twice, dealt once: both readers ask for the same columns, and none puts a filter for nulls below the exchange
-    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.lit(0))).repartition("h1", "h2", "salt")
-    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "at", "n")).alias("first")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.lit(0))).repartition(parts, "h1", "h2", "salt")
+    first = F.min(F.struct("id", "at", "n", "blk", "row")).alias("first")
     part = rows.groupBy("h1", "h2", "salt").agg(first, F.count("*").alias("members"))
     firsts = part.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("members").alias("members"), F.collect_list("salt").alias("salts")).filter("members > 1")
     firsts = firsts.select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), F.explode("salts").alias("salt"))
-    later = rows.join(firsts, ["h1", "h2", "salt"]).filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))))
-    hits = later.select(place("id").alias("blk"), "id", "at", "n")
+    later = rows.join(firsts, ["h1", "h2", "salt"]).filter((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))
+    hits = later.select("blk", "row", "at", "n").repartition(min(parts, blocks), "blk")
     out = base.groupBy("blk").cogroup(hits.groupBy("blk")).applyInArrow(_cut, "id long, text string, n_sentences long, n_removed long, removed_words long, removed_spans array<struct<first:int,n:int>>")
     return out.withColumnRenamed("id", key)
