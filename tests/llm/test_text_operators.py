@@ -138,6 +138,89 @@ def test_text_beside_the_core_stays():
     assert html_text.extract(page) == "\n".join(["Direct text in the body.", *cited])
 
 
+SENTENCE = "This is a sentence of the article that goes on for a while and says things."
+PARA = f"<p>{' '.join([SENTENCE] * 3)}</p>"
+THREE = " ".join([SENTENCE] * 3)
+LINKS = "<a href=x>one</a> <a href=y>two</a>"
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<body>Bare opening<div><p>one two three</p><p>four five</p></div>closing</body>", ["Bare opening", "one two three", "four five", "closing"]),
+    (f"<body><article>{PARA}<section class=legal>{PARA}</section><p class=share>{SENTENCE} {SENTENCE}</p><div class=share>{LINKS}</div>{PARA}</article></body>", [THREE, THREE, f"{SENTENCE} {SENTENCE}", THREE]),
+    (f"<body><h1>Title</h1><div>{PARA}{PARA}</div><div class=share>Share it</div><div class=copyright>(c) 2020</div></body>", ["Title", THREE, THREE]),
+    (f"<body><div class=legal>{PARA}{PARA}{PARA}</div><div class=related>{PARA}</div></body>", [THREE] * 3),
+    (f"<body><div class=post><h2 class=section-header>Head</h2>{PARA}<h3>sub</h3>{PARA}</div><div class=comments>{PARA}{PARA}{PARA}{PARA}</div></body>", ["Head", THREE, "sub", THREE]),
+    (f"<body><main><article>{PARA}{PARA}</article><ul class=menu><li>{LINKS}</ul></main><div class=cookie-bar>{PARA}</div></body>", [THREE, THREE]),
+])
+def test_names_need_density(page, text):
+    assert html_text.extract(page) == "\n".join(text)
+
+
+def plain_density(body):
+    """The composite density by its formula, every element counted by itself; the core, and the least density on its path."""
+    import math
+
+    def walk(node, parents=()):
+        yield node, parents
+        for x in node.children:
+            if not isinstance(x, str):
+                yield from walk(x, (*parents, node))
+
+    def counts(node):
+        chars = linked = tags = link_tags = 0
+
+        def go(x, in_link):
+            nonlocal chars, linked, tags, link_tags
+            for y in x.children:
+                if isinstance(y, str):
+                    k = len(y.replace(" ", "").replace("\n", ""))
+                    chars += k
+                    linked += k * in_link
+                else:
+                    tags += 1
+                    link_tags += y.tag == "a"
+                    go(y, in_link or y.tag == "a")
+
+        go(node, node.tag == "a")
+        return chars, linked, tags, link_tags + (node.tag == "a")
+
+    c, lc, _, _ = counts(body)
+    share = lc / max(1, c)
+    density = {}
+    for node, _ in walk(body):
+        c, lc, t, lt = counts(node)
+        if c == 0:
+            density[id(node)] = 0
+            continue
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        density[id(node)] = c / max(1, t) * max(0, math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(max(base, 1 + 1e-9)) if base > 1 else math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))))
+    sums = [(sum(density[id(x)] for x in n.children if not isinstance(x, str) and x.tag not in html_text.INLINE), n, up) for n, up in walk(body) if n.tag not in html_text.INLINE and counts(n)[0]]
+    if not sums:
+        return None, density
+    best = max(s for s, _, _ in sums)
+    return {id(n): min(density[id(x)] for x in (n, *up)) for s, n, up in sums if abs(s - best) < 1e-9 * (1 + best)}, density
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.recursive(st.text("ab .", min_size=1, max_size=40), lambda inner: st.tuples(st.sampled_from(["div", "p", "section", "a", "b", "ul", "li"]), st.lists(inner, max_size=4)), max_leaves=25))
+def test_core_and_threshold_equal_plain_density(tree):
+    def page(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(page, x[1]))}</{x[0]}>"
+
+    root = html_text.parse(f"<body>{page(tree)}</body>")
+    order = html_text._pruned(root)
+    body = next(x for x in order if x.tag == "body")
+    order = html_text._below(body)
+    html_text._measure(order, body)
+    core, path = html_text._core(order, body)
+    want, density = plain_density(body)
+    assert all(x.density == pytest.approx(density[id(x)]) for x in order)
+    if core is None:
+        assert want is None
+    else:
+        assert min(x.density for x in path) == pytest.approx(want[id(core)])
+
+
 def test_deep_and_broken_markup_is_linear():
     assert "x" in html_text.extract("<div>" * 5000 + "x")
     assert html_text.extract("<p>" + "<b " * 20000) is not None

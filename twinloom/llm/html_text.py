@@ -1,12 +1,18 @@
 """Main text of HTML pages by composite text density.
 
-A page is parsed into a tree with the implied end tags of HTML. Parts that are never article text (scripts, forms, menus,
-footers, elements whose class or id says advert, comments, notice, ...) are cut out. For every block element the composite
-text density is computed: characters per tag, adjusted by the share of linked characters and tags against the page's share.
-The densities of a block's children are summed; the block with the greatest sum is the core. The threshold is the least
-density on the path from the core up to the body, and every block beside that path whose density reaches it belongs to the
-text as well, and so does text that lies directly in an element on the path, apart from runs of nothing but links and signs
-between them; if the core lies in an <article> or <main>, the outermost of these is taken whole.
+A page is parsed into a tree with the implied end tags of HTML. Elements that are never article text by their tag or an unmistakable
+name (scripts, forms, navigation, footers, adverts, comments, ...) are cut out. For every block element the composite text density is
+computed: characters per tag, adjusted by the share of linked characters and tags against the page's share. The densities of a
+block's children are summed; the block with the greatest sum is the core. The threshold is the least density on the path from the
+core up to the body:
+
+- An element whose name is an ordinary word that often, but not always, stands for a part beside the article (share, legal,
+  related, notice, ...) goes only if its density says so as well: below the threshold inside of an article; elsewhere if it holds less
+  than half of the page's unlinked text.
+- Blocks beside the path whose density reaches the threshold belong to the text, and so do headings and text that lies directly
+  in an element on the path, apart from runs of nothing but links and signs between them.
+- If the core lies in an <article> or <main>, the outermost of these bounds the text: everything in it is text but what the first
+  rule drops, and outside of it only other articles that reach the threshold are.
 
 Text: character references decoded, white space inside a block made one space and trimmed, blocks joined in page order by \\n.
 
@@ -34,12 +40,16 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("script style textarea title noscript iframe template head form button select option nav footer aside menu svg canvas object embed audio video map dialog datalist fieldset noembed noframes".split())
 SIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adsbygoogle adbox adslot banner sponsor sponsored promo promotion promoted "
-    "sidebar rail aside menu nav navbar navbox mainnav subnav navigation breadcrumb breadcrumbs crumbs topbar toolbar masthead header footer pagination pager "
-    "comment comments commentlist commentbox reply replies respond responses disqus discussion cookie cookies consent gdpr notice notices notification alert "
-    "popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
-    "teaser widget copyright legal disclaimer skip hidden".split()
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle adbox adslot banner sponsor sponsored promo "
+    "sidebar aside nav navbar navbox mainnav subnav navigation breadcrumb breadcrumbs crumbs topbar toolbar masthead header footer pagination pager "
+    "comment comments commentlist commentbox disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe".split()
 )
+# Ordinary words: a part so named is beside the article only if its density says so too.
+ORDINARY_WORDS = frozenset(
+    "rail menu promotion promoted reply replies respond responds response responses discussion notice notices notification alert signup login "
+    "subscription search share sharing social related recommended recommendations teaser widget copyright legal disclaimer skip hidden".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LAYOUT_WORDS = frozenset("no has with without".split())
 COMMENT_WORDS = frozenset("comment reply".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -55,10 +65,11 @@ RUN = "#run"
 
 
 class Node:
-    __slots__ = ("attributes", "children", "density", "density_sum", "chars", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("attributes", "children", "density", "density_sum", "chars", "inside", "link_chars", "link_tags", "ordinary", "parent", "tag", "tags")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
+        self.inside = self.ordinary = False  # inside of an article; named by an ordinary word
 
 
 def parse(page: str) -> Node:
@@ -140,29 +151,41 @@ def _implied(node: Node, tag: str) -> Node:
     return node
 
 
-def _beside(node: Node, in_article: bool) -> bool:
-    """Whether an element is no article text by its name, class, id or role."""
-    tag = node.tag
-    if tag in NEVER:
-        return True
-    if tag in ("body", "html", "main"):
-        return False
+def _names(node: Node) -> set[str] | None:
+    """The words of an element's classes and identifier; None if an attribute hides it or gives it a role beside the article."""
     words: set[str] = set()
     for name, a, b, c in ATTRIBUTE.findall(node.attributes) if node.attributes else ():
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value in SIDE_ROLES:
-            return True
+            return None
         if name in ("class", "id"):
             for own in map(set, map(TOKEN.findall, value.split())):
                 if not own & LAYOUT_WORDS:
                     words |= own
+    return words
+
+
+def _beside(node: Node) -> bool:
+    """Whether an element is no article text by its tag, role or an unmistakable name; notes whether it has an ordinary one."""
+    tag = node.tag
+    if tag in NEVER:
+        return True
+    if tag in ("body", "html", "main"):
+        return False
+    if (words := _names(node)) is None:
+        return True
     if tag == "article":
-        return bool(words & (SIDE_WORDS if in_article else COMMENT_WORDS))
-    if tag == "header" or words & {"header", "masthead"}:
-        if not (in_article and _holds(node, ("h1", "h2"))):
+        return bool(words & (SIDE_WORDS if node.inside else COMMENT_WORDS))
+    if tag in HEADINGS:
+        words -= {"header", "masthead"}
+    elif tag == "header" or words & {"header", "masthead"}:
+        if not (node.inside and _holds(node, ("h1", "h2"))):
             return True
         words -= {"header", "masthead"}
-    return bool(words & SIDE_WORDS) and not _holds(node, ("article", "main"))
+    if not words & (SIDE_WORDS | ORDINARY_WORDS) or _holds(node, ("article", "main")):
+        return False
+    node.ordinary = not words & SIDE_WORDS
+    return not node.ordinary
 
 
 def _holds(node: Node, tags: tuple[str, ...]) -> bool:
@@ -178,13 +201,37 @@ def _holds(node: Node, tags: tuple[str, ...]) -> bool:
 
 def _pruned(root: Node) -> list[Node]:
     """Cuts out what is never article text; all remaining elements, parents first."""
-    order, todo = [], [(root, False)]
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        for x in node.children:
+            if not isinstance(x, str):
+                x.inside = node.inside or node.tag in ("article", "main")
+        node.children = [x for x in node.children if isinstance(x, str) or not _beside(x)]
+        order.append(node)
+        todo.extend(x for x in node.children if not isinstance(x, str))
+    return order
+
+
+def _below(top: Node) -> list[Node]:
+    """An element and all below it, parents first."""
+    order, todo = [], [top]
     while todo:
-        node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main")
-        node.children = [x for x in node.children if isinstance(x, str) or not _beside(x, inside)]
+        node = todo.pop()
         order.append(node)
-        todo.extend((x, inside) for x in node.children if not isinstance(x, str))
+        todo.extend(x for x in node.children if not isinstance(x, str))
+    return order
+
+
+def _without_named(order: list[Node], body: Node) -> list[Node]:
+    """Cuts out what has an ordinary name, lies in no article and holds less than half of the page's unlinked text."""
+    small = {id(x) for x in order if x.ordinary and not x.inside and 2 * (x.chars - x.link_chars) < body.chars - body.link_chars}
+    if not small:
+        return order
+    for x in order:
+        x.children = [y for y in x.children if isinstance(y, str) or id(y) not in small]
+    order = _below(body)
+    _measure(order, body)
     return order
 
 
@@ -214,36 +261,41 @@ def _measure(order: list[Node], body: Node) -> None:
         node.density_sum = sum(x.density for x in node.children if not isinstance(x, str) and x.tag not in INLINE)
 
 
-def _chosen(order: list[Node], body: Node) -> list[Node]:
-    """The elements whose text is the article, in page order."""
+def _core(order: list[Node], body: Node) -> tuple[Node | None, list[Node]]:
+    """The block with the greatest sum of densities, and the path from it to the body."""
     blocks = [x for x in order if x.tag not in INLINE and x.chars and (x is body or x.tag not in ("html", "head"))]
     if not blocks:
-        return []
-    core = max(blocks, key=lambda x: x.density_sum)
-    path, x, lifted = [core], core, core if core.tag in ("article", "main") else None
+        return None, []
+    x = core = max(blocks, key=lambda x: x.density_sum)
+    path = [core]
     while x is not body and x.parent is not None:
         x = x.parent
         path.append(x)
-        if x.tag in ("article", "main"):
-            lifted = x
-    if lifted is not None:
-        return [lifted]
-    threshold = min(x.density for x in path)
-    on_path, out = set(map(id, path)), []
+    return core, path
 
-    def walk(top: Node) -> None:
-        todo = [top]
-        while todo:
-            node = todo.pop()
-            if node is core:
-                out.append(node)
-                continue
-            if id(node) in on_path:
-                todo.extend(reversed(_runs(node, on_path)))
-            elif node.tag == RUN or node.density >= threshold and node.chars:
-                out.append(node)
 
-    walk(path[-1])
+def _chosen(order: list[Node], body: Node) -> list[Node]:
+    """The elements whose text is the article, in page order."""
+    core, path = _core(order, body)
+    if core is None:
+        return []
+    threshold = min(x.density for x in path)
+    bounds = [x for x in path if x.tag in ("article", "main")]
+    for x in order:  # inside of an article a name needs a low density beside it
+        x.children = [y for y in x.children if isinstance(y, str) or not (y.ordinary and y.inside and y.density < threshold)]
+    on_path, out, todo = set(map(id, path)), [], [path[-1]]
+    while todo:
+        node = todo.pop()
+        if node is core or bounds and node is bounds[-1]:
+            out.append(node)
+        elif id(node) in on_path:
+            todo.extend(reversed(_runs(node, on_path)))
+        elif bounds:
+            todo.extend(reversed([x for x in node.children if not isinstance(x, str)]) if node.tag != "article" else ())
+            if node.tag == "article" and node.chars and node.density >= threshold:
+                out.append(node)
+        elif node.tag == RUN or node.chars and (node.density >= threshold or node.tag in HEADINGS):
+            out.append(node)
     return out
 
 
@@ -322,13 +374,9 @@ def extract(page: str | None) -> str:
     order = _pruned(root)
     body = next((x for x in order if x.tag == "body"), root)
     if body is not root:
-        below, todo = [], [body]
-        while todo:
-            x = todo.pop()
-            below.append(x)
-            todo.extend(y for y in x.children if not isinstance(y, str))
-        order = below
+        order = _below(body)
     _measure(order, body)
+    order = _without_named(order, body)
     return "\n".join(line for x in _chosen(order, body) for line in _lines(x))
 
 
