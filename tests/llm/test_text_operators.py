@@ -40,20 +40,25 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def model_of(languages, tables):
+    """tables: order -> {token: occurrences in each language}."""
+    counts = {}
+    for order in (0, *language_id.ORDERS):
+        own = tables.get(order, {})
+        places = [(i, j, n) for i, x in enumerate(own.values()) for j, n in enumerate(x) if n]
+        counts[order] = list(own), *(np.array([p[k] for p in places], np.int64) for k in range(3))
+    return language_id.Model(languages, counts)
+
+
 def test_backoff_goes_from_words_to_shorter_grams():
-    counts = {0: (["cat"], np.array([[5, 0]])), **{k: ([], np.zeros((0, 2))) for k in language_id.ORDERS}}
-    counts[3] = ["<ca", "gat"], np.array([[9, 0], [0, 9]])
-    counts[1] = ["z"], np.array([[0, 3]])
-    m = language_id.Model(["en", "es"], counts)
+    m = model_of(["en", "es"], {0: {"cat": (5, 0)}, 3: {"<ca": (9, 0), "gat": (0, 9)}, 1: {"z": (0, 3)}})
     cat, gato, zz, none = m.vectors(["cat", "gato", "zz", "qq"])
     assert cat[0] > cat[1] and gato[1] > gato[0] and zz[1] > zz[0] and list(none) == [0, 0]
     assert abs(cat).max() > abs(gato).max() > 0 and m.vectors([]).shape == (0, 2)
 
 
 def test_small_cache_changes_nothing(monkeypatch):
-    counts = {k: ([], np.zeros((0, 2))) for k in (0, *language_id.ORDERS)}
-    counts[2] = ["<a", "<b", "xx"], np.array([[9, 1], [2, 5], [3, 3]])
-    m = language_id.Model(["en", "es"], counts)
+    m = model_of(["en", "es"], {2: {"<a": (9, 1), "<b": (2, 5), "xx": (3, 3)}})
     texts = ["ab ac ad bx by", "axx bxx cxx", "b", "ab " * 50 + "by bz", "a b c d e f g h i j k"]
     want = [language_id.Predictor(m)(t) for t in texts]
     monkeypatch.setattr(language_id, "CACHE", 4)
@@ -61,6 +66,75 @@ def test_small_cache_changes_nothing(monkeypatch):
     assert [(a, round(x, 9)) for a, x in map(small, texts)] == [(a, round(x, 9)) for a, x in want]
 
 
+def plain_language(train, texts):
+    """The scores by their formulas, word by word: counts of all tokens, log posteriors, backoff, mean."""
+    import math
+    from collections import Counter
+
+    languages = sorted({g for _, g in train})
+    counts = {o: {g: Counter() for g in languages} for o in (0, *language_id.ORDERS)}
+    cut = lambda t: ["".join(x) for x in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in t.lower()))]
+    for t, g in train:
+        for w in cut(t):
+            counts[0][g][w] += 1
+            for o in language_id.ORDERS:
+                m = f"<{w}>" if o > 1 else w
+                for i in range(len(m) - o + 1):
+                    counts[o][g][m[i : i + o]] += 1
+    kinds = {o: set().union(*counts[o].values()) for o in counts}
+
+    def posterior(o, token):
+        logs = [math.log((counts[o][g][token] + 0.5) / (sum(counts[o][g].values()) + 0.5 * (len(kinds[o]) + 1))) for g in languages]
+        whole = math.log(sum(map(math.exp, logs)))
+        return [x - whole for x in logs]
+
+    def vector(w):
+        if w in kinds[0]:
+            return posterior(0, w)
+        for lost, o in enumerate(language_id.ORDERS, 1):
+            m = f"<{w}>" if o > 1 else w
+            known = [g for i in range(len(m) - o + 1) if (g := m[i : i + o]) in kinds[o]]
+            if known:
+                rows = [posterior(o, g) for g in known]
+                return [0.6**lost * sum(x) / len(rows) for x in zip(*rows)]
+        return [0.0] * len(languages)
+
+    out = []
+    for t in texts:
+        words = cut(t or "")
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(x) for x in zip(*map(vector, words))]
+        scaled = [x * min(30, len(words)) / len(words) for x in total]
+        best = max(range(len(languages)), key=lambda i: (round(total[i], 6), -i))
+        out.append((languages[best], math.exp(scaled[best] - math.log(sum(map(math.exp, scaled))))))
+    return out
+
+
+def test_predictions_equal_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(10_001, "½ ² ③", "de"), (10_002, "naïve½straße x²y", "fr"), (10_003, "ΑΒΓ абв", None), (10_004, "zz " * 4000, "en"), (None, "le chat", "fr"), (1, "der Hund", "de"), (1, "der Hund", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("token", F.lit("clash"))
+    got = [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in language_id.identify(docs, max_train_docs=10**9, max_train_rows=10**12).collect()]
+    import zlib
+
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    train = [(t, g) for i, t, g in rows if i is not None and g is not None and t is not None and not held(i)]
+    want = [(i, held(i), *p) for (i, t, _), p in zip(rows, plain_language(train, [t for _, t, _ in rows]), strict=True)]
+    assert (10_001, False, "und", 0.0) in got or (10_001, True, "und", 0.0) in got
+    order = lambda r: (str(r[0]), r[2], round(r[3], 4))
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-4)
+
+
+def test_sample_is_bounded_with_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"wort{i % 50} von sprache{i % 50}", f"l{i % 50:02d}") for i in range(2000)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, max_train_rows=400)
+    assert len(model.languages) == 50 and set(model.tables[0]) > {"von"}
+    assert language_id.train(docs).tables[0].keys() >= {"wort", "von", "sprache"}
+
+
 # --- tokens -----------------------------------------------------------------
 
 

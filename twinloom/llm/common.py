@@ -32,10 +32,29 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of one Arrow batch, so that a batch of long texts fits in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Rows and bytes of an Arrow batch at most; a text longer than that is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Inputs of less than so many bytes on disk are dealt over the cores before Python reads them.
+SMALL_INPUT = 24 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes of Arrow batches, so that a batch of long texts fits in a Python worker. Plans are lazy and read
+    the settings when they run, so these are lowered for the session, never raised."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name, None)
+        if now is not None:
+            held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(now)) if name.endswith("maxBytesPerBatch") else int(now)
+            if held <= 0 or held > most:
+                spark.conf.set(name, most)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """The rows, dealt over the cores if the input is small: a small file is often one row group, which one task would read."""
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_INPUT:
+        return docs.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    return docs
 
 
 def block_count(total_bytes: int, least: int, most: int) -> int:

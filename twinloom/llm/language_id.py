@@ -1,19 +1,20 @@
 """Language identification, word first: known words score by their log frequency in each language; an unseen word falls back to
 character n-grams, the longest order of which any is known, down to single letters.
 
-Training uses a bounded sample of labelled documents: at most about `max_train_docs` per language, picked by the hash of the
-identifier, and keeps the `max_words` most frequent words and `max_grams` most frequent n-grams of every order, in the MAX_LANGUAGES most
-frequent languages, so the model
-that is broadcast is bounded by these parameters and the number of languages, whatever the size of the corpus. Prediction
-reads whole texts.
+Training uses a bounded sample of labelled documents: about `max_train_docs` per language, picked by the hash of the identifier,
+and fewer per language if there are so many languages that `max_train_rows` would be exceeded. That is the only bound: every language,
+word and n-gram of the sample is kept. Words are counted by Spark, n-grams once per distinct word of a language, times its count.
+The model that is broadcast holds each token's counts in the languages that have it only, so it grows with the sample, not with the
+corpus. Prediction reads whole texts.
 
-Each token gives a vector of log posteriors over the languages (uniform prior); n-gram vectors weigh BACKOFF per order lost.
+A word is a run of letters (Unicode category L), lower-cased. Each token gives a vector of log posteriors over the languages (uniform prior); n-gram vectors weigh BACKOFF per order lost.
 A document's vector is the sum over its tokens; the prediction is its maximum (ties: the language that sorts first) and the
 score is that language's posterior, computed from the mean vector times at most EVIDENCE tokens so that it stays informative.
 
-Edge cases: a null text, a text without letters and a model without languages give ('und', 0.0); rows without language or
-text, and rows without identifier, are not learned from; equal rows are each predicted; an empty table gives an empty result;
-other columns of the input are never looked at.
+Edge cases: a null text, a text without letters (numerals such as ½ are none) and a model without languages give ('und', 0.0); rows
+without language or text, and rows without identifier, are not learned from; rows that share an identifier are learned from and
+predicted each by its own text; a very long text is counted and predicted whole; of tied languages the one that sorts first is
+predicted; an empty table gives an empty result; other columns of the input are never looked at.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, spread
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
@@ -36,11 +38,17 @@ BACKOFF = 0.6
 SMOOTHING = 0.5
 EVIDENCE = 30
 MAX_TRAIN_DOCS = 2_000
-MAX_LANGUAGES = 200
-MAX_WORDS = 60_000
-MAX_GRAMS = 20_000
-CACHE = 200_000
-WORDS = re.compile(r"[^\W\d_]+")
+MAX_TRAIN_ROWS = 100_000
+#: Words whose vectors a task keeps at most; fewer if there are many languages (CACHE_FLOATS numbers in all).
+CACHE, CACHE_FLOATS = 200_000, 16_000_000
+LETTERS = re.compile(r"[^\W\d_]+")
+EXACT_LETTERS = regex.compile(r"\p{L}+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased. The class of `re` holds numerals too; only where it found any is the slower one asked."""
+    found = LETTERS.findall(text.lower())
+    return found if "".join(found).isalpha() or not found else EXACT_LETTERS.findall(text.lower())
 
 
 def held_out(key: Column) -> Column:
@@ -54,46 +62,67 @@ def grams(word: str, order: int) -> list[str]:
 
 
 class Model:
-    """Vectors of words and n-grams over the languages, in sorted order."""
+    """Vectors of words and n-grams over the languages, in sorted order.
+
+    A token's log posterior is the same for all languages without it but for their sizes, so a row holds what its own languages
+    have above that, and the sum that makes it a distribution."""
 
-    def __init__(self, languages: list[str], counts: dict[int, tuple[list[str], np.ndarray]]) -> None:
-        """counts: order (0: whole words) -> tokens, and their occurrences in each of the sorted languages."""
+    def __init__(self, languages: list[str], counts: dict[int, tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """counts: order (0: whole words) -> distinct tokens, and occurrences as (place of the token, place of the language, number)."""
         self.languages = sorted(languages)
         self.tables: dict[int, dict[str, int]] = {}
-        rows, at = [], 0
-        for order, (tokens, table) in counts.items():
-            logs = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * (len(tokens) + 1)))
-            logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
+        self.base: dict[int, np.ndarray] = {}
+        starts, langs, gains, norms, at, filled = [], [], [], [], 0, 0
+        for order, (tokens, rows, own, n) in counts.items():
+            totals = np.bincount(own, n, len(self.languages))
+            whole = totals + SMOOTHING * (len(tokens) + 1)
+            base = np.log(SMOOTHING / whole) if len(self.languages) else np.zeros(0)
+            ranked = np.lexsort((own, rows))
+            rows, own, n = rows[ranked], own[ranked], n[ranked]
+            gain = np.log((n + SMOOTHING) / SMOOTHING)
+            # log of the sum over all languages: what all have anyway, and what the token's own have beyond that
+            more = np.bincount(rows, n / whole[own] if len(own) else n, len(tokens))
+            norms.append(np.log(np.exp(base).sum() + more) if len(tokens) else np.zeros(0))
             self.tables[order] = dict(zip(tokens, range(at, at + len(tokens)), strict=True))
-            rows.append(logs.astype(np.float32))
+            self.base[order] = base
+            starts.append(np.searchsorted(rows, np.arange(len(tokens))) + filled)
+            langs.append(own.astype(np.int32)), gains.append(gain.astype(np.float32))
             at += len(tokens)
-        self.rows = np.concatenate(rows) if rows else np.zeros((0, len(self.languages)), np.float32)
+            filled += len(rows)
+        joined = lambda parts, kind: np.concatenate([np.asarray(p, kind) for p in parts]) if parts else np.zeros(0, kind)
+        self.starts = np.append(joined(starts, np.int64), filled)
+        self.langs, self.gains, self.norms = joined(langs, np.int32), joined(gains, np.float32), joined(norms, np.float64)
 
-    def _found(self, word: str) -> tuple[list[int], float]:
-        """Rows that stand for a word, and their weight: its own, or those of its known n-grams of the longest order with any."""
+    def _found(self, word: str) -> tuple[list[int], float, int]:
+        """Rows that stand for a word, their weight and order: its own, or those of its known n-grams of the longest order with any."""
         if (i := self.tables[0].get(word)) is not None:
-            return [i], 1.0
+            return [i], 1.0, 0
         weight = BACKOFF
         for order in ORDERS:
             get = self.tables[order].get
             known = [i for g in grams(word, order) if (i := get(g)) is not None]
             if known:
-                return known, weight
+                return known, weight, order
             weight *= BACKOFF
-        return [], 0.0
+        return [], 0.0, 0
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """One row per word: the weighted mean of the rows that stand for it, zeros if there are none."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
+        k = len(self.languages)
         found = [self._found(w) for w in words]
-        sizes = np.array([len(x) for x, _ in found])
-        some = np.flatnonzero(sizes)
-        if len(some):
-            flat = np.array([i for x, _ in found for i in x])
-            begins = (np.cumsum(sizes) - sizes)[some]
-            weights = np.array([w for _, w in found], np.float32)[some] / sizes[some]
-            out[some] = np.add.reduceat(self.rows[flat], begins, axis=0) * weights[:, None]
-        return out
+        sizes = np.array([len(x) for x, _, _ in found], np.int64)
+        flat = np.array([i for x, _, _ in found for i in x], np.int64)
+        if not len(flat):
+            return np.zeros((len(words), k), np.float32)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        share = np.array([w for _, w, _ in found])[owner] / sizes[owner]
+        begin, wide = self.starts[flat], self.starts[flat + 1] - self.starts[flat]
+        place = np.repeat(begin - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+        out = np.bincount(np.repeat(owner * k, wide) + self.langs[place], np.repeat(share, wide) * self.gains[place], len(words) * k).reshape(len(words), k)
+        weight = np.bincount(owner, share, len(words))
+        out += weight[:, None] * np.stack([self.base[o] for _, _, o in found])
+        out -= np.bincount(owner, share * self.norms[flat], len(words))[:, None]
+        return out.astype(np.float32)
 
 
 class Predictor:
@@ -101,18 +130,19 @@ class Predictor:
 
     def __init__(self, model: Model) -> None:
         self.model, self.cache = model, {}
-        self.kept = np.zeros((CACHE, len(model.languages)), np.float32)
+        self.places = max(1, min(CACHE, CACHE_FLOATS // max(1, len(model.languages))))
+        self.kept = np.zeros((self.places, len(model.languages)), np.float32)
 
     def _total(self, words: Counter) -> np.ndarray:
         """Sum of the vectors of a text's words."""
-        if len(self.cache) + len(words) > CACHE:
+        if len(self.cache) + len(words) > self.places:
             self.cache.clear()
         at = list(map(self.cache.get, words))
         n = np.fromiter(words.values(), np.float64, len(words))
         if None in at:
             new = [w for w, i in zip(words, at, strict=True) if i is None]
             found = self.model.vectors(new)
-            if len(words) > CACHE:  # more words than the cache has places: nothing of this text is kept
+            if len(words) > self.places:  # more words than the cache has places: nothing of this text is kept
                 return n @ found.astype(np.float64)
             first = len(self.cache)
             self.kept[first : first + len(new)] = found
@@ -121,7 +151,7 @@ class Predictor:
         return n @ self.kept[at].astype(np.float64)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORDS.findall(text.lower())) if text else None
+        words = Counter(words_of(text)) if text else None
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         total = self._total(words)
@@ -130,44 +160,38 @@ class Predictor:
         return self.model.languages[best], float(min(1.0, math.exp(scaled[best] - np.logaddexp.reduce(scaled))))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Learns from a sample of the labelled documents that are not held out. Only tables of bounded size reach the driver."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
+    """Learns from a sample of the labelled documents that are not held out. Only counts of the sample reach the driver."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return Model([], {k: ([], np.zeros((0, 0))) for k in (0, *ORDERS)})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_train_docs / n))])
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for language, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for word, k in Counter(WORDS.findall(body.lower())).items():
-                    found[language, 0, word] += k
-                    for order in ORDERS:
-                        for g in grams(word, order):
-                            found[language, order, g] += k
-            if len(found) > 150_000:
-                yield _counts(found)
-                found = Counter()
-        yield _counts(found)
-
-    small_batches(docs.sparkSession)
-    counted = picked.select("lang", "text").mapInArrow(count, "lang string, ord int, token string, n long").groupBy("ord", "token", "lang").agg(F.sum("n").alias("n"))
-    per_token = materialise(counted.groupBy("ord", "token").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")), "tokens")
-    languages, counts = sorted(sizes), {}
-    for order in (0, *ORDERS):
-        most = max_words if order == 0 else max_grams
-        kept = per_token.filter(F.col("ord") == order).orderBy(F.desc("n"), "token").limit(most)
-        found = kept.select("token", *[F.coalesce(F.col("by")[F.lit(x)], F.lit(0)).cast("double").alias(f"l{i}") for i, x in enumerate(languages)]).toArrow()
-        counts[order] = found.column("token").to_pylist(), np.stack([found.column(f"l{i}").to_numpy() for i in range(len(languages))], 1)
+    found = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = sorted(r["lang"] for r in found.collect())
+    if not languages:
+        return Model([], {k: ([], *[np.zeros(0, np.int64)] * 3) for k in (0, *ORDERS)})
+    most = max(1, min(max_train_docs, max_train_rows // len(languages)))
+    share = F.broadcast(found.select(F.col("lang").alias("_lang"), (F.lit(float(most)) / F.col("n")).alias("_share")))
+    picked = rows.join(share, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
+    cut = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    words = spread(picked.select("lang", "text")).select("lang", F.explode(cut).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    words = materialise(words, "words")
+    counts = {order: _columns((_grams_of(words, order) if order else words).select("lang", "token", "n").toArrow(), languages) for order in (0, *ORDERS)}
     return Model(languages, counts)
 
 
-def _counts(found: Counter) -> pa.RecordBatch:
-    keys = list(found)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "ord", "token", "n"])
+def _grams_of(words: DataFrame, order: int) -> DataFrame:
+    """Counts of the n-grams of counted words; the same as `grams` gives."""
+    marked = words.select("lang", (F.col("token") if order == 1 else F.concat(F.lit("<"), "token", F.lit(">"))).alias("word"), "n").filter(F.length("word") >= order)
+    parts = F.transform(F.sequence(F.lit(1), F.length("word") - order + 1), lambda i: F.substring(F.col("word"), i, F.lit(order)))
+    return marked.select("lang", F.explode(parts).alias("token"), "n").groupBy("lang", "token").agg(F.sum("n").alias("n"))
+
+
+def _columns(table: pa.Table, languages: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, and the rows as (place of the token, place of the language, number)."""
+    import pyarrow.compute as pc
+
+    tokens = pc.unique(table.column("token"))
+    rows = pc.index_in(table.column("token"), tokens).to_numpy()
+    own = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy()
+    return tokens.to_pylist(), rows.astype(np.int64), own.astype(np.int64), table.column("n").to_numpy().astype(np.float64)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +205,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["id", "lang_pred", "score"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
+    rows = spread(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))).mapInArrow(run, "id long, lang_pred string, score double")
     return rows.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -201,4 +225,4 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= min_score for x in found], pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(known, docs.schema)
+    return spread(docs).mapInArrow(known, docs.schema)
