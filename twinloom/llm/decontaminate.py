@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spread
 
 MAX_EDITS = 0.25
 MIN_WORDS = 6
@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """One row per document and item that it holds: key, item_key, first_word, n_words, edits, item_words."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    base = spread(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")))
     schema = "id long, item long, first_word long, n_words long, edits long, item_words long"
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item_key, item_text):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spread
 
 # Element names by their role in HTML, and the words that name parts beside the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -390,5 +390,5 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
 
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).alias("html"))
-    out = rows.mapInArrow(run, "id long, url string, text string, n_chars long")
+    out = spread(rows).mapInArrow(run, "id long, url string, text string, n_chars long")
     return out.select(F.col("id").alias(key), F.col("url").alias(url), "text", "n_chars")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import materialise, maybe_in, small_batches
+from .common import materialise, maybe_in, small_batches, spread
 
 SHINGLE = 5
 PERCENT = 75
@@ -321,7 +321,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row per input row: key, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sigs = materialise(base.mapInArrow(_signatures, _SIGNATURE), "signatures")
+    sigs = materialise(spread(base).mapInArrow(_signatures, _SIGNATURE), "signatures")
     filled = sigs.filter("n > 0 and id is not null").select("id", "f1", "f2").withColumn("salt", _salt())
     same = filled.groupBy("f1", "f2").agg(F.min("id").alias("rep"), _mask()).select("f1", "f2", "rep", F.explode(_salts("salts")).alias("salt"))
     members = materialise(filled.join(same, ["f1", "f2", "salt"]).select("id", "rep").distinct(), "members")
