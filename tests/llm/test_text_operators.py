@@ -160,24 +160,30 @@ def test_token_counts_equal_library(spark):
 @given(st.text(max_size=60))
 def test_any_text_counts_as_the_library(text):
     path, tokenizer = reference_tokenizer()
-    global _count
-    if "_count" not in globals():
-        _count = token_counts.counter(path)
-    assert _count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    global _pre
+    if "_pre" not in globals():
+        _pre = token_counts.PreTokens(path)
+    found, special = _pre.frequencies(text)
+    assert special + sum(n * k for n, k in zip(found.values(), _pre.pieces(list(found)), strict=True)) == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
-def test_other_files(name):
-    public_tokenizers = pytest.importorskip("public_tokenizers")
-    assert token_counts.counter(public_tokenizers.path(name))("Hello big world") > 2
+def test_pieces_are_counted_once_for_all_blocks(spark, monkeypatch):
+    path, tokenizer = reference_tokenizer()
+    monkeypatch.setattr(token_counts, "BLOCK_ROWS", 3)
+    texts = [None, "", "a b c d e f g h", "a b c", "x y z w v u t s r q " * 3, "word " * 200_000, "<|endoftext|>", *(f"own{i} shared " * (i % 4) for i in range(40))]
+    rows = spark.createDataFrame([(i // 2 if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.token_counts(rows, path).collect()))
+    assert got == sorted((str(i // 2 if i else None), len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts))
 
 
-def test_table_of_pieces_is_bounded(monkeypatch):
-    path, tokenizer = reference_tokenizer()
-    monkeypatch.setattr(token_counts, "TABLE_ENTRIES", 5)
-    count = token_counts.counter(path)
-    for text in ["a b c d e f g h", "a b c", "x y z w v u t s r q " * 3]:
-        assert count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
+def test_other_files(spark, name):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path(name)
+    count = token_counts.text_counter(path)
+    assert count("Hello big world") > 2 and not (name.endswith(".model") and token_counts.by_pre_tokens(path))
+    rows = spark.createDataFrame([(1, "Hello big world"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts.token_counts(rows, path).collect()) == [(1, count("Hello big world")), (2, 0), (3, 0)]
 
 
 # --- html -------------------------------------------------------------------

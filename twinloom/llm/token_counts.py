@@ -1,15 +1,23 @@
-"""Token counts without ids: every distinct pre-token is counted once, documents add up counts times frequencies.
+"""Token counts without ids: pieces are counted once per distinct pre-token, and documents add up pieces times frequencies.
 
 A byte-level BPE splits a text by a fixed pattern and encodes each pre-token by itself, so a document's count is the sum over
-its distinct pre-tokens of frequency times pieces. The table of pieces is kept per Python worker and joined there to the
-documents' frequencies: nothing is shuffled, and a lost executor costs its own documents only. The table is bounded
-(TABLE_ENTRIES of at most LONG characters); a pre-token that is not in it is counted again, which changes no result.
+its distinct pre-tokens of frequency times pieces.
+
+1. Texts are split once. A block of documents (BLOCK_BYTES of text, as they come, without a shuffle) becomes a row: its distinct
+   pre-tokens, and each document's frequencies by their place among them, packed. Blocks are written to the shared folder.
+2. The blocks' pre-tokens are reduced to the distinct ones of the corpus, and the tokenizer counts the pieces of each once.
+3. That table is joined to the blocks' pre-tokens, and a block's numbers go back to it, where the frequencies are summed.
+
+Scale: what is shuffled is (block, pre-token), not (document, pre-token), and the packed frequencies once. A pre-token stands once
+in a block however often its documents hold it, so no key is hotter than the number of blocks. No table is broadcast unless Spark
+measures it as small. A lost executor costs its own tasks, as blocks are numbered by partition and written before they are read.
 
 Files for the other libraries (sentencepiece models; tokenizers files with another pre-tokenizer) are counted text by text,
 as their pieces cross word borders.
 
 Edge cases: null and empty texts count 0; special strings inside a text are one token, as the library does by default; rows
-with equal identifiers are counted each by itself; an empty table gives an empty result; further columns are not looked at.
+with equal identifiers are counted each by itself, and rows without identifier too; a very long text is a block of its own and
+read whole; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,81 +26,170 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches, spread
 
-TABLE_ENTRIES = 400_000
-LONG = 64
+BLOCK_BYTES = 16 << 20
+#: Documents of a block at most, so that a table of empty texts is cut as well.
+BLOCK_ROWS = 50_000
 LIMIT = 512
 #: Fixed value: the public pattern of byte-level BPE pre-tokens.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _pre_token_counter(path: str) -> Callable[[str], int] | None:
-    """A counter by pre-tokens, or None if the file's pre-tokenizer is another one."""
-    import regex
-    from tokenizers import Tokenizer
+class PreTokens:
+    """Splits texts into pre-tokens, and counts the pieces of pre-tokens."""
+
+    def __init__(self, path: str) -> None:
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            self.special = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.path = path
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.find = regex.compile(PATTERN).findall
 
+    def frequencies(self, text: str) -> tuple[Counter, int]:
+        """How often a text holds each pre-token, and how many special strings."""
+        if self.cut and any(x in text for x in self.special):
+            parts = self.cut.split(text)
+            return Counter(x for part in parts for x in self.find(part)), len(parts) - 1
+        return Counter(self.find(text)), 0
+
+    def pieces(self, tokens: list[str]) -> list[int]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        if not hasattr(self, "tokenizer"):
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return [len(e) for e in self.tokenizer.encode_batch(tokens, add_special_tokens=False)]
+
+
+def by_pre_tokens(path: str) -> bool:
+    """Whether a file's tokenizer encodes pre-tokens of PATTERN each by itself."""
+    if path.endswith(".model"):
+        return False
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
-        return None
-    tokenizer = Tokenizer.from_file(path)
-    special = [x["content"] for x in spec["added_tokens"]]
-    cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-    find = regex.compile(PATTERN).findall
-    pieces: dict[str, int] = {}
-
-    def count(text: str) -> int:
-        n, parts = 0, [text]
-        if cut and any(x in text for x in special):
-            parts = cut.split(text)
-            n = len(parts) - 1
-        frequency = Counter(find(parts[0])) if len(parts) == 1 else Counter(x for part in parts for x in find(part))
-        new = [x for x in frequency if x not in pieces]
-        if new:
-            if len(pieces) + len(new) > TABLE_ENTRIES:
-                pieces.clear()
-                new = list(frequency)
-            found = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-            n += sum(found[x] * frequency.pop(x) for x in new)
-            pieces.update((x, k) for x, k in found.items() if len(x) <= LONG)
-        return n + sum(k * pieces[x] for x, k in frequency.items())
-
-    return count
-
-
-def counter(path: str) -> Callable[[str], int]:
+    return pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
+
+
+def text_counter(path: str) -> Callable[[str], int]:
+    """Counts whole texts by the library."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda text: len(model.encode(text))
-    if found := _pre_token_counter(path):
-        return found
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False))
+
+
+BLOCK = "blk long, ids array<long>, n_bytes array<long>, special array<long>, wide binary, places binary, times binary, tokens array<string>"
+
+
+class Block:
+    """Frequencies of the documents that were read since the last block."""
+
+    def __init__(self) -> None:
+        self.ids, self.n_bytes, self.special, self.wide, self.size = [], [], [], [], 0
+        self.known: dict[str, int] = {}
+        self.places: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+
+    def add(self, key: int | None, size: int, found: Counter, special: int) -> None:
+        known = self.known
+        places = np.fromiter((known.setdefault(x, len(known)) for x in found), np.uint32, len(found))
+        times = np.fromiter(found.values(), np.uint32, len(found))
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        places[1:] = np.diff(places)  # steps are small numbers, which pack well
+        self.places.append(places), self.times.append(times[order]), self.wide.append(len(found))
+        self.ids.append(key), self.n_bytes.append(size), self.special.append(special)
+        self.size += size
+
+    def row(self, number: int) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        joined = [pack(np.concatenate([np.zeros(0, np.uint32), *x]).tobytes()) for x in (self.places, self.times)]
+        longs = [pa.array([x], pa.list_(pa.int64())) for x in (self.ids, self.n_bytes, self.special)]
+        wide = pack(np.array(self.wide, np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *longs, *(pa.array([x], pa.binary()) for x in (wide, *joined)), pa.array([list(self.known)], pa.list_(pa.string()))], names=["blk", "ids", "n_bytes", "special", "wide", "places", "times", "tokens"])
+
+
+def _summed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The documents of blocks: (id, n_bytes, n_tokens). The last column of a block holds (place, pieces) of its pre-tokens."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    ids, sizes, totals = [], [], []
+    for i in range(batch.num_rows):
+        wide, places, times = (np.frombuffer(unpack(batch.column(k)[i].as_py()), np.uint32).astype(np.int64) for k in (3, 4, 5))
+        total = np.array(batch.column(2)[i].as_py(), np.int64)
+        if len(places):
+            begin = (np.cumsum(wide) - wide)[wide > 0]
+            steps = np.cumsum(places)
+            at = steps - np.repeat(steps[begin] - places[begin], wide[wide > 0])
+            found = batch.column(6)[i].values
+            pieces = np.zeros(len(found), np.int64)
+            pieces[found.field(0).to_numpy()] = found.field(1).to_numpy()
+            total[wide > 0] += np.add.reduceat(pieces[at] * times, begin)
+        ids.append(batch.column(0)[i].values), sizes.append(batch.column(1)[i].values), totals.append(pa.array(total, pa.int64()))
+    joined = [pa.concat_arrays([pa.array([], pa.int64()), *x]) for x in (ids, sizes, totals)]
+    return pa.RecordBatch.from_arrays(joined, names=["id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per document: key, n_bytes, n_tokens, over_limit. path: the tokenizer's file, on every executor."""
+    small_batches(docs.sparkSession)
+    rows = spread(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")))
+    out = _by_pre_tokens(rows, path) if by_pre_tokens(path) else _by_texts(rows, path)
+    return out.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        number = counter(path)
+def _by_texts(rows: DataFrame, path: str) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = text_counter(path)
         for batch in batches:
             tokens = pa.array([number(x) if x else 0 for x in (v.as_py() for v in batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), tokens], names=["id", "n_bytes", "n_tokens"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(count, "id long, n_bytes long, n_tokens long")
-    return out.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.mapInArrow(count, "id long, n_bytes long, n_tokens long")
+
+
+def _by_pre_tokens(rows: DataFrame, path: str) -> DataFrame:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pre, block, number = PreTokens(path), Block(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for key, text, size in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if block.ids and (block.size + size > BLOCK_BYTES or len(block.ids) >= BLOCK_ROWS):
+                    yield block.row(number)
+                    block, number = Block(), number + 1
+                text = text.as_py()
+                block.add(key, size, *(pre.frequencies(text) if text else (Counter(), 0)))
+        if block.ids:
+            yield block.row(number)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre = PreTokens(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pre.pieces(batch.column(0).to_pylist()), pa.int64())], names=["token", "pieces"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(_summed, batches)
+
+    blocks = materialise(rows.mapInArrow(split, BLOCK), "frequencies")
+    owned = blocks.select("blk", F.posexplode("tokens").alias("at", "token"))
+    pieces = owned.select("token").distinct().mapInArrow(count, "token string, pieces long")
+    answers = owned.join(pieces, "token").groupBy("blk").agg(F.collect_list(F.struct("at", "pieces")).alias("found"))
+    joined = blocks.join(answers, "blk", "left").select("ids", "n_bytes", "special", "wide", "places", "times", F.coalesce("found", F.array().cast("array<struct<at:int,pieces:bigint>>")).alias("found"))
+    return joined.mapInArrow(total, "id long, n_bytes long, n_tokens long")
