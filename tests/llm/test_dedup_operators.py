@@ -84,6 +84,27 @@ def test_near_edges(spark):
     assert sorted((str(r.doc_id), r.kept) for r in got) == [("3", True), ("None", True), ("None", True)]
 
 
+def test_rows_that_share_an_identifier_are_linked_by_their_own_texts(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(5, a), (5, b), (5, b), (2, b + " end"), (7, a + " more"), (9, c), (9, c), (3, None), (3, c + " x"), (None, a), (4, "own words of the fourth text here")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(spark.createDataFrame(rows, DDL)).collect() if r.doc_id is not None)
+    assert got == sorted([(5, 36, 5, True), (5, 36, 2, False), (5, 36, 2, False), (2, 37, 2, True), (7, 37, 5, False), (9, 36, 3, False), (9, 36, 3, False), (3, 0, 3, True), (3, 37, 3, True), (4, 3, 4, True)])
+
+
+def test_templates_below_the_threshold_don_t_meet(spark):
+    """82 shared shingles and 18 own ones: no two are similar, and none meets another at the shared shingles."""
+    r = random.Random(8)
+    shared = [f"t{i}" for i in range(86)]
+    rows = [(i, " ".join([*shared, *(f"u{i}x{j}" for j in range(18))])) for i in range(200)] + [(900, " ".join([*shared, *(f"u900x{j}" for j in range(4))])), (901, " ".join([*shared, *(f"u901x{j}" for j in range(4))]))]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    search = type("Search", (), {"docs": docs, "used": []})()
+    got = {(min(x.a, x.b), max(x.a, x.b)) for x in near_dedup._prefix_pairs(search, docs.select("id", F.col("id").alias("component"))).collect()}
+    sets = plain_sets(rows)
+    want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert want <= got and (900, 901) in want and not {p for p in got if max(p) < 900}
+
+
 def test_hot_bands_are_joined_exactly(spark, monkeypatch):
     """Bands that many components share go by rare shingles; with a bound of one component all bands that are open do."""
     monkeypatch.setattr(near_dedup, "HOT_COMPONENTS", 1)
@@ -94,7 +115,7 @@ def test_hot_bands_are_joined_exactly(spark, monkeypatch):
 def test_prefix_pairs_are_complete(spark):
     rows = [(i, t) for i, t in corpus() if t and len(t.split()) < 1000]
     docs = spark.createDataFrame(rows, "id long, text string")
-    search = type("Search", (), {"docs": docs})()
+    search = type("Search", (), {"docs": docs, "used": []})()
     got = {(min(r.a, r.b), max(r.a, r.b)) for r in near_dedup._prefix_pairs(search, docs.select("id", F.col("id").alias("component"))).collect()}
     sets = plain_sets(rows)
     want = {(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}

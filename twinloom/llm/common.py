@@ -43,11 +43,9 @@ def small_batches(spark: SparkSession) -> None:
     the settings when they run, so these are lowered for the session, never raised."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(name, None)
-        if now is not None:
-            held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(now)) if name.endswith("maxBytesPerBatch") else int(now)
-            if held <= 0 or held > most:
-                spark.conf.set(name, most)
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if now <= 0 or now > most:
+            spark.conf.set(name, most)
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -57,6 +55,19 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def row_keys(docs: DataFrame, key: str) -> DataFrame | None:
+    """(`_node`, and the columns of docs) with an identifier for every row, or None if `key` is one: a row whose identifier is
+    null or stands in several rows gets a number above all identifiers. Written once, so that the numbers stay."""
+    ids = docs.groupBy(F.col(key).cast("long").alias("_id")).agg(F.count("*").alias("_n"))
+    again = materialise(ids.filter("_n > 1 or _id is null").select("_id"), "repeated")
+    if again.isEmpty():
+        return None
+    top = ids.agg(F.greatest(F.coalesce(F.max("_id"), F.lit(0)), F.lit(0)).alias("top")).first()["top"]
+    rows = docs.join(again.withColumn("_again", F.lit(True)), docs[key].cast("long").eqNullSafe(F.col("_id")), "left")
+    node = F.when(F.col("_again"), F.monotonically_increasing_id() + (top + 1)).otherwise(docs[key].cast("long"))
+    return materialise(rows.select(node.alias("_node"), *[docs[c] for c in docs.columns if c != "_node"]), "rows")
+
+
 def block_count(total_bytes: int, least: int, most: int) -> int:
     """Number of parts of a corpus. Parts of `least` bytes, growing with the root of the corpus up to `most`, so that what each of n
     blocks sends to each of m buckets stays more than a row's overhead: 2 MB blocks up to 100 GB, 64 MB at 100 TB."""

@@ -12,14 +12,16 @@
    of different components in a band. Pairs within a component change nothing. A band that many components share (a passage
    that countless documents hold, copies that were changed too much) is not expanded into pairs: its documents are joined
    exactly by prefix filtering, where two sets can only be similar if they share a shingle among their rarest, early enough in
-   both for what follows to suffice.
+   both for what follows to suffice. How early bounds the size of the partner, and only entries whose sizes fit meet, so countless
+   documents of a template that are not similar enough don't meet at the template's shingles.
 
 Skew: hot bands and hot sets are joined per (key, salt) after a combine; only a 4 MB filter of identifiers is broadcast, to keep
 texts that are in no pair out of the shuffle; iterations are written to the shared folder. No pairs or components are collected.
 
 Edge cases: null texts and texts without words have size 0, are their own component and are kept; with fewer than five words
-the whole sequence is one shingle; rows with equal identifiers are one node (a row each is returned); rows without identifier
-are linked with nothing, and are kept; very long texts are hashed in pieces; an empty table gives an empty result; further
+the whole sequence is one shingle; rows with equal identifiers are linked each by its own text (a row each is returned, so equal
+rows get the same result, and a row is kept if its component has no smaller identifier); rows without identifier are linked with
+nothing, and are kept; very long texts are hashed in pieces; an empty table gives an empty result; further
 columns are not looked at.
 """
 
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import materialise, maybe_in, small_batches, spread
+from .common import discard, materialise, maybe_in, row_keys, small_batches, spread
 
 SHINGLE = 5
 PERCENT = 75
@@ -169,7 +171,7 @@ class _Search:
     def __init__(self, docs: DataFrame, sigs: DataFrame, members: DataFrame) -> None:
         self.docs = docs
         reps = members.filter("id = rep").select("id").distinct()
-        own = materialise(sigs.dropDuplicates(["id"]).join(reps, "id"), "representatives")
+        self.own = own = materialise(sigs.join(reps, "id"), "representatives")
         self.heads = own.select("id", "n", *_SKETCH)
         keyed = own.select("id", F.explode("bands").alias("key")).withColumn("salt", _salt())
         groups = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members"), _mask()).filter("low < high")
@@ -178,6 +180,7 @@ class _Search:
         self.popular = materialise(self.shared.groupBy("id").agg(F.sum("members").alias("pop")), "popular")
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
+        self.used: list[DataFrame] = []  # tables that the pairs to be confirmed next are made from
 
     def first_pairs(self) -> DataFrame:
         """Each document with the most popular one that shares a band with it."""
@@ -206,6 +209,8 @@ class _Search:
     def confirm(self, pairs: DataFrame) -> bool:
         """Tests candidate pairs on their full sets; whether there were any new ones."""
         pairs = materialise(pairs, "pairs")
+        while self.used:
+            discard(self.used.pop())
         if pairs.isEmpty():
             return False
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -216,7 +221,7 @@ class _Search:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), known).tobytes() for x in batch.column(1)], pa.binary())], names=["id", "found"])
 
-        own = materialise(texts.mapInArrow(sets, "id long, found binary").dropDuplicates(["id"]), "sets")
+        own = materialise(texts.mapInArrow(sets, "id long, found binary"), "sets")
         salted = pairs.withColumn("salt", _salt("b"))
         left = salted.select("a", "salt").distinct().join(own, F.col("a") == F.col("id")).select("a", "salt", F.col("found").alias("x"))
         right = salted.join(own, F.col("b") == F.col("id")).select("a", "salt", "b", F.col("found").alias("y"))
@@ -232,10 +237,16 @@ class _Search:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
         found = materialise(left.join(right, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
+        discard(own)
         self.links = found if self.links is None else self.links.union(found)
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         return True
 
+    def free(self) -> None:
+        """Deletes the tables that no result reads."""
+        for table in (self.own, self.shared, self.popular):
+            discard(table)
+
     def labelled(self) -> DataFrame:
         """Members of bands that still hold several components: key, id, component, n_components, n_members."""
         if self.links is None:
@@ -289,7 +300,7 @@ def _prefix_pairs(search: _Search, members: DataFrame) -> DataFrame:
     order is followed, in both sets, by as many as the pair still needs, so shingles too far back open no pair. The order is by
     counts in a table of fixed size, which alone is broadcast; it need not be exact, only the same everywhere, and a shingle
     that is counted once is indeed held by one member."""
-    texts = materialise(maybe_in(search.docs, "id", members, "id").dropDuplicates(["id"]).join(members, "id").select("id", "text"), "hot-texts")
+    texts = materialise(maybe_in(search.docs, "id", members, "id").join(members, "id").select("id", "text"), "hot-texts")
     rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,22 +320,43 @@ def _prefix_pairs(search: _Search, members: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(after), pa.int32())], names=["id", "n", "shingle", "after"])
 
-    tokens = materialise(texts.mapInArrow(prefixes, "id long, n int, shingle long, after int").join(members, "id"), "prefixes")
-    x, y = tokens.alias("x"), tokens.alias("y")
-    # the first common shingle of a similar pair leaves enough behind it: 100 * common >= 75 * union
-    enough = (F.least("x.after", "y.after") + 1) * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
-    size = F.least(F.col("x.n"), F.col("y.n")) * 100 >= F.greatest(F.col("x.n"), F.col("y.n")) * PERCENT
-    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & size & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    # 100 * common >= 75 * union: with so many shingles left at the first common one, the partner has at most `reach`
+    reach = F.floor((F.col("after") + 1) * (100 + PERCENT) / PERCENT).cast("long") - F.col("n")
+    tokens = materialise(texts.mapInArrow(prefixes, "id long, n int, shingle long, after int").join(members, "id").withColumn("reach", reach), "prefixes")
+    search.used += [texts, tokens]
+    # the larger set looks for its partners' sizes, in classes of 4%; the smaller one stands under its own
+    size_class = lambda n: F.floor(F.log(n.cast("double")) * 25).cast("int")
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    larger = tokens.filter(F.col("reach") >= least).withColumn("size", F.explode(F.sequence(size_class(least), size_class(F.least("n", "reach")))))
+    smaller = tokens.filter("reach >= n").withColumn("size", size_class(F.col("n")))
+    x, y = larger.alias("x"), smaller.alias("y")
+    fits = (F.col("y.n") <= F.least("x.n", "x.reach")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
+    once = (F.col("y.n") < F.col("x.n")) | (F.col("y.id") < F.col("x.id"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.component") != F.col("y.component")) & fits & once)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    nodes = row_keys(base.filter("id is not null"), "id")
+    if nodes is None:
+        return _grouped(base).select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    found = _grouped(nodes.select(F.col("_node").alias("id"), "text")).join(nodes.select(F.col("_node").alias("id"), F.col("id").alias("own")), "id")
+    found = materialise(found.select("own", "n_shingles", "component_id"), "rows-found")
+    names = found.groupBy("component_id").agg(F.min("own").alias("least"))  # components of one identifier each, mostly: no key is hot after the combine
+    out = found.join(names, "component_id").select(F.col("own").alias(key), "n_shingles", F.col("least").alias("component_id"), (F.col("own") == F.col("least")).alias("kept"))
+    rest = _grouped(base.filter("id is null"))
+    return out.union(rest.select("id", "n_shingles", "component_id", F.lit(True)))
+
+
+def _grouped(base: DataFrame) -> DataFrame:
+    """base: (id, text), no identifier twice. (id, n_shingles, component_id)."""
     sigs = materialise(spread(base).mapInArrow(_signatures, _SIGNATURE), "signatures")
     filled = sigs.filter("n > 0 and id is not null").select("id", "f1", "f2").withColumn("salt", _salt())
     same = filled.groupBy("f1", "f2").agg(F.min("id").alias("rep"), _mask()).select("f1", "f2", "rep", F.explode(_salts("salts")).alias("salt"))
-    members = materialise(filled.join(same, ["f1", "f2", "salt"]).select("id", "rep").distinct(), "members")
+    members = materialise(filled.join(same, ["f1", "f2", "salt"]).select("id", "rep"), "members")
     search = _Search(base.filter("id is not null"), sigs, members)
     search.confirm(search.screened(search.first_pairs()))
     search.confirm(search.screened(search.component_pairs()))
@@ -338,10 +370,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & cold & _may_be_similar("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     if not hot.isEmpty():
         rest = rest.union(_prefix_pairs(search, hot))
+    search.used.append(some)
     search.confirm(search.screened(rest))
     whole = members.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a < b")
     edges = whole if search.links is None else whole.union(search.links)
     found = materialise(components(edges), "components")
-    out = sigs.select("id", "n").join(found, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    search.free()
+    return sigs.select("id", "n").join(found, "id", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
