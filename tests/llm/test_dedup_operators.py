@@ -331,6 +331,18 @@ def test_pipeline(spark, sf):
     assert set(copies) <= set(kept) and max(copies.values()) <= 2 and mixed.columns == [*docs.columns, "copy"]
 
 
+def test_stages_decide_rows_not_identifiers(spark, sf):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, "the only text of its kind"), (3, b + " end")]
+    docs = spark.createDataFrame(rows, DDL).withColumn("kept", F.lit("x")).withColumn("_node", F.lit(7))
+    once = corpus_pipeline.exact(spark, docs, sf)
+    assert once.columns == docs.columns
+    assert sorted(r.text for r in once.collect()) == sorted([a, b, "the only text of its kind", b + " end"])
+    assert sorted(r.text for r in corpus_pipeline.near(spark, once, sf).collect()) in (sorted([a, b, "the only text of its kind"]), sorted([a, b + " end", "the only text of its kind"]))
+
+
 def test_pipeline_of_odd_tables(spark, sf):
     import corpus_pipeline
 

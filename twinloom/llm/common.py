@@ -55,17 +55,21 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def row_keys(docs: DataFrame, key: str) -> DataFrame | None:
-    """(`_node`, and the columns of docs) with an identifier for every row, or None if `key` is one: a row whose identifier is
-    null or stands in several rows gets a number above all identifiers. Written once, so that the numbers stay."""
+def row_keys(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """docs with a column that tells all rows apart, and its name: `key` itself if it does. Else a row whose identifier is null or
+    stands in several rows gets a number above all identifiers, in a new column; the table is written, so that the numbers stay."""
     ids = docs.groupBy(F.col(key).cast("long").alias("_id")).agg(F.count("*").alias("_n"))
     again = materialise(ids.filter("_n > 1 or _id is null").select("_id"), "repeated")
     if again.isEmpty():
-        return None
+        return docs, key
+    name = "_node"
+    while name in docs.columns:
+        name += "_"
     top = ids.agg(F.greatest(F.coalesce(F.max("_id"), F.lit(0)), F.lit(0)).alias("top")).first()["top"]
-    rows = docs.join(again.withColumn("_again", F.lit(True)), docs[key].cast("long").eqNullSafe(F.col("_id")), "left")
-    node = F.when(F.col("_again"), F.monotonically_increasing_id() + (top + 1)).otherwise(docs[key].cast("long"))
-    return materialise(rows.select(node.alias("_node"), *[docs[c] for c in docs.columns if c != "_node"]), "rows")
+    again = again.select(F.col("_id").alias(f"{name}_id"), F.lit(True).alias(f"{name}_again"))
+    rows = docs.join(again, docs[key].cast("long").eqNullSafe(F.col(f"{name}_id")), "left")
+    node = F.when(F.col(f"{name}_again"), F.monotonically_increasing_id() + (top + 1)).otherwise(docs[key].cast("long"))
+    return materialise(rows.select(*[docs[c] for c in docs.columns], node.alias(name)), "rows"), name
 
 
 def block_count(total_bytes: int, least: int, most: int) -> int:

@@ -15,15 +15,16 @@ the longest has at least ceil((n - k) / (k + 1)) words, which is q.
 The items are read in blocks of at most BLOCK_ITEMS and BLOCK_WORDS words, and each block, whose size is so bounded, is sent to
 the executors; more items are more passes over the documents, not more memory. Documents are not shuffled.
 
-Edge cases: items with fewer than MIN_WORDS words identify no passage: they match only a document that consists of the same
-words; items and texts that are null or hold no word match nothing; equal items each match; equal rows each give their
-matches; very long texts are searched whole; empty tables give an empty result; further columns are not looked at.
+Edge cases: items with fewer than MIN_WORDS words allow no edits: they match where a document holds exactly these words in a row;
+those with fewer than MIN_INSIDE words, which any text may hold, match only a document that consists of them; items and texts that are null or hold no word match nothing; equal items each match; equal rows each give their
+matches; rows that share an identifier match each by its own text; very long texts are searched whole; empty tables give an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -32,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread
+from .common import row_keys, small_batches, spread
 
 MAX_EDITS = 0.25
 MIN_WORDS = 6
+MIN_INSIDE = 3
 LONGEST_SEED = 3
 SAMPLED = 2
 TARGET_RECALL = 0.999
@@ -103,7 +105,7 @@ class Items:
         self.short: dict[bytes, list[int]] = {}
         places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for i, w in enumerate(self.words):
-            if len(w) < MIN_WORDS:
+            if len(w) < MIN_INSIDE:
                 self.short.setdefault(w.tobytes(), []).append(i)
                 continue
             q = min(LONGEST_SEED, -(-(len(w) - self.edits[i]) // (self.edits[i] + 1)))
@@ -115,14 +117,15 @@ class Items:
         for q in {len(x) for x in places}:
             own = sorted((self.code(x), np.array(at, np.int64)) for x, at in places.items() if len(x) == q)
             self.seeds[q] = np.array([c for c, _ in own], np.int64), [at for _, at in own]
-        self.longest = max([len(w) for w in self.words if MIN_WORDS <= len(w) <= EMBEDDED_WORDS], default=0)
+        self.longest = max([len(w) for w in self.words if MIN_WORDS <= len(w) <= EMBEDDED_WORDS], default=0)  # so the tables are narrow
         self.walks = Walks(self.longest) if self.longest else None
         self.table = np.zeros((len(self.words), self.longest), np.int64)
         for i, w in enumerate(self.words):
             if MIN_WORDS <= len(w) <= EMBEDDED_WORDS:
                 self.table[i, : len(w)] = w
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        embedded = np.where(self.sizes <= EMBEDDED_WORDS, self.sizes, 0)
+        self.exact = (self.sizes > EMBEDDED_WORDS) | (self.sizes < MIN_WORDS)
+        embedded = np.where(self.exact, 0, self.sizes)
         self.item_keys = [self.walks.keys(self.table, embedded, r) for r in range(REPEATS)] if self.walks else []
 
     def code(self, words: tuple[int, ...]) -> int:
@@ -153,7 +156,7 @@ class Items:
 
     def candidates(self, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Which of the rows (text, item, start) agree with their item in a key of any repeat, or have an item that is not embedded."""
-        live = self.sizes[rows[:, 1]] > EMBEDDED_WORDS
+        live = self.exact[rows[:, 1]].copy()
         short = np.flatnonzero(~live)
         if len(short):
             live[short] = self.agreeing(flat, begins, lengths, rows[short])
@@ -204,6 +207,17 @@ class Items:
         return int(row[end]), low + int(origin[end]), low + end
 
 
+#: The items that this worker built last, by the broadcast they come from: tasks of one worker share them.
+_built: dict[str, Items] = {}
+
+
+def _items(name: str, block: list[tuple[int, str]], max_edits: float) -> Items:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(block, max_edits)
+    return _built[name]
+
+
 def _matches(items: Items, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, first word, word after the last, edits): per row and item the closest passage, the first of equals."""
     known, texts = items.known.get, []
@@ -211,7 +225,7 @@ def _matches(items: Items, batch: pa.RecordBatch) -> Iterator[tuple[int, int, in
         own = words_of(value.as_py())
         text = np.array(list(map(known, own, repeat(0))), np.int64)
         texts.append(text)
-        if len(text) < MIN_WORDS and len(text):
+        if 0 < len(text) < MIN_INSIDE:
             for item in items.short.get(text.tobytes(), ()):
                 yield i, item, 0, len(text), 0
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -251,10 +265,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     schema = "id long, item long, first_word long, n_words long, edits long, item_words long"
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item_key, item_text):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, max_edits)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            items = _items(name, shared.value, max_edits)
             for batch in batches:
                 found = list(_matches(items, batch))
                 ids = batch.column(0).to_pylist()
@@ -266,6 +280,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents, with all their columns, that hold no benchmark item. Documents without identifier are kept."""
-    found = leaks(docs, benchmark, key, text, **how).select(F.col(key).alias("_leak")).distinct()
-    return docs.join(found, docs[key] == F.col("_leak"), "left_anti")
+    """The documents, with all their columns, that hold no benchmark item; decided row by row, with or without identifier."""
+    rows, node = row_keys(docs, key)
+    found = leaks(rows, benchmark, node, text, **how).select(F.col(node).alias(f"_leak_{node}")).distinct()
+    return rows.join(found, rows[node] == F.col(f"_leak_{node}"), "left_anti").select(*docs.columns)

@@ -340,10 +340,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row per input row: key, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    nodes = row_keys(base.filter("id is not null"), "id")
-    if nodes is None:
+    nodes, node = row_keys(base.filter("id is not null"), "id")
+    if node == "id":
         return _grouped(base).select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
-    found = _grouped(nodes.select(F.col("_node").alias("id"), "text")).join(nodes.select(F.col("_node").alias("id"), F.col("id").alias("own")), "id")
+    found = _grouped(nodes.select(F.col(node).alias("id"), "text")).join(nodes.select(F.col(node).alias("id"), F.col("id").alias("own")), "id")
     found = materialise(found.select("own", "n_shingles", "component_id"), "rows-found")
     names = found.groupBy("component_id").agg(F.min("own").alias("least"))  # components of one identifier each, mostly: no key is hot after the combine
     out = found.join(names, "component_id").select(F.col("own").alias(key), "n_shingles", F.col("least").alias("component_id"), (F.col("own") == F.col("least")).alias("kept"))
