@@ -66,6 +66,25 @@ def test_index_takes_batches(spark):
     for rows in ([(5, "a"), (6, "b")], [(1, "a"), (2, "c")]):
         index.append(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.best.id, r.n) for r in index.compact().collect()) == [(1, 2), (2, 1), (6, 1)]
+    found = index.lookup([hashlib.sha256(b"a").digest(), hashlib.sha256(b"none").digest()])
+    assert sorted(r.best.id for r in found.collect()) == [1, 5]
+    assert "PushedFilters: [In(digest" in found._jdf.queryExecution().toString() or "In(digest" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_entries_that_the_filters_find_are_merged(spark):
+    index = exact_dedup.MergeIndex(spark)
+    rows = [(i, f"text {i % 900}") for i in range(1000)]
+    index.append(spark.createDataFrame(rows, "doc_id long, text string"))
+    runs = index.runs[0].collect()
+    assert {r.run for r in runs} == set(range(exact_dedup.MEMTABLES)) and sum(r.n for r in runs) == 1000
+    for run in range(exact_dedup.MEMTABLES):  # sorted within a file, a digest once in a run
+        own = [bytes(r.digest) for r in runs if r.run == run]
+        assert len(own) == len(set(own))
+    assert sorted((r.best.id, r.n) for r in index.compact().collect()) == [(i, 2 if i < 100 else 1) for i in range(900)]
+    others = index.filters[0].filter("run > 0").groupBy("_f_bucket").agg(F.bitmap_or_agg("_f_bits").alias("_f_bits"))
+    probed = common.in_bits(index.runs[0].filter("run = 0"), "digest", others).collect()
+    elsewhere = {bytes(r.digest) for r in runs if r.run > 0}
+    assert all(r._found for r in probed if bytes(r.digest) in elsewhere) and sum(r._found for r in probed) < len(probed) / 2
 
 
 def test_filter_lets_all_wanted_pass(spark):

@@ -101,15 +101,25 @@ def _slot(key: Column) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(FILTER_BUCKETS)).cast("int"), F.pmod(F.shiftright(h, 20), F.lit(BUCKET_BITS)).cast("long")
 
 
+def bits_of(wanted: DataFrame, key: str, *by: str) -> DataFrame:
+    """The filter of some keys (one for each value of `by`): by, bucket, bits; 4 MB at most each."""
+    bucket, bit = _slot(F.col(key))
+    return wanted.select(*by, bucket.alias("_f_bucket"), bit.alias("_f_bit")).groupBy(*by, "_f_bucket").agg(F.bitmap_construct_agg("_f_bit").alias("_f_bits"))
+
+
+def in_bits(rows: DataFrame, key: str, bits: DataFrame, *by: str) -> DataFrame:
+    """Rows with `_found`: whether their key may be in the filter. Only the filter is broadcast."""
+    bucket, bit = _slot(F.col(key))
+    found = rows.withColumn("_f_bucket", bucket).withColumn("_f_bit", bit).join(F.broadcast(bits), [*by, "_f_bucket"], "left")
+    byte = F.conv(F.hex(F.substring(F.col("_f_bits"), F.expr("cast(_f_bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("_f_bit") % 8).cast("int")) == 1, F.lit(False))
+    return found.select(*[rows[c] for c in rows.columns], hit.alias("_found"))
+
+
 def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """Rows whose key may be among the wanted keys: all that are, and few others as long as the wanted keys are well below 33
     million (beyond that the filter lets more pass, and results stay whole). Only the filter, 4 MB at most, is broadcast."""
-    bucket, bit = _slot(F.col(wanted_key))
-    bits = wanted.select(bucket.alias("_f_bucket"), bit.alias("_f_bit")).groupBy("_f_bucket").agg(F.bitmap_construct_agg("_f_bit").alias("_f_bits"))
-    bucket, bit = _slot(F.col(key))
-    found = rows.withColumn("_f_bucket", bucket).withColumn("_f_bit", bit).join(F.broadcast(bits), "_f_bucket")
-    byte = F.conv(F.hex(F.substring(F.col("_f_bits"), F.expr("cast(_f_bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
-    return found.filter(F.getbit(byte, (F.col("_f_bit") % 8).cast("int")) == 1).select(*rows.columns)
+    return in_bits(rows, key, bits_of(wanted, wanted_key)).filter("_found").select(*rows.columns)
 
 
 #: Parts of a key that may be hot; at most 63, as a part is a bit of a mask.
