@@ -324,12 +324,12 @@ def _prefix_pairs(search: _Search, members: DataFrame) -> DataFrame:
     reach = F.floor((F.col("after") + 1) * (100 + PERCENT) / PERCENT).cast("long") - F.col("n")
     tokens = materialise(texts.mapInArrow(prefixes, "id long, n int, shingle long, after int").join(members, "id").withColumn("reach", reach), "prefixes")
     search.used += [texts, tokens]
-    # the larger set looks for its partners' sizes, in classes of 4%; the smaller one stands under its own
-    size_class = lambda n: F.floor(F.log(n.cast("double")) * 25).cast("int")
+    # the larger set looks for its partners' sizes, in at most three classes of 15%; the smaller one stands under its own
+    size_class = lambda n: F.floor(F.log(n.cast("double")) * 7).cast("int")
     least = F.ceil(F.col("n") * PERCENT / 100)
     larger = tokens.filter(F.col("reach") >= least).withColumn("size", F.explode(F.sequence(size_class(least), size_class(F.least("n", "reach")))))
     smaller = tokens.filter("reach >= n").withColumn("size", size_class(F.col("n")))
-    x, y = larger.alias("x"), smaller.alias("y")
+    x, y = larger.alias("x"), smaller.hint("merge").alias("y")  # entries grow with the input, so they are never broadcast
     fits = (F.col("y.n") <= F.least("x.n", "x.reach")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
     once = (F.col("y.n") < F.col("x.n")) | (F.col("y.id") < F.col("x.id"))
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.component") != F.col("y.component")) & fits & once)
