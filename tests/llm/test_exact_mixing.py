@@ -138,6 +138,34 @@ def test_plan_and_mix(spark):
     assert mixing.mix(docs).columns == ["doc_id", "text", "source", "rate", "size", "copy"]
 
 
+def test_phase_is_the_nearest_to_the_target(spark):
+    """Sources of 60 documents with some long ones: of all steps the one that misses least, by hand."""
+    import random
+
+    r = random.Random(4)
+    rows = [(i, "w " * int(r.paretovariate(1.5) * 20), f"s{i % 12:02d}") for i in range(12 * 60)]
+    by, independent, chosen = {}, [], []
+    for p in mixing.plan(spark.createDataFrame(rows, DDL)).collect():
+        by.setdefault(rows[p.doc_id][2], []).append(p)
+    for own in by.values():
+        target, rate = own[0].target, own[0].rate
+        draws = [int(hashlib.md5(f"mix-1:{p.doc_id}".encode()).hexdigest()[:13], 16) / 2**52 for p in own]
+        totals = [sum(p.size * (math.floor(rate) + ((d + k / 64) % 1 < rate % 1)) for p, d in zip(own, draws, strict=True)) for k in range(64)]
+        best = min(range(64), key=lambda k: (abs(totals[k] - target), k))
+        assert [p.copies for p in own] == [math.floor(rate) + ((d + best / 64) % 1 < rate % 1) for d in draws]
+        chosen.append(abs(totals[best] - target) / target)
+        independent.append(abs(totals[0] - target) / target)
+    assert max(independent) > 0.1 and sum(chosen) < sum(independent) / 5
+
+
+def test_rates_that_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), ["big", "big", "small", None][i % 4]) for i in range(300)], DDL)
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = order(mixing.plan(docs)), order(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert (order(mixing.plan(docs)), order(mixing.mix(docs))) == want
+
+
 def test_mixing_nothing(spark):
     docs = spark.createDataFrame([], DDL)
     assert mixing.plan(docs).count() == mixing.mix(docs).count() == 0

@@ -56,11 +56,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
       select *, max(case when (total - full_before) / open_weight <= cap / weight then (total - full_before) / open_weight end) over () as level from ranked
     ), targets as (
       select source, source_size, case when level is null then cap else least(cap, level * weight) end as target from levels
-    )
-    select s.doc_id, s.size, cast(t.source_size as bigint) as source_size, t.target,
-           s.size * cast(floor(r.rate) + case when ('0x' || substr(md5('mix-1:' || coalesce(cast(s.doc_id as varchar), '')), 1, 13))::bigint / 4503599627370496.0 < r.rate - floor(r.rate) then 1 else 0 end as bigint) as taken
-    from sized s join targets t on s.source is not distinct from t.source,
-         lateral (select case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate) r
+    ), drawn as (
+      select s.doc_id, s.size, t.source, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate,
+             ('0x' || substr(md5('mix-1:' || coalesce(cast(s.doc_id as varchar), '')), 1, 13))::bigint / 4503599627370496.0::double as draw
+      from sized s join targets t on s.source is not distinct from t.source
+    ), misses as (
+      select source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(case when (draw + k / 64.0::double) - floor(draw + k / 64.0::double) < rate - floor(rate) then size else 0 end) - any_value(target)) as miss
+      from drawn, range(64) as r(k) group by source, k
+    ), phases as (select source, first(k order by miss, k) as k from misses group by source)
+    select d.doc_id, d.size, cast(d.source_size as bigint) as source_size, d.target,
+           d.size * cast(floor(d.rate) + case when (draw + k / 64.0::double) - floor(draw + k / 64.0::double) < d.rate - floor(d.rate) then 1 else 0 end as bigint) as taken
+    from drawn d join phases p on d.source is not distinct from p.source
     """
 )
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
