@@ -39,6 +39,82 @@ def test_failed_write_leaves_the_old_version(spark, tmp_path):
     assert [r.path for r in s.read("files").collect()] == ["a"]
 
 
+def test_a_crash_at_any_step_leaves_a_whole_table(spark, tmp_path, monkeypatch):
+    """Between the steps of a write, and after a failure there, readers see the old version; a lazy reader goes on with its own."""
+    from twinloom.operators import store as module
+
+    s = Store(spark, str(tmp_path))
+    s.replace("files", files(spark, "a"))
+    lazy = s.read("files")
+
+    def dies(*_):
+        assert [r.path for r in s.read("files").collect()] == ["a"]
+        raise OSError("the driver died")
+
+    with monkeypatch.context() as m:
+        m.setattr(module, "create_once", dies)
+        with pytest.raises(OSError):
+            s.replace("files", files(spark, "b"))
+    assert [r.path for r in s.read("files").collect()] == ["a"]
+    s.upsert("files", files(spark, "c"))
+    assert {r.path for r in s.read("files").collect()} == {"a", "c"} and [r.path for r in lazy.collect()] == ["a"]
+    # an empty pointer, of a writer that died while writing it, is passed over by readers and by the next writer
+    (tmp_path / "files" / "_versions" / "000000000003").touch()
+    assert {r.path for r in s.read("files").collect()} == {"a", "c"}
+    with pytest.raises(module.Conflict):  # it may be at it still
+        s.replace("files", files(spark, "x"), expected=2)
+    monkeypatch.setattr(module, "GRACE_S", 0.0)
+    assert s.replace("files", files(spark, "d"), expected=2) == 4
+    assert [r.path for r in s.read("files").collect()] == ["d"]
+    assert s.sweep("files") == 4 and [r.path for r in s.read("files").collect()] == ["d"] and s.sweep() == 0
+
+
+def test_of_two_writers_one_wins_and_the_other_tries_again(spark, tmp_path):
+    from twinloom.operators.store import Conflict
+
+    s = Store(spark, str(tmp_path))
+    s.replace("files", files(spark, "a"))
+    seen = s.version("files")
+    s.replace("files", files(spark, "b"))
+    with pytest.raises(Conflict):
+        s.replace("files", files(spark, "c"), expected=seen)
+    calls = []
+
+    def plan(old):
+        if not calls:
+            s.upsert("files", files(spark, "between"))
+        calls.append(1)
+        return old.unionByName(files(spark, "late"), allowMissingColumns=True)
+
+    s.change("files", plan)
+    assert len(calls) == 2 and {r.path for r in s.read("files").collect()} == {"b", "between", "late"}
+
+
+def test_point_reads_are_pushed_down(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.save_files(files(spark, "a", "b", "c").withColumn("global_vec", F.when(F.col("path") == "b", F.array(F.lit(1.0)))))
+    got = s.get("files", "b")
+    assert [r.path for r in got.collect()] == ["b"] and "EqualTo(path,b)" in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.path for r in s.vectors().collect()] == ["b"]
+
+
+def test_unsettled_files_wait(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "path string, mtime double, size bigint")
+    first = rows(("old", 10.0, 1), ("fresh", 95.0, 1), ("gone", 99.0, 1))
+    assert [r.path for r in watch.debounced(s, first, first, 100.0, 15.0).collect()] == ["old"]
+    assert {r.path for r in s.read("pending").collect()} == {"fresh", "gone"}
+    later = rows(("old", 10.0, 1), ("fresh", 104.0, 2))
+    assert watch.debounced(s, rows(), later, 110.0, 15.0).count() == 0
+    assert [(r.path, r.size, r.seen_at) for r in s.read("pending").collect()] == [("fresh", 2, 100.0)]
+    assert [r.path for r in watch.debounced(s, rows(), later, 119.0, 15.0).collect()] == ["fresh"] and s.read("pending").count() == 0
+
+
+def test_discovery_is_not_repeated_for_each_chunk():
+    d = watch.Discovery(every=300)
+    assert [d.due(*x) for x in ((0, 0), (10, 5), (20, 0), (319, 3), (320, 3), (321, 3))] == [True, False, True, False, True, False]
+
+
 def test_ledger_drops_other_fingerprints(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d")], "a string, b string")
@@ -216,6 +292,29 @@ def test_priority_lock(spark, tmp_path):
     assert not scan.busy()
 
 
+def test_one_of_two_takers_of_an_expired_lock_wins(spark, tmp_path):
+    clock = [100.0]
+    a, b = (watch.PriorityLock(spark, str(tmp_path / "lock"), who, ttl=10, now=lambda: clock[0]) for who in "ab")
+    assert a.acquire()
+    clock[0] = 200.0
+    seen = a._last()
+    b._last = lambda: seen  # both looked before either took it
+    assert a.acquire() and not b.acquire()
+    del b._last
+    assert b.holder() == "a"
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from twinloom.sources import scratch
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="x"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(cluster)
+
+
 def test_scratch_tables(spark):
     from twinloom.sources.scratch import discard, materialise, scratch_path
 

@@ -1,12 +1,20 @@
-"""A table store on Parquet: versions of a table side by side, and a pointer that is swapped when a new one is complete.
+"""A table store on Parquet: versions of a table side by side, and numbered pointers of which the highest holds.
 
-Readers see whole versions only. Upserts, deletes and replacements are DataFrame plans over the present version; nothing is
-updated in place. A write is a read-modify-write of the table, partitioned if the caller says so.
+A write makes a new version's folder and then claims the next number by creating its pointer file, which only one writer can do; the
+other gets a `Conflict` and its folder is never seen. Nothing is deleted or renamed when a version is replaced, so there is no moment
+without a table, a crash at any step leaves the old version in place, and readers go on with the version that they began with.
+Old versions go when `sweep` is called.
+
+Upserts, deletes and replacements are DataFrame plans over the present version; nothing is updated in place. Versions are
+sorted by their keys within files, so point reads are pruned by the files' statistics.
 """
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,7 +22,12 @@ from pyspark.sql import functions as F
 
 from .. import schema
 
-POINTER = "CURRENT"
+POINTERS = "_versions"
+GRACE_S = 60.0
+
+
+class Conflict(RuntimeError):
+    """Another writer replaced the table meanwhile."""
 
 
 # --- plans ------------------------------------------------------------------
@@ -128,6 +141,32 @@ def coverage_filled(files: DataFrame, overrides: DataFrame, measured: DataFrame)
 # --- tables -----------------------------------------------------------------
 
 
+def create_once(spark: SparkSession, fs, path, text: str) -> bool:
+    """Writes a small file unless there is one; only one of several writers succeeds. On a local disk the file appears with its
+    content; elsewhere creation without overwriting is the file system's own exclusive step."""
+    if fs.getUri().getScheme() == "file":
+        target = path.toUri().getPath()
+        part = f"{target}.{uuid.uuid4().hex}"
+        with open(part, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(part, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(part)
+        return True
+    try:
+        out = fs.create(path, False)
+    except Exception:
+        if fs.exists(path):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 class Store:
     """Tables of schema.TABLES below a root folder."""
 
@@ -140,46 +179,123 @@ class Store:
     def _fs(self, path):
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self, table: str) -> list[tuple[int, str, str | None]]:
+        """(number, pointer, folder) of all pointers, in order; the folder is None while a pointer is being written."""
+        where = self._path(f"{self.root}/{table}/{POINTERS}")
+        fs = self._fs(where)
+        if not fs.exists(where):
+            return []
+        out = []
+        for status in fs.listStatus(where):
+            name = status.getPath().getName()
+            if name.isdigit():
+                out.append((int(name), status.getPath().toString(), f"{self.root}/{table}/{self._text(fs, status)}" if status.getLen() else None))
+        return sorted(out)
+
+    def _text(self, fs, status) -> str:
+        stream = fs.open(status.getPath())
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def version(self, table: str) -> int:
+        """The number of the present version; 0 if there is none."""
+        return max((n for n, _, folder in self._versions(table) if folder), default=0)
+
     def current(self, table: str) -> str | None:
         """The folder of the present version."""
-        pointer = self._path(f"{self.root}/{table}/{POINTER}")
-        if not self._fs(pointer).exists(pointer):
-            return None
-        return f"{self.root}/{table}/{self.spark.read.text(str(pointer.toString())).first()[0]}"
+        found = [folder for _, _, folder in self._versions(table) if folder]
+        return found[-1] if found else None
 
     def read(self, table: str) -> DataFrame:
         now = self.current(table)
         return self.spark.read.schema(schema.TABLES[table]).parquet(now) if now else self.spark.createDataFrame([], schema.TABLES[table])
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Writes a new version and then points to it; a failure before leaves the old one in place."""
+    def get(self, table: str, *keys: object) -> DataFrame:
+        """The rows of one key (or of its first columns): equality filters that Parquet prunes by."""
+        rows = self.read(table)
+        for column, value in zip(schema.KEYS[table], keys, strict=False):
+            rows = rows.filter(F.col(column) == value)
+        return rows
+
+    def vectors(self) -> DataFrame:
+        """(path, vec) of the stored descriptors; files without one are left out."""
+        return self.read("files").filter(F.size("global_vec") > 0).select("path", F.col("global_vec").alias("vec"))
+
+    def replace(self, table: str, rows: DataFrame, expected: int | None = None) -> int:
+        """Writes a new version; its number. expected: the version that rows were made from, if another one is to be a conflict."""
         name = f"v-{uuid.uuid4().hex}"
         kinds = dict(self.spark.createDataFrame([], schema.TABLES[table]).dtypes)
-        rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]).write.parquet(f"{self.root}/{table}/{name}")
-        old = self.current(table)
-        pointer, part = self._path(f"{self.root}/{table}/{POINTER}"), self._path(f"{self.root}/{table}/.{name}")
+        base = expected or 0
+        out = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+        if schema.KEYS[table]:
+            out = out.sortWithinPartitions(*schema.KEYS[table])
+        out.write.parquet(f"{self.root}/{table}/{name}")
+        found = self._versions(table)
+        later = [(pointer, folder) for n, pointer, folder in found if n > base]
+        # a pointer without content is another writer's that is at it, or, after GRACE_S, one's that died
+        if expected is not None and any(folder or self._age(pointer) < GRACE_S for pointer, folder in later):
+            raise Conflict(f"{table}: version {base} is not the present one any more")
+        number = max((n for n, _, _ in found), default=0) + 1
+        if not self._claim(table, number, name):
+            raise Conflict(f"{table}: version {number} is another writer's")
+        return number
+
+    def _age(self, pointer: str) -> float:
+        path = self._path(pointer)
+        return time.time() - self._fs(path).getFileStatus(path).getModificationTime() / 1000
+
+    def _claim(self, table: str, number: int, name: str) -> bool:
+        """Creates a pointer if there is none of that number."""
+        pointer = self._path(f"{self.root}/{table}/{POINTERS}/{number:012d}")
         fs = self._fs(pointer)
-        out = fs.create(part, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        if not fs.rename(part, pointer):
-            raise OSError(f"could not point {table} to {name}")
-        if old:
-            fs.delete(self._path(old), True)
+        fs.mkdirs(pointer.getParent())
+        return create_once(self.spark, fs, pointer, name)
+
+    def sweep(self, table: str | None = None, retain: int = 1, age_s: float = 0.0) -> int:
+        """Deletes versions but the last `retain` ones, and folders that no pointer names (of writes that failed), if older than
+        age_s, which must exceed what a reader or writer takes; how many folders went."""
+        gone = 0
+        for name in [table] if table else schema.TABLES:
+            where = self._path(f"{self.root}/{name}")
+            fs = self._fs(where)
+            if not fs.exists(where):
+                continue
+            kept = [v for v in self._versions(name) if v[2]][-retain:]
+            folders, oldest = {v[2].rsplit("/", 1)[1] for v in kept}, min((v[0] for v in kept), default=0)
+            for status in fs.listStatus(where):
+                folder = status.getPath().getName()
+                if folder.startswith("v-") and folder not in folders and status.getModificationTime() / 1000 <= time.time() - age_s:
+                    gone += bool(fs.delete(status.getPath(), True))
+            for number, pointer, folder in self._versions(name):
+                if number < oldest and not (folder and fs.exists(self._path(folder))):
+                    fs.delete(self._path(pointer), False)
+        return gone
+
+    def change(self, table: str, plan: Callable[[DataFrame], DataFrame], tries: int = 5) -> None:
+        """Replaces a table by a plan over its present version; made anew if another writer was faster."""
+        for left in range(tries - 1, -1, -1):
+            now = self.version(table)
+            try:
+                self.replace(table, plan(self.read(table)), expected=now)
+                return
+            except Conflict:
+                if not left:
+                    raise
+                time.sleep(0.2)
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         kinds = dict(self.spark.createDataFrame([], schema.TABLES[table]).dtypes)
         rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
         keys = schema.KEYS[table]
-        self.replace(table, upserted(self.read(table), rows, keys) if keys else self.read(table).unionByName(rows))
+        self.change(table, lambda old: upserted(old, rows, keys) if keys else old.unionByName(rows))
 
     def save_files(self, rows: DataFrame) -> None:
         """Upserts files; their problems are cleared and all their matches are void."""
         self.upsert("files", rows)
-        self.replace("problems", without_paths(self.read("problems"), rows, ["path"]))
-        self.replace("matches", without_paths(self.read("matches"), rows, ["a", "b"]))
+        self.change("problems", lambda old: without_paths(old, rows, ["path"]))
+        self.change("matches", lambda old: without_paths(old, rows, ["a", "b"]))
 
     def save_meta(self, rows: DataFrame) -> None:
         """Upserts hash and probe of files without touching their other features; for a new path these stay null."""
@@ -210,8 +326,8 @@ class Store:
 
     def forget(self, paths: DataFrame) -> None:
         """Takes paths out of all tables."""
-        for table, columns in (("files", ["path"]), ("frames", ["path"]), ("windows", ["path"]), ("matches", ["a", "b"]), ("clusters", ["path"]), ("overrides", ["path"])):
-            self.replace(table, without_paths(self.read(table), paths, columns))
+        for table, columns in (("files", ["path"]), ("frames", ["path"]), ("windows", ["path"]), ("matches", ["a", "b"]), ("clusters", ["path"]), ("overrides", ["path"]), ("pending", ["path"])):
+            self.change(table, lambda old, columns=columns: without_paths(old, paths, columns))
 
     def ledger(self, version: str) -> DataFrame:
         """Pairs evaluated under this fingerprint."""
@@ -222,7 +338,7 @@ class Store:
         from ..functions.scalar import pair_digest
 
         new = pairs.select(pair_digest(F.col("a"), F.col("b")).alias("pair_hash"), F.lit(version).alias("fingerprint")).distinct()
-        self.replace("ledger", upserted(self.ledger(version), new, ["pair_hash"]))
+        self.change("ledger", lambda old: upserted(old.filter(F.col("fingerprint") == version), new, ["pair_hash"]))
 
 
 def prune_missing(store: Store, listing: DataFrame, roots: list[str]) -> dict[str, int]:

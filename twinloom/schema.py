@@ -17,9 +17,10 @@ PROBLEMS = "path string, error string, mtime double, size bigint, category strin
 FEEDBACK = "a string, b string, label string, note string"
 DELETIONS = "path string, dest string, size bigint, deleted_at double"
 OVERRIDES = "path string, kind string, mtime double, size bigint"
+PENDING = "path string, mtime double, size bigint, seen_at double"
 
-TABLES = {"files": FILES, "frames": FRAMES, "windows": WINDOWS, "matches": MATCHES, "ledger": LEDGER, "clusters": CLUSTERS, "problems": PROBLEMS, "feedback": FEEDBACK, "deletions": DELETIONS, "overrides": OVERRIDES}
-KEYS = {"files": ["path"], "frames": ["path", "frame_no"], "windows": ["path", "w"], "matches": ["a", "b"], "ledger": ["pair_hash"], "clusters": ["cluster_id", "path"], "problems": ["path"], "feedback": ["a", "b"], "deletions": [], "overrides": ["path", "kind"]}
+TABLES = {"files": FILES, "frames": FRAMES, "windows": WINDOWS, "matches": MATCHES, "ledger": LEDGER, "clusters": CLUSTERS, "problems": PROBLEMS, "feedback": FEEDBACK, "deletions": DELETIONS, "overrides": OVERRIDES, "pending": PENDING}
+KEYS = {"files": ["path"], "frames": ["path", "frame_no"], "windows": ["path", "w"], "matches": ["a", "b"], "ledger": ["pair_hash"], "clusters": ["cluster_id", "path"], "problems": ["path"], "feedback": ["a", "b"], "deletions": [], "overrides": ["path", "kind"], "pending": ["path"]}
 
 VERDICTS = ("CERTAIN", "VERY_HIGH", "HIGH", "NAME_COPY", "PROBABLE", "DIFFERENT_EDITION", "CONTAINS", "DIFFERENT")
 STRONG = ("CERTAIN", "VERY_HIGH")

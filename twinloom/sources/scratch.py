@@ -15,10 +15,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where that is unset, as in tests on one machine."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder if driver and executors are one machine, else an error, as
+    executors would write to disks that nobody else sees."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if context.applicationId not in _own:
             own = _own[context.applicationId] = tempfile.mkdtemp(prefix="twinloom-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)

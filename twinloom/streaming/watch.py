@@ -1,7 +1,8 @@
 """Incremental ingestion with Structured Streaming, and the sweeps that a file source can't do (removals, backlog order).
 
-The stream's source reports new files; each micro-batch is joined to what is stored, settled files go through the batch pipeline
-once and unsettled ones wait in a pending table. State is what is stored, so a batch that is run again changes nothing.
+The stream's source reports new files once; each micro-batch is joined to what waits in the pending table, settled files go on to the
+batch pipeline and unsettled ones wait there for a later batch (`debounced`). State is what is stored, so a batch that is run again
+changes nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.store import Store, create_once
+
 
 def ingest(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Starts a query that hands each micro-batch to `handle`; an error in one batch is the query's error, and the batch is run
@@ -46,6 +49,33 @@ def settled(rows: DataFrame, now: float, settle: float) -> tuple[DataFrame, Data
     return rows.filter(ready), rows.filter(~ready)
 
 
+def debounced(store: Store, arrived: DataFrame, listing: DataFrame, now: float, settle: float) -> DataFrame:
+    """Files that are ready among those that arrived and those that wait. The others wait in the pending table with what the listing
+    says of them now; files that are no longer listed are dropped."""
+    from ..sources.scratch import materialise
+
+    waiting = store.read("pending")
+    both = arrived.select("path").union(waiting.select("path")).distinct()
+    known = waiting.select("path", "seen_at")
+    rows = materialise(both.join(listing.select("path", "mtime", "size"), "path").join(known, "path", "left"), "debounced")
+    ready, wait = settled(rows, now, settle)
+    store.replace("pending", wait.select("path", "mtime", "size", F.coalesce("seen_at", F.lit(float(now))).alias("seen_at")))
+    return ready.select("path", "mtime", "size")
+
+
+class Discovery:
+    """When the tree is listed again: at the start, when the backlog is used up, and every `every` seconds; never for each chunk."""
+
+    def __init__(self, every: float = 300.0) -> None:
+        self.every, self.last = every, None
+
+    def due(self, now: float, left: int) -> bool:
+        if self.last is None or left <= 0 or now - self.last >= self.every:
+            self.last = now
+            return True
+        return False
+
+
 def routed(events: DataFrame) -> DataFrame:
     """(path, ts, action): created and modified files are changed, deleted ones deleted, moved ones both; folders are ignored."""
     rows = events.filter("not is_directory")
@@ -98,39 +128,57 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
 
 
 class PriorityLock:
-    """Lets a heavy job take precedence over the watcher: a file in the shared folder that says who holds it and until when. A lock
-    whose time is over is free, so a job that died holds nothing up for longer than `ttl` seconds."""
+    """Lets a heavy job take precedence over the watcher: numbered files in a shared folder, of which the highest says who holds the
+    lock and until when. Taking, renewing and releasing all add the next number, which only one of several owners can; nothing is
+    deleted to take it. A lock whose time is over is free, so a job that died holds nothing up for longer than `ttl` seconds."""
 
     def __init__(self, spark: SparkSession, path: str, owner: str, ttl: float = 3600.0, now: Callable[[], float] = time.time) -> None:
         self.spark, self.owner, self.ttl, self.now = spark, owner, ttl, now
         self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
         self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def holder(self) -> str | None:
+    def _last(self) -> tuple[int, str, float]:
+        """(number, owner, until) of the highest entry; (0, '', 0) if there is none. One that is still being written counts as held
+        by its unknown owner for as long as this one's ttl, from when it appeared."""
         if not self.fs.exists(self.path):
-            return None
-        found = self.spark.read.text(self.path.toString()).collect()
-        owner, _, until = found[0][0].rpartition(" ") if found else ("", "", "0")
-        return owner if float(until) > self.now() else None
+            return 0, "", 0.0
+        found = [x for x in self.fs.listStatus(self.path) if x.getPath().getName().isdigit()]
+        if not found:
+            return 0, "", 0.0
+        last = max(found, key=lambda x: int(x.getPath().getName()))
+        number = int(last.getPath().getName())
+        if not last.getLen():
+            return number, "?", last.getModificationTime() / 1000 + self.ttl
+        stream = self.fs.open(last.getPath())
+        owner, _, until = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode().rpartition(" ")
+        stream.close()
+        return number, owner, float(until)
+
+    def _add(self, number: int, until: float) -> bool:
+        self.fs.mkdirs(self.path)
+        name = self.spark._jvm.org.apache.hadoop.fs.Path(self.path, f"{number:012d}")
+        if not create_once(self.spark, self.fs, name, f"{self.owner} {until}"):
+            return False
+        for status in self.fs.listStatus(self.path):  # what is far behind decides nothing any more
+            if status.getPath().getName().isdigit() and int(status.getPath().getName()) < number - 8:
+                self.fs.delete(status.getPath(), False)
+        return True
+
+    def holder(self) -> str | None:
+        _, owner, until = self._last()
+        return owner if until > self.now() else None
 
     def acquire(self) -> bool:
-        """Takes or renews the lock; false if another owner holds it."""
-        held = self.holder()
-        if held not in (None, self.owner):
-            return False
-        if self.fs.exists(self.path):
-            self.fs.delete(self.path, False)
-        try:
-            out = self.fs.create(self.path, False)  # fails if another owner was faster
-        except Exception:
+        """Takes or renews the lock; false if another owner holds it or was faster."""
+        number, owner, until = self._last()
+        if until > self.now() and owner != self.owner:
             return False
-        out.write(bytearray(f"{self.owner} {self.now() + self.ttl}".encode()))
-        out.close()
-        return True
+        return self._add(number + 1, self.now() + self.ttl)
 
     def release(self) -> None:
-        if self.holder() == self.owner:
-            self.fs.delete(self.path, False)
+        number, owner, until = self._last()
+        if owner == self.owner and until > self.now():
+            self._add(number + 1, 0.0)
 
     def busy(self) -> bool:
         """Whether another owner holds the lock: what the watcher asks before heavy work."""
