@@ -19,19 +19,28 @@ def canonical(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
 
 
-def duration_pairs(items: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
-    """Ordered pairs (a, b) with b's value within a's value * (1 +- tolerance), ends included, a <> b.
+#: Items of a bucket that one task compares with; hotter buckets are dealt over several.
+BUCKET_ITEMS = 20_000
+
+
+def duration_pairs(items: DataFrame, key: str, value: str, tolerance: float, asked: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs (a, b) with b's value within a's value * (1 +- tolerance), ends included, a <> b. asked: the keys that a may be
+    (all, if None).
 
     A plain inequality would be a nested loop. Values are put in logarithmic buckets of width -ln(1 - tolerance), so a partner is
     in the same bucket or a neighbour; a's side is exploded to three buckets and joined by equality, the range stays as residual.
-    Values of zero or less match their equals only.
+    A bucket of more than BUCKET_ITEMS items is dealt over parts, and a's side visits each. Values of zero or less match their equals only.
     """
     width = -math.log(1 - tolerance)
     base = items.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    left = base.select(F.col("k").alias("a"), F.col("v").alias("va"), F.explode(F.when(F.col("v") > 0, F.array(_bucket("v", width) - 1, _bucket("v", width), _bucket("v", width) + 1)).otherwise(F.array(F.lit(None).cast("long")))).alias("bucket"))
-    right = base.select(F.col("k").alias("b"), F.col("v").alias("vb"), _bucket("v", width).alias("bucket"))
-    near = left.filter("va > 0").join(right, "bucket").filter((F.col("vb") >= F.col("va") * (1 - tolerance)) & (F.col("vb") <= F.col("va") * (1 + tolerance)))
-    still = left.filter("va <= 0").join(right.filter("vb <= 0"), F.col("va") == F.col("vb"))
+    mine = base if asked is None else base.join(asked.select(F.col(key).alias("k")).distinct(), "k", "left_semi")
+    right = base.filter("v > 0").select(F.col("k").alias("b"), F.col("v").alias("vb"), _bucket("v", width).alias("bucket"))
+    parts = right.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_ITEMS).cast("int").alias("parts"))
+    right = right.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    left = mine.filter("v > 0").select(F.col("k").alias("a"), F.col("v").alias("va"), F.explode(F.array(_bucket("v", width) - 1, _bucket("v", width), _bucket("v", width) + 1)).alias("bucket"))
+    left = left.join(parts, "bucket").select("a", "va", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = left.join(right, ["bucket", "part"]).filter((F.col("vb") >= F.col("va") * (1 - tolerance)) & (F.col("vb") <= F.col("va") * (1 + tolerance)))
+    still = mine.filter("v <= 0").select(F.col("k").alias("a"), F.col("v").alias("va")).join(base.filter("v <= 0").select(F.col("k").alias("b"), F.col("v").alias("vb")), F.col("va") == F.col("vb"))
     return near.select("a", "b").union(still.select("a", "b")).filter("a <> b")
 
 
@@ -56,38 +65,95 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "id", vec: str
     if not n:
         return spark.createDataFrame([], schema + ", rank int")
     blocks = max(1, math.ceil(n * dim * 8 / SEARCH_BLOCK_BYTES))
-    parts = max(1, min(64, math.ceil(queries.count() / 2000)))
+    n_asked = queries.count()
+    # as many parts as keep a group's queries within the same bytes, and the cores busy; never cut off
+    parts = max(1, math.ceil(n_asked * dim * 8 / SEARCH_BLOCK_BYTES), min(math.ceil(n_asked / 256), math.ceil(2 * spark.sparkContext.defaultParallelism / blocks)))
     searched = base.filter(F.size(vec) == dim).select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("id"), doubles(F.col(vec)).alias("vec"))
     asked = queries.filter(F.size(vec) == dim).select(F.col(key).cast("long").alias("id"), doubles(F.col(vec)).alias("vec"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
     left = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = searched.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
-    def search(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q = np.array(x.column("vec").combine_chunks().flatten()).reshape(x.num_rows, -1)
-        v = np.array(y.column("vec").combine_chunks().flatten()).reshape(y.num_rows, -1)
-        ids, others = x.column("id").to_numpy(), y.column("id").to_numpy()
-        order = np.argsort(others, kind="stable")
-        v, others, most = v[order], others[order], min(k, len(others))
-        out = []
-        for at in range(0, len(q), 256):
-            score = np.round(q[at : at + 256] @ v.T, 12)
-            best = np.argsort(-score, axis=1, kind="stable")[:, :most]
-            out.append((np.repeat(ids[at : at + 256], most), others[best].ravel(), np.take_along_axis(score, best, 1).ravel()))
-        return pa.table({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("id", "other", "score"))})
-
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(lambda x, y: search(x, y), schema)
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(lambda x, y: _search(x, y, k), schema)
+    return _best(near, k)
+
+
+def _search(x: pa.Table, y: pa.Table, k: int) -> pa.Table:
+    """The k best of a block for each query of a part."""
+    if not x.num_rows or not y.num_rows:
+        return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    q = np.array(x.column("vec").combine_chunks().flatten()).reshape(x.num_rows, -1)
+    v = np.array(y.column("vec").combine_chunks().flatten()).reshape(y.num_rows, -1)
+    ids, others = x.column("id").to_numpy(), y.column("id").to_numpy()
+    order = np.argsort(others, kind="stable")
+    v, others, most = v[order], others[order], min(k, len(others))
+    out = []
+    for at in range(0, len(q), 256):
+        score = np.round(q[at : at + 256] @ v.T, 12)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :most]
+        out.append((np.repeat(ids[at : at + 256], most), others[best].ravel(), np.take_along_axis(score, best, 1).ravel()))
+    return pa.table({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("id", "other", "score"))})
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
     own = W.partitionBy("id").orderBy(F.desc("score"), "other")
     return near.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
 
 
-def window_owners(windows: DataFrame, k: int, key: str = "path", vec: str = "vec") -> DataFrame:
-    """Distinct (a, b): owners of the k windows nearest to each window, other owners than itself."""
+#: Vectors that an index is fitted on, at most; every vector is indexed.
+FIT_VECTORS = 20_000
+
+
+def fitted_lists(base: DataFrame, lists: int, vec: str = "vec", key: str = "id", rounds: int = 8, most: int = FIT_VECTORS) -> np.ndarray:
+    """Unit centroids of `lists` lists, fitted by spherical k-means on the `most` vectors of least hash."""
+    rows = base.filter(F.size(vec) > 0).select(doubles(F.col(vec)).alias("v"), F.xxhash64(key).alias("h")).orderBy("h").limit(most).toArrow()
+    sample = np.array(rows.column("v").combine_chunks().flatten()).reshape(rows.num_rows, -1)
+    sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    centres = sample[: min(lists, len(sample))].copy()
+    for _ in range(rounds):
+        near = np.argmax(sample @ centres.T, axis=1)
+        for i in range(len(centres)):
+            if len(own := sample[near == i]):
+                total = own.sum(0)
+                centres[i] = total / max(np.linalg.norm(total), 1e-12)
+    return centres
+
+
+def top_k_by_lists(queries: DataFrame, base: DataFrame, k: int, centres: np.ndarray, probes: int, key: str = "id", vec: str = "vec") -> DataFrame:
+    """As top_k, but a query visits only the `probes` lists whose centroids are nearest to it (an inverted file): work grows with
+    queries * base * probes / lists. Approximate: a neighbour in a list that is not visited is missed. Every vector of the base is
+    in one list; a list of more than a block's bytes is dealt over several tasks."""
+    spark, dim = base.sparkSession, centres.shape[1]
+    shared = spark.sparkContext.broadcast(centres)
+
+    def lists_of(n: int):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    v = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+                    near = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+                    offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * near.shape[1]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(near.ravel()))], names=["id", "vec", "lists"])
+
+        return run
+
+    own = lambda df: df.filter(F.size(vec) == dim).select(F.col(key).cast("long").alias("id"), doubles(F.col(vec)).alias("vec"))
+    kinds = "id long, vec array<double>, lists array<int>"
+    searched = own(base).mapInArrow(lists_of(1), kinds).select("id", "vec", F.col("lists")[0].alias("list"))
+    sizes = searched.groupBy("list").agg(F.ceil(F.count("*") * dim * 8 / SEARCH_BLOCK_BYTES).cast("int").alias("parts"))  # a row a list
+    searched = searched.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    asked = own(queries).mapInArrow(lists_of(probes), kinds).select("id", "vec", F.explode("lists").alias("list"))
+    asked = asked.join(F.broadcast(sizes), "list").select("id", "vec", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = asked.groupBy("list", "part").cogroup(searched.groupBy("list", "part")).applyInArrow(lambda x, y: _search(x, y, k), "id long, other long, score double")
+    return _best(near, k)
+
+
+def window_owners(windows: DataFrame, k: int, key: str = "path", vec: str = "vec", asked: DataFrame | None = None) -> DataFrame:
+    """Distinct (a, b): owners of the k windows nearest to each window, other owners than itself. asked: the keys that a may be."""
     named = windows.withColumn("id", F.xxhash64(key, "w"))
+    own = named if asked is None else named.join(asked.select(key).distinct(), key, "left_semi")
     owner = named.select(F.col("id").alias("other"), F.col(key).alias("b"))
-    mine = named.select("id", F.col(key).alias("a"))
-    return top_k(named, named, k, "id", vec).join(mine, "id").join(owner, "other").filter("a <> b").select("a", "b").distinct()
+    mine = own.select("id", F.col(key).alias("a"))
+    return top_k(own, named, k, "id", vec).join(mine, "id").join(owner, "other").filter("a <> b").select("a", "b").distinct()
 
 
 def cosine_gate(pairs: DataFrame, vectors: DataFrame, gate: float, key: str = "path", vec: str = "vec") -> DataFrame:
@@ -146,3 +212,8 @@ def strided(items: DataFrame, prefix: str, step: int, key: str = "path") -> Data
     """Every step-th path below a prefix, in order of the path. A sample for profiling."""
     own = items.filter(F.col(key).startswith(prefix))
     return own.withColumn("_r", F.row_number().over(W.orderBy(key))).filter((F.col("_r") - 1) % step == 0).drop("_r")
+
+
+def longest(items: DataFrame, prefix: str, n: int, key: str = "path", duration: str = "duration") -> DataFrame:
+    """The n longest items below a prefix, ties by key: the worst case of a profile."""
+    return items.filter(F.col(key).startswith(prefix)).orderBy(F.desc_nulls_last(duration), key).limit(n)

@@ -69,6 +69,18 @@ def suggest(signals: DataFrame, th: Thresholds | None = None, grid: tuple[float,
     return out.select(bad.alias("degenerate"), "n_same", "n_diff", F.when(bad, th.theta_v).otherwise(F.col("theta_v")).alias("theta_v"), F.when(bad, th.theta_a).otherwise(F.col("theta_a")).alias("theta_a"), F.when(~bad, F.col("false_positives")).alias("false_positives"), F.when(~bad, F.round("recall", 3)).alias("recall"))
 
 
+def report(signals: DataFrame, th: Thresholds | None = None, least: int = 1) -> dict[str, DataFrame]:
+    """What a calibration run reports: confusion by verdict and genre, recall and strict false positives, the false positives of the
+    strong verdicts, how many different pairs await review, and the thresholds to take."""
+    rows = with_verdicts(signals, th)
+    strong = rows.filter(~F.col("same") & F.col("verdict").isin(*schema.STRONG))
+    review = rows.filter(F.col("verdict") == "PROBABLE").agg(F.count("*").alias("queued"), F.count_if(~F.col("same")).alias("noise"))
+    out = {"verdicts": confusion_by_tier(signals, th), "quality": quality(signals, th), "strong_false_positives": strong, "review": review, "suggested": suggest(signals, th, least=least)}
+    if "genre" in signals.columns:
+        out["genres"] = confusion_by_genre(signals, th)
+    return out
+
+
 def transitions(signals: DataFrame, old: Thresholds, new: Thresholds) -> DataFrame:
     """(old_verdict, new_verdict, n): how verdicts of stored signals change; pairs without signals are left out."""
     have = set(signals.columns)
