@@ -15,10 +15,11 @@ CODEC_EFFICIENCY = {
 }
 # Words of release names that are no part of a title.
 RELEASE_TAGS = (
-    "2160p 1080p 720p 480p 4k 8k x264 x265 h\\.?264 h\\.?265 hevc av1 vp9 web-?dl webrip web bluray blu-ray bdrip brrip hdrip dvdrip dvd hdtv "
-    "xvid divx aac\\d? ac3 eac3 dts(?:-hd)? truehd atmos hdr10? dolby(?:\\x20)?vision dv remux proper repack extended uncut unrated multi dual "
-    "sub(?:s|titulado)? castellano latino esp eng"
-).split()
+    "2160p", "1080p", "720p", "480p", "4k", "8k", "x264", "x265", r"h\.?264", r"h\.?265", "hevc", "av1", "vp9", "web-?dl", "webrip", "web",
+    "bluray", "blu-ray", "bdrip", "brrip", "hdrip", "dvdrip", "dvd", "hdtv", "xvid", "divx", r"aac\d?", "ac3", "eac3", "dts(?:-hd)?", "truehd",
+    "atmos", "hdr10?", r"dolby(?:\x20)?vision", "dv", "remux", "proper", "repack", "extended", "uncut", "unrated", "multi", "dual",
+    "sub(?:s|titulado)?", "castellano", "latino", "esp", "eng",
+)
 # Codes that say a language is not known; ISO 639-1 to 639-2/B.
 UNKNOWN_LANGUAGES = ("", "und", "unk", "unknown", "mis", "mul", "zxx")
 ISO3 = {"es": "spa", "en": "eng", "fr": "fre", "de": "ger", "it": "ita", "pt": "por", "ja": "jpn", "ko": "kor", "zh": "chi", "ru": "rus"}
@@ -131,17 +132,21 @@ def clock_seconds(clock: Column) -> Column:
     return F.when(F.exists(parts, lambda x: x.isNull()), F.lit(0).cast("long")).otherwise(F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 60 + x))
 
 
+# Characters that frame an error's lines, and what is said if there are none.
+BOX = "│┌┐└┘─╭╮╰╯├┤┬┴┼ \t"
+NO_OUTPUT = "the process exited without output"
+
+
 def error_summary(lines: Column) -> Column:
     """The last line that names an error at its start; else the last that mentions one; else the last that is not blank."""
-    box = "│┌┐└┘─╭╮╰╯├┤┬┴┼ \t"
-    clean = F.transform(lines, lambda x: F.btrim(x, F.lit(box)))
+    clean = F.transform(lines, lambda x: F.btrim(x, F.lit(BOX)))
     named = F.filter(clean, lambda x: x.rlike(r"^[A-Za-z_][\w.]*(Error|Exception|Interrupt|Exit)\b"))
     hinted = F.filter(clean, lambda x: x.rlike("Error|Exception|Traceback"))
     filled = F.filter(clean, lambda x: x != "")
     last = lambda a: F.when(F.size(a) > 0, F.element_at(a, -1))
     name, rest = F.regexp_extract(last(named), r"^([\w.]*(?:Error|Exception|Interrupt|Exit))\b", 1), F.regexp_extract(last(named), r"^[\w.]*(?:Error|Exception|Interrupt|Exit)\b\s*:?\s*(.*)$", 1)
     best = F.when(last(named).isNull(), F.lit(None)).when(rest == "", name).otherwise(F.concat(name, F.lit(": "), rest))
-    return F.coalesce(best, last(hinted), last(filled), F.lit("the process exited without output"))
+    return F.coalesce(best, last(hinted), last(filled), F.lit(NO_OUTPUT))
 
 
 def problem_category(error: Column) -> Column:
@@ -185,6 +190,14 @@ def longer_fingerprint(first: Column, again: Column) -> Column:
     return F.when(F.coalesce(F.size(again), F.lit(0)) > F.coalesce(F.size(first), F.lit(0)), again).otherwise(first)
 
 
+def alignment_from_json(body: Column) -> Column:
+    """Stored evidence of an alignment: unknown fields are left out, missing ones and empty evidence count as zero."""
+    found = F.from_json(body, schema.ALIGNMENT)
+    zero = {"double": F.lit(0.0), "int": F.lit(0), "boolean": F.lit(False)}
+    fields = [x.split(":") for x in schema.ALIGNMENT[len("struct<") : -1].split(",")]
+    return F.struct(*[F.coalesce(found[name], zero[kind]).alias(name) for name, kind in fields])
+
+
 def decode_method(size_bytes: Column, height: Column, seek_above_gb: float, seek_height: int) -> Column:
     return F.when((size_bytes > seek_above_gb * 1e9) | (height >= seek_height), "seek").otherwise("demux")
 

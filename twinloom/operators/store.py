@@ -107,13 +107,16 @@ def states(listing: DataFrame, stored: DataFrame, problems: DataFrame, enumerate
     return rows.select("path", state.alias("state"))
 
 
-def orphans(stored: DataFrame, listing: DataFrame, roots: list[str]) -> DataFrame:
-    """Stored paths that are gone from a root that can be reached; roots: those that can."""
+def orphans(stored: DataFrame, listing: DataFrame, roots: list[str], offline: list[str] | None = None) -> DataFrame:
+    """Stored paths that are gone from a root that can be reached; roots: those that can. offline: mounts below a root that can't be
+    reached now, whose files are not known to be gone."""
     from ..functions.scalar import under_root
 
     reach = F.lit(False)
     for r in roots:
         reach = reach | under_root(F.col("path"), r)
+    for mount in offline or ():
+        reach = reach & ~under_root(F.col("path"), mount)
     return stored.select("path").filter(reach).join(listing.select(F.lower("path").alias("_l")).distinct(), F.lower("path") == F.col("_l"), "left_anti")
 
 
@@ -253,6 +256,24 @@ class Store:
         fs.mkdirs(pointer.getParent())
         return create_once(self.spark, fs, pointer, name)
 
+    def migrate(self) -> list[str]:
+        """Brings stored tables to the present columns (new ones are null, others go), and classifies problems anew that no repair was
+        tried on; the tables that changed. Nothing is written where nothing changes."""
+        from ..functions.scalar import problem_category
+
+        changed = []
+        for name, ddl in schema.TABLES.items():
+            now = self.current(name)
+            if now and self.spark.read.parquet(now).dtypes != self.spark.createDataFrame([], ddl).dtypes:
+                self.change(name, lambda old: old)
+                changed.append(name)
+        problems = self.read("problems")
+        stale = F.col("repair_note").isNull() & ~F.col("category").eqNullSafe(problem_category(F.col("error")))
+        if not problems.filter(stale).isEmpty():
+            self.change("problems", lambda old: old.withColumn("category", F.when(stale, problem_category(F.col("error"))).otherwise(F.col("category"))))
+            changed.append("problems")
+        return changed
+
     def sweep(self, table: str | None = None, retain: int = 1, age_s: float = 0.0) -> int:
         """Deletes versions but the last `retain` ones, and folders that no pointer names (of writes that failed), if older than
         age_s, which must exceed what a reader or writer takes; how many folders went."""
@@ -341,13 +362,13 @@ class Store:
         self.change("ledger", lambda old: upserted(old.filter(F.col("fingerprint") == version), new, ["pair_hash"]))
 
 
-def prune_missing(store: Store, listing: DataFrame, roots: list[str]) -> dict[str, int]:
+def prune_missing(store: Store, listing: DataFrame, roots: list[str], offline: list[str] | None = None) -> dict[str, int]:
     """Takes files and problems that are gone from reachable roots out of the store; how many of each."""
     from ..sources.scratch import materialise
 
     counts = {}
     for table in ("files", "problems"):
-        gone = materialise(orphans(store.read(table), listing, roots), "gone")
+        gone = materialise(orphans(store.read(table), listing, roots, offline), "gone")
         counts[table] = gone.count()
         if counts[table] and table == "files":
             store.forget(gone)
@@ -356,6 +377,23 @@ def prune_missing(store: Store, listing: DataFrame, roots: list[str]) -> dict[st
     return counts
 
 
+def offline_mounts(missing: DataFrame, root: str, is_dir: Callable[[str], bool], is_mount: Callable[[str], bool], most: int = 10_000) -> list[str] | None:
+    """Mounts between a root and missing paths that can't be reached. The folders that missing paths lie in are walked up on the
+    driver to the nearest one that is there; None, which says that nothing is known to be gone, if there are more than `most`."""
+    folders = missing.select(F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1).alias("d")).distinct().limit(most + 1).collect()
+    if len(folders) > most:
+        return None
+    found, seen, root = set(), set(), root.rstrip("/")
+    for row in folders:
+        at = row["d"]
+        while at.startswith(root + "/") and at not in seen and not is_dir(at):
+            seen.add(at)
+            if is_mount(at):
+                found.add(at)
+            at = at.rpartition("/")[0]
+    return sorted(found)
+
+
 def reachable(spark: SparkSession, roots: list[str]) -> list[str]:
     """Roots that can be listed now; what is below the others is not known to be gone."""
     out = []

@@ -62,3 +62,15 @@ def search(summary: DataFrame, text: str, title: str = "title", members: str = "
     """Clusters whose title or any member holds the text, whatever the case."""
     q = text.lower()
     return summary.filter(F.lower(title).contains(q) | F.exists(F.col(members), lambda m: F.lower(m).contains(q)))
+
+
+def within_height(rows: DataFrame, most: int, height: str = "height") -> tuple[DataFrame, DataFrame]:
+    """(rows of at most that height or of an unknown one, the rows that are excluded)."""
+    ok = F.col(height).isNull() | (F.col(height) <= most)
+    return rows.filter(ok), rows.filter(~ok)
+
+
+def audio_warnings(files: DataFrame, overrides: DataFrame, th: Thresholds) -> DataFrame:
+    """Files whose audio covers too little, without those that a user overrode, the least coverage first."""
+    low = files.filter(F.col("audio_coverage") < th.audio_ok)
+    return low.join(overrides.select("path").distinct(), "path", "left_anti").orderBy("audio_coverage", "path")

@@ -24,14 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def whole(name: str, bound: str) -> str:
-    """The oracle of a query over its whole table: that of the bounded query without its bound."""
-    sql = ORACLES[name]
-    if bound not in sql:
-        raise ValueError(f"{name} has no {bound}")
-    return sql.replace(bound, "")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

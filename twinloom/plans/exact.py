@@ -55,7 +55,8 @@ def sampled_hash(spark, sf):
 @query("with p as (select p_partkey, case when p_partkey % 11 = 0 then null else p_size end as height from part) select p_partkey, height, height is null or height <= 25 as kept from p")
 def height_filter(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 11 != 0, F.col("p_size")).alias("height"))
-    return rows.withColumn("kept", F.expr("height is null or height <= 25"))
+    kept, gone = views.within_height(rows, 25)
+    return kept.withColumn("kept", F.lit(True)).union(gone.withColumn("kept", F.lit(False)))
 
 
 @query("select event_id, case when event_id % 3 <> 0 and (event_id % 2 = 0) then 'reindex' else 'corrupt' end as category from events")
@@ -238,8 +239,8 @@ def cluster_view(spark, sf):
 
 @query("select doc_id as path from documents where (doc_id % 20) / 20.0 < 0.85 and doc_id % 6 <> 0 and doc_id % 4 <> 0")
 def audio_warnings(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 6 != 0, F.col("doc_id") % 20 / 20.0).alias("cov"))
-    return rows.filter("cov < 0.85").join(rows.filter("path % 4 = 0").select("path"), "path", "left_anti").select("path")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 6 != 0, F.col("doc_id") % 20 / 20.0).alias("audio_coverage"))
+    return views.audio_warnings(rows, rows.filter("path % 4 = 0"), Thresholds()).select("path")
 
 
 @query("select doc_id as path, case when doc_id % 4 = 0 then 1.0 when doc_id % 6 <> 0 then (doc_id % 20) / 20.0 when doc_id % 5 <> 0 then 0.5 end as audio_coverage, doc_id % 4 <> 0 and doc_id % 6 = 0 as measure from documents")

@@ -12,7 +12,7 @@ from ..operators import blocking, calibrate, rank, summaries, views
 from ..sources import media
 from ..sources.scratch import scratch_path
 from ..streaming import watch
-from .catalog import longs, query, table, whole
+from .catalog import longs, query, table
 
 TH = Thresholds()
 
@@ -70,7 +70,7 @@ _PAIRS_SQL = "pairs as (select o_orderkey % 900 as a, o_custkey % 900 as b, case
 
 @query(
     f"""
-    with m as (select p_partkey % 40 as cluster_id, p_partkey as path from part where p_partkey < 900), {_PAIRS_SQL},
+    with m as (select p_partkey % 40 as cluster_id, p_partkey as path from part), {_PAIRS_SQL},
     i as (select x.cluster_id, p.* from pairs p join m x on x.path = p.a join m y on y.path = p.b and y.cluster_id = x.cluster_id),
     e as (select cluster_id, a as path, coalesce(ad_offset_s < -5, false) or (interleaved_ratio >= 0.02 and ad_dir = -1) as ads from i union all select cluster_id, b, coalesce(ad_offset_s > 5, false) or (interleaved_ratio >= 0.02 and ad_dir = 1) from i),
     s as (select cluster_id, path, bool_or(ads) as ads from e group by all)
@@ -78,15 +78,7 @@ _PAIRS_SQL = "pairs as (select o_orderkey % 900 as a, o_custkey % 900 as b, case
     """
 )
 def ads_flag(spark, sf):
-    return _ads(spark, sf, table(spark, sf, "part").filter("p_partkey < 900"))
-
-
-@query(whole("ads_flag", " where p_partkey < 900"))
-def ads_flag_whole(spark, sf):
-    return _ads(spark, sf, table(spark, sf, "part"))
-
-
-def _ads(spark, sf, part):
+    part = table(spark, sf, "part")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     pairs = table(spark, sf, "orders").select((k % 900).alias("a"), (c % 900).alias("b"), F.when(k % 5 != 0, (k % 31 - 15).cast("double")).alias("ad_offset_s"), (c % 10 / 100.0).alias("interleaved_ratio"), (k % 3 - 1).alias("ad_dir"))
     own = part.select((F.col("p_partkey") % 40).alias("cluster_id"), F.col("p_partkey").alias("path"))
@@ -263,39 +255,31 @@ def probe_latency(spark, sf):
 
 @query(
     """
-    with i as (select doc_id as k, n_chars // 3 as t, n_chars::double as d from documents where doc_id < 400), few as (select t from i group by t having count(*) between 2 and 4),
+    with i as (select doc_id as k, n_chars // 3 as t, n_chars::double as d from documents), few as (select t from i group by t having count(*) between 2 and 4),
     p as (select x.k as a, y.k as b, 'recall' as kind from i x join i y using (t) join few using (t) where x.k < y.k union all select x.k, y.k, 'negative' from i x, i y where x.k < y.k and x.t <> y.t and abs(x.d - y.d) < greatest(x.d, y.d) * 0.02::double)
     select * from p where a % 5 <> 0
     """
 )
 def label_candidates(spark, sf):
-    return _label_candidates(spark, table(spark, sf, "documents").filter("doc_id < 400"))
-
-
-@query(whole("label_candidates", " where doc_id < 400"))
-def label_candidates_whole(spark, sf):
-    return _label_candidates(spark, table(spark, sf, "documents"))
-
-
-def _label_candidates(spark, documents):
+    documents = table(spark, sf, "documents")
     items = documents.select(F.col("doc_id").alias("path"), F.floor(F.col("n_chars") / 3).alias("title"), F.col("n_chars").alias("duration"))
     found = blocking.label_candidates(items, spark.createDataFrame([], "a bigint, b bigint"))
     return blocking.without_pairs(found, found.filter("a % 5 = 0").select("a", "b"))
 
 
+@query("select p_partkey, p_retailprice as duration from part where p_name like 'red%' order by p_retailprice desc, p_name || '/' || lpad(p_partkey::varchar, 12, '0') limit 9")
+def profile_longest(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("path"), F.col("p_retailprice").alias("duration"))
+    return blocking.longest(rows, "red", 9).select("p_partkey", "duration")
+
+
 @query("with p as (select p_name || '/' || p_partkey as path from part) select path from (select path, row_number() over (order by path) as r from p where path like 'red%') where (r - 1) % 7 = 0")
 def profile_sample(spark, sf):
     return blocking.strided(table(spark, sf, "part").select(F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("path")), "red", 7)
 
 
-@query("select o_orderkey as a, o_custkey as b from orders where o_orderkey % 3 <> 0 and o_custkey % 3 <> 0 and o_orderkey < 2000 and o_custkey < 2000")
+@query("select o_orderkey as a, o_custkey as b from orders where o_orderkey % 3 <> 0 and o_custkey % 3 <> 0")
 def surviving_pairs(spark, sf):
-    pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
-    return blocking.existing(pairs, spark.range(2000).filter("id % 3 <> 0").withColumnRenamed("id", "path"))
-
-
-@query(whole("surviving_pairs", " and o_orderkey < 2000 and o_custkey < 2000"))
-def surviving_pairs_whole(spark, sf):
     pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
     return blocking.existing(pairs, pairs.select(F.col("a").alias("path")).union(pairs.select("b")).filter("path % 3 <> 0"))
 

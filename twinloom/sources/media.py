@@ -86,6 +86,34 @@ def featurise(files: DataFrame, make: Callable[[], Featuriser], columns: str) ->
     return files.select("path").distinct().mapInPandas(run, StructType.fromDDL(f"path string, {columns}, error string"))
 
 
+def featurise_batches(files: DataFrame, make: Callable[[], Callable[[list[str]], list[dict]]], columns: str, rows: int = 256) -> DataFrame:
+    """As featurise, for models that are fed batches: `make` gives a function from up to `rows` paths to as many features. A batch
+    that fails is run path by path, so that only the failing files are reported."""
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(columns)
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        extract = make()
+        for batch in batches:
+            paths = batch["path"].tolist()
+            for part in (paths[i : i + rows] for i in range(0, len(paths), rows)):
+                found = []
+                try:
+                    found = [{"path": p, **x, "error": None} for p, x in zip(part, extract(part), strict=True)]
+                except Exception:  # one of them, or the batch as such
+                    for path in part:
+                        try:
+                            found.append({"path": path, **extract([path])[0], "error": None})
+                        except Exception as e:
+                            found.append({"path": path, "error": f"{type(e).__name__}: {e}"})
+                yield pd.DataFrame(found, columns=["path", *fields.names, "error"]).astype(object).where(lambda d: d.notna(), None)
+
+    return files.select("path").distinct().mapInPandas(run, StructType.fromDDL(f"path string, {columns}, error string"))
+
+
 def label_sheet(matches: DataFrame, quotas: dict[str, int]) -> DataFrame:
     """Pairs to label: per verdict the most confident ones, up to its quota; ties by pair."""
     out = None
