@@ -197,6 +197,13 @@ def test_places_in_a_block_do_not_depend_on_the_order_of_arrival():
         assert [(r["id"], r["body"]) for r in in_order(table, "body").to_pylist()] == want
 
 
+def test_blocks_of_short_texts_only(spark):
+    """No block has a window or span to send."""
+    rows = [(i, f"t{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, DDL)
+    assert cut_rows(df) == plain_cut(rows) and span_rows(df) == plain_spans(rows)
+
+
 def test_cut_of_nothing(spark):
     assert cut_rows(spark.createDataFrame([], DDL)) == []
 

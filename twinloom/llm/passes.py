@@ -55,7 +55,7 @@ def send(number: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width:
     own = bucket_of(keys, buckets)
     owners, lows = np.unique(own, return_index=True)
     packed = np.ascontiguousarray(mix(keys).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    rows = [(int(o), packed[a:b].tobytes(), counts[a:b].tobytes()) for o, a, b in zip(owners, lows, np.append(lows[1:], len(keys)), strict=True)]
+    rows = [(int(o), packed[a:b].tobytes(), counts[a:b].tobytes()) for o, a, b in zip(owners, lows, [*lows[1:], len(keys)][: len(lows)], strict=True)]
     return pa.table({"bucket": pa.array([x[0] for x in rows], pa.int64()), "blk": pa.array([number] * len(rows), pa.int64()), "keys": binary([x[1] for x in rows]), "counts": binary([x[2] for x in rows])})
 
 
