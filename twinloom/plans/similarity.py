@@ -216,13 +216,23 @@ def scene_dtw(spark, sf):
     return align.align_scenes(pairs, cuts, TH).select("a", "b", "scenes.*")
 
 
-@query()
+@query(
+    """
+    with items as (select path, x, row_number() over (partition by path order by ts, x) - 1 as i from (select user_id % 20 as path, ts, (event_id * 2654435761) % 4294967296 as x from events)),
+    ends as (select path, count(*) as m from items group by path),
+    s as (select a.path as a, b.path as b, b.i - a.i as off, count(*) as n, sum(bit_count(xor(a.x, b.x))) as bits from items a join items b on a.path < b.path and b.i - a.i between -2400 and 2400 group by all),
+    r as (select *, 1 - bits / (32.0::double * n) as sim from s where n >= 64),
+    best as (select * from (select *, row_number() over (partition by a, b order by sim desc, off) as k from r) where k = 1 and sim > 0)
+    select x.path as a, y.path as b, round(coalesce(sim, 0.0), 9) as score, coalesce(off / 8.0::double, 0.0) as offset_s, round(coalesce(n / least(x.m, y.m)::double, 0.0), 9) as coverage
+    from ends x join ends y on x.path < y.path left join best on best.a = x.path and best.b = y.path
+    """
+)
 def audio_fft(spark, sf):
-    """Offset search by cross-correlation; the tests hold it against the relational form."""
+    """Offset search by cross-correlation; the oracle is the relational form."""
     items = table(spark, sf, "events").select((F.col("user_id") % 20).alias("path"), "ts", (F.col("event_id") * 2654435761 % 4294967296).alias("x"))
     prints = items.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "x"))), lambda s: s["x"]).alias("audio_fp"))
     pairs = prints.select(F.col("path").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("b")).filter("a < b").join(prints.select(F.col("path").alias("b")), "b", "left_semi").select("a", "b")
-    return align.align_audio(pairs, prints, TH.override(min_overlap_s=8.0)).select("a", "b", "audio.score", "audio.offset_s", "audio.coverage")
+    return align.align_audio(pairs, prints, TH.override(min_overlap_s=8.0)).select("a", "b", F.round("audio.score", 9).alias("score"), "audio.offset_s", F.round("audio.coverage", 9).alias("coverage"))
 
 
 _SIGNALS_SQL = """
