@@ -190,6 +190,20 @@ def longer_fingerprint(first: Column, again: Column) -> Column:
     return F.when(F.coalesce(F.size(again), F.lit(0)) > F.coalesce(F.size(first), F.lit(0)), again).otherwise(first)
 
 
+#: Samples a second that fingerprints are made from.
+FINGERPRINT_RATE = 11025
+
+
+def mono_samples(samples: Column, channels: Column, rate: Column, target: int = FINGERPRINT_RATE) -> Column:
+    """Interleaved samples as one channel at the target rate, for a fingerprint where the tool can't read the file itself: the mean
+    of the channels, rounded down, at the nearest earlier moment."""
+    frames = F.floor(F.size(samples) / channels).cast("int")
+    n = F.floor(frames.cast("long") * target / rate).cast("int")
+    at = lambda i: (F.floor(i.cast("long") * rate / target) * channels).cast("int")
+    mean = lambda i: F.floor(F.aggregate(F.slice(samples, at(i) + 1, channels), F.lit(0).cast("long"), lambda a, x: a + x) / channels)
+    return F.when(n <= 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), mean))
+
+
 def alignment_from_json(body: Column) -> Column:
     """Stored evidence of an alignment: unknown fields are left out, missing ones and empty evidence count as zero."""
     found = F.from_json(body, schema.ALIGNMENT)

@@ -255,3 +255,46 @@ def features_in_batches(spark, sf):
 
     found = media.featurise_batches(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("path")), make, "n long", 4)
     return found.join(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("path"), F.length("n_name").cast("long").alias("m")), "path").select("path", F.coalesce("n", "m").alias("n"), "error")
+
+
+@query("select p_partkey, case when p_partkey % 5 = 0 then 0 else 3 end as n, case when p_partkey % 5 = 0 then null else p_partkey + (4294967296 - p_size) + 7 end as total from part")
+def fingerprint_lines(spark, sf):
+    """Output of the fingerprint tool: unsigned numbers, some written as negative ones; without the line there are none."""
+    line = F.concat(F.lit("DURATION=10\nFINGERPRINT="), F.col("p_partkey").cast("string"), F.lit(",-"), F.col("p_size").cast("string"), F.lit(",7\n"))
+    rows = table(spark, sf, "part").select("p_partkey", S.parse_fingerprint(F.when(F.col("p_partkey") % 5 == 0, "DURATION=10").otherwise(line)).alias("fp"))
+    total = F.when(F.size("fp") > 0, F.aggregate("fp", F.lit(0).cast("long"), lambda a, x: a + x))
+    return longs(rows.select("p_partkey", F.size("fp").alias("n"), total.alias("total")), "n")
+
+
+@query("select p_partkey, (10 * 11025) // 22050 as n, p_size + p_partkey + (case when (p_size + p_partkey) % 2 = 0 then 0 else -1 end) as twice_first from part")
+def mono_pcm(spark, sf):
+    """Ten stereo frames at twice the target rate."""
+    samples = F.flatten(F.array_repeat(F.array(F.col("p_size").cast("long"), F.col("p_partkey").cast("long")), 10))
+    rows = table(spark, sf, "part").select("p_partkey", S.mono_samples(samples, F.lit(2), F.lit(22050)).alias("x"))
+    return longs(rows.select("p_partkey", F.size("x").alias("n"), (F.col("x")[0] * 2).alias("twice_first")), "n")
+
+
+@query("select o_orderkey::varchar as path_a, o_custkey::varchar as path_b, case when o_orderkey % 2 = 0 then 'same' else 'different' end as label from orders")
+def labels_round_trip(spark, sf):
+    """Labelled pairs written as a CSV report and read again."""
+    where = scratch_path(spark, "labels")
+    k = F.col("o_orderkey")
+    media.write_report(table(spark, sf, "orders").select(k.cast("string").alias("path_a"), F.col("o_custkey").cast("string").alias("path_b"), F.when(k % 2 == 0, "same").otherwise("different").alias("label")), where, "csv")
+    return media.labelled_pairs(spark, where)
+
+
+@query("select o_orderkey, abs((o_orderkey % 100) - (o_custkey % 100)) <= greatest(2.0::double, (o_orderkey % 100) * 0.02::double) as ok from orders")
+def repair_accepted(spark, sf):
+    """Whether a remuxed file is as long as the original."""
+    return table(spark, sf, "orders").select("o_orderkey", store.repair_accepted((F.col("o_orderkey") % 100).cast("double"), (F.col("o_custkey") % 100).cast("double")).alias("ok"))
+
+
+@query(f"with {_FILES_SQL} select path, size, mtime from f where feature_version = 'v1'")
+def files_migrated(spark, sf):
+    """A files table of an older version, with fewer columns, brought to the present ones."""
+    s = _store(spark)
+    own = files(spark, sf).filter("feature_version = 'v1'")
+    own.select("path", "mtime", "size").write.parquet(f"{s.root}/files/v-old")
+    s._claim("files", 1, "v-old")
+    changed = s.migrate()
+    return s.read("files").filter(F.lit("files" in changed) & F.col("global_vec").isNull()).select("path", "size", "mtime")
