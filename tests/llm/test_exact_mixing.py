@@ -71,6 +71,18 @@ def test_index_takes_batches(spark):
     assert "PushedFilters: [In(digest" in found._jdf.queryExecution().toString() or "In(digest" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_batches_are_probed_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SENT_FILTERS", 4)
+    index = exact_dedup.MergeIndex(spark)
+    for b in range(3):
+        index.append(spark.createDataFrame([(10 * b + i, f"text {(b + 1) * i}") for i in range(10)], "doc_id long, text string"))
+    want = {}
+    for b in range(3):
+        for i in range(10):
+            want.setdefault((b + 1) * i, []).append(10 * b + i)
+    assert sorted((r.best.id, r.n) for r in index.compact().collect()) == sorted((min(x), len(x)) for x in want.values())
+
+
 def test_only_entries_that_the_filters_find_are_merged(spark):
     index = exact_dedup.MergeIndex(spark)
     rows = [(i, f"text {i % 900}") for i in range(1000)]

@@ -107,10 +107,11 @@ def bits_of(wanted: DataFrame, key: str, *by: str) -> DataFrame:
     return wanted.select(*by, bucket.alias("_f_bucket"), bit.alias("_f_bit")).groupBy(*by, "_f_bucket").agg(F.bitmap_construct_agg("_f_bit").alias("_f_bits"))
 
 
-def in_bits(rows: DataFrame, key: str, bits: DataFrame, *by: str) -> DataFrame:
-    """Rows with `_found`: whether their key may be in the filter. Only the filter is broadcast."""
+def in_bits(rows: DataFrame, key: str, bits: DataFrame, *by: str, send: bool = True) -> DataFrame:
+    """Rows with `_found`: whether their key may be in the filter. Only the filter is broadcast; send: whether it is, which is for
+    the caller to say where there is one for each of many values of `by`."""
     bucket, bit = _slot(F.col(key))
-    found = rows.withColumn("_f_bucket", bucket).withColumn("_f_bit", bit).join(F.broadcast(bits), [*by, "_f_bucket"], "left")
+    found = rows.withColumn("_f_bucket", bucket).withColumn("_f_bit", bit).join(F.broadcast(bits) if send else bits, [*by, "_f_bucket"], "left")
     byte = F.conv(F.hex(F.substring(F.col("_f_bits"), F.expr("cast(_f_bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (F.col("_f_bit") % 8).cast("int")) == 1, F.lit(False))
     return found.select(*[rows[c] for c in rows.columns], hit.alias("_found"))

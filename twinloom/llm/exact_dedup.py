@@ -33,6 +33,8 @@ from .common import SALTS, bits_of, in_bits, materialise, maybe_in, salt_mask, s
 
 #: Runs that a batch is flushed to.
 MEMTABLES = 4
+#: Filters (4 MB each) that are broadcast at most; the runs of more batches are joined to theirs by a shuffle.
+SENT_FILTERS = 8
 
 
 def digest_of(norm: Column) -> Column:
@@ -72,10 +74,10 @@ class MergeIndex:
     def compact(self) -> DataFrame:
         """Per digest: winner, members, and the salts under which its members stand."""
         runs, filters = _union(self.runs), _union(self.filters)
-        # the filters of all other runs, for each run; at most MEMTABLES * 4 MB a batch are read, a run's own 4 MB sent
+        # the filters of all other runs, for each run: 4 MB each
         names = filters.select(F.col("run").alias("for")).distinct()
         others = filters.join(F.broadcast(names), F.col("run") != F.col("for")).groupBy("for", "_f_bucket").agg(F.bitmap_or_agg("_f_bits").alias("_f_bits")).withColumnRenamed("for", "run")
-        probed = in_bits(runs, "digest", others, "run")
+        probed = in_bits(runs, "digest", others, "run", send=len(self.runs) * MEMTABLES <= SENT_FILTERS)
         single = probed.filter("not _found").select("digest", "best", "n", "mask")
         merged = probed.filter("_found").groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
         return single.union(merged).select("digest", "best", "n", salts_in("mask").alias("salts"))

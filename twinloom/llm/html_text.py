@@ -60,16 +60,18 @@ SCOPE = frozenset("html body article section div main table td th ul ol dl form
 MARKUP = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?")
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 TOKEN = re.compile(r"[a-z0-9]+")
+ARTICLE, TITLE = 1, 2
 #: No element's name: a block of the text that lies directly in an element.
 RUN = "#run"
 
 
 class Node:
-    __slots__ = ("attributes", "children", "density", "density_sum", "chars", "inside", "link_chars", "link_tags", "ordinary", "parent", "tag", "tags")
+    __slots__ = ("attributes", "children", "density", "density_sum", "chars", "holds", "inside", "link_chars", "link_tags", "ordinary", "parent", "tag", "tags")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
         self.inside = self.ordinary = False  # inside of an article; named by an ordinary word
+        self.holds = 0  # ARTICLE, TITLE: what is below
 
 
 def parse(page: str) -> Node:
@@ -179,28 +181,26 @@ def _beside(node: Node) -> bool:
     if tag in HEADINGS:
         words -= {"header", "masthead"}
     elif tag == "header" or words & {"header", "masthead"}:
-        if not (node.inside and _holds(node, ("h1", "h2"))):
+        if not (node.inside and node.holds & TITLE):
             return True
         words -= {"header", "masthead"}
-    if not words & (SIDE_WORDS | ORDINARY_WORDS) or _holds(node, ("article", "main")):
+    if not words & (SIDE_WORDS | ORDINARY_WORDS) or node.holds & ARTICLE:
         return False
     node.ordinary = not words & SIDE_WORDS
     return not node.ordinary
 
 
-def _holds(node: Node, tags: tuple[str, ...]) -> bool:
-    todo = [node]
-    while todo:
-        for x in todo.pop().children:
+def _note_contents(root: Node) -> None:
+    """Notes for every element whether an article or a title is below it, in one pass."""
+    for node in reversed(_below(root)):
+        for x in node.children:
             if not isinstance(x, str):
-                if x.tag in tags:
-                    return True
-                todo.append(x)
-    return False
+                node.holds |= x.holds | (ARTICLE if x.tag in ("article", "main") else TITLE if x.tag in ("h1", "h2") else 0)
 
 
 def _pruned(root: Node) -> list[Node]:
     """Cuts out what is never article text; all remaining elements, parents first."""
+    _note_contents(root)
     order, todo = [], [root]
     while todo:
         node = todo.pop()
