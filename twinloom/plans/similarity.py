@@ -207,13 +207,34 @@ def video_dp(spark, sf):
     return align.align_pairs(pairs, both, TH, fps=0.5).select("a", "b", "video.*")
 
 
-@query()
+@query(
+    """
+    with recursive cuts as (select user_id % 60 as p, epoch_us(ts) / 1e6 as t from events),
+    gaps as (select p, i, greatest(g, 0.0) as g from (select p, row_number() over (partition by p order by t) - 1 as i, t - lag(t) over (partition by p order by t) as g from cuts) where g is not null),
+    sizes as (select p, count(*) as c from gaps group by p),
+    ends as (select distinct p as a, (p + 1) % 60 as b from cuts),
+    pairs as (select * from (select a, b, x.c as n, y.c as m, cast(greatest(25, ceil(0.2::double * greatest(x.c, y.c))) as bigint) as band from ends join sizes x on x.p = a join sizes y on y.p = b) where abs(n - m) <= band),
+    dp as (
+      select a, b, n, m, band, cast(1 as bigint) as i, j, total - 0.2::double as v from (
+        select *, sum(cost + 0.2::double) over (partition by a order by j) as total from (
+          select a, b, n, m, band, y.i as j, least(1.0::double, abs(x.g - y.g) / (x.g + y.g + 1e-6)) as cost from pairs join gaps x on x.p = a and x.i = 1 join gaps y on y.p = b and y.i <= 1 + band))
+      union all
+      select a, b, n, m, band, i, j, total + min(enter - total) over (partition by a order by j) as v from (
+        select *, sum(cost + 0.2::double) over (partition by a order by j) as total from (
+          select q.a, q.b, q.n, q.m, q.band, q.i, q.j, least(1.0::double, abs(x.g - y.g) / (x.g + y.g + 1e-6)) as cost, least(1.0::double, abs(x.g - y.g) / (x.g + y.g + 1e-6)) + q.c as enter from (
+            select a, b, n, m, band, i + 1 as i, j + o as j, min(v + case when o = 0 then 0.2::double else 0.0 end) as c from dp, (values (0), (1)) as s(o) where i < n group by all
+          ) q join gaps x on x.p = q.a and x.i = q.i join gaps y on y.p = q.b and y.i = q.j where q.j between greatest(1, q.i - q.band) and least(q.m, q.i + q.band)))
+    )
+    select ends.a::varchar as a, ends.b::varchar as b, round(case when v is null then 0.0 else greatest(0.0, least(1.0, 1 - v / greatest(n, m))) end, 6) as score, round(coalesce(least(n, m) / greatest(n, m)::double, 0.0), 6) as coverage
+    from ends left join (select * from dp where i = n and j = m) d on d.a = ends.a
+    """
+)
 def scene_dtw(spark, sf):
     """Event times of users against the next user's, as cut times."""
     e = table(spark, sf, "events").select((F.col("user_id") % 60).cast("string").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     cuts = e.groupBy("path").agg(F.sort_array(F.collect_list("t")).alias("scene_cuts"))
     pairs = cuts.select(F.col("path").alias("a"), ((F.col("path").cast("int") + 1) % 60).cast("string").alias("b"))
-    return align.align_scenes(pairs, cuts, TH).select("a", "b", "scenes.*")
+    return align.align_scenes(pairs, cuts, TH).select("a", "b", F.round("scenes.score", 6).alias("score"), F.round("scenes.coverage", 6).alias("coverage"))
 
 
 @query(
