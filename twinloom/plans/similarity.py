@@ -195,7 +195,44 @@ def superset(spark, sf):
     return e.select("k", r.alias("r")).select("k", "r.dir", F.round("r.extra", 9).alias("extra"), "r.edition")
 
 
-@query()
+@query(
+    """
+    with recursive f as (select label as path, row_number() over (partition by label order by vec_id) - 1 as k, cast(embedding as double[]) as v from embeddings),
+    spliced as (
+      select (path + 1) % 10 as path, k as pos, v from f where k < 10 union all select path, k + 10 + case when k >= 20 then 12 else 0 end, v from f
+      union all select (path + 1) % 10, k + 10, v from f where k between 20 and 31
+    ),
+    b as (select path, row_number() over (partition by path order by pos) - 1 as k, v from spliced),
+    sizes as (select x.path, x.c as na, y.c as nb from (select path, count(*) as c from f group by 1) x join (select path, count(*) as c from b group by 1) y using (path)),
+    sims as (select x.path, x.k as i, y.k as j, list_dot_product(x.v, y.v) as sim from f x join b y using (path) where y.k - x.k between -150 and 150),
+    dp as (
+      select path, na, nb, cast(-1 as bigint) as i, d, 0.0::double as v, cast(null as struct(n bigint, s double, fa bigint, fb bigint, la bigint, lb bigint, ga bigint, gb bigint)) as c
+      from sizes, unnest(range(-150, 151)) as t(d)
+      union all
+      select path, na, nb, i, d, case when jump then reach else r end as v, (last_value(case when not jump then {'x': own} end ignore nulls) over (partition by path order by d rows between unbounded preceding and current row)).x as c
+      from (select *, coalesce(sim is not null and reach > r + 1e-6, false) as jump from (
+        select *, max(r + 0.3::double * (d + 150)) over (partition by path order by d rows between unbounded preceding and 1 preceding) - 0.3::double * (d + 150) as reach from (
+          select *, case way when 1 then diagonal when 2 then above else 0.0 end as r,
+            case way when 1 then case when c is null then {'n': 1, 's': sim, 'fa': i, 'fb': i + d, 'la': i, 'lb': i + d, 'ga': 0, 'gb': 0}
+              else {'n': c.n + 1, 's': c.s + sim, 'fa': c.fa, 'fb': c.fb, 'la': i, 'lb': i + d, 'ga': c.ga + case when i - c.la - 1 >= 5 then i - c.la - 1 else 0 end, 'gb': c.gb + case when i + d - c.lb - 1 >= 5 then i + d - c.lb - 1 else 0 end} end
+              when 2 then uc end as own
+          from (select *, case when sim is null then 0 when coalesce(above, -1.0) > greatest(diagonal, 0.0) then 2 when diagonal > 0 then 1 else 0 end as way from (
+            select q.path, q.na, q.nb, q.i, q.d, q.c, q.uc, s.sim, q.v + s.sim - 0.5::double as diagonal, q.uv - 0.3::double as above
+            from (select path, na, nb, i + 1 as i, d, v, c, lead(v) over (partition by path order by d) as uv, lead(c) over (partition by path order by d) as uc from dp where i + 1 < na) q
+            left join sims s on s.path = q.path and s.i = q.i and s.j = q.i + q.d)))))
+    ),
+    best as (select * from (select *, row_number() over (partition by path order by v desc, i, d) as k from dp where v > 0) where k = 1),
+    spans as (select path, na, nb, c.n as n, c.s / c.n as score, (c.fb - c.fa) / 0.5::double as offset_s, c.n / least(na, nb)::double as coverage, c.la - c.fa + 1 as sa, c.lb - c.fb + 1 as sb, c.ga as ga, c.gb as gb from best),
+    ways as (select *, case when n >= 0.9::double * greatest(sa, sb) then case when sa / na::double >= 0.9::double and nb - sb > na - sa then 1 when sb / nb::double >= 0.9::double and na - sa > nb - sb then -1 else 0 end else 0 end as way from spans),
+    extras as (select *, case way when 1 then (nb - sb) / nb::double when -1 then (na - sa) / na::double else 0.0 end as extra, case when nb >= na then gb else ga end as foreign_ from ways),
+    found as (select *, way <> 0 and extra >= 0.08::double as super from extras)
+    select 'a' || s.path as a, 'b' || s.path as b, round(coalesce(score, 0.0), 6) as score, coalesce(offset_s, 0.0) as offset_s, round(coalesce(coverage, 0.0), 6) as coverage, coalesce(super, false) as superset,
+      case when super then way else 0 end as superset_dir, round(coalesce(extra, 0.0), 6) as extra_ratio,
+      round(case when super or coalesce(foreign_, 0) = 0 then 0.0 else foreign_ / greatest(s.na, s.nb)::double end, 6) as interleaved_ratio,
+      case when super or coalesce(foreign_, 0) = 0 then 0 when s.nb >= s.na then 1 else -1 end as ad_dir
+    from sizes s left join found using (path)
+    """
+)
 def video_dp(spark, sf):
     """Files against themselves with ten frames of another file put before and a block put in after frame 20."""
     f = frames(spark, sf).select("path", "frame_no", "vec")
@@ -204,7 +241,8 @@ def video_dp(spark, sf):
     spliced = head.union(f.select("path", (F.col("frame_no") + 10 + F.when(F.col("frame_no") >= 20, 12).otherwise(0)).alias("frame_no"), "vec")).union(other.filter("frame_no between 20 and 31").select("path", (F.col("frame_no") + 10).alias("frame_no"), "vec"))
     both = f.withColumn("path", F.concat(F.lit("a"), "path")).union(spliced.withColumn("path", F.concat(F.lit("b"), "path")))
     pairs = f.select(F.concat(F.lit("a"), "path").alias("a"), F.concat(F.lit("b"), "path").alias("b")).distinct()
-    return align.align_pairs(pairs, both, TH, fps=0.5).select("a", "b", "video.*")
+    found = align.align_pairs(pairs, both, TH, fps=0.5).select("a", "b", "video.*")
+    return longs(found.withColumns({c: F.round(c, 6) for c in ("score", "coverage", "extra_ratio", "interleaved_ratio")}), "superset_dir", "ad_dir")
 
 
 @query(
