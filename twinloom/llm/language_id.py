@@ -19,6 +19,7 @@ predicted; an empty table gives an empty result; other columns of the input are
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -67,10 +68,11 @@ class Model:
     A token's log posterior is the same for all languages without it but for their sizes, so a row holds what its own languages
     have above that, and the sum that makes it a distribution."""
 
-    def __init__(self, languages: list[str], counts: dict[int, tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """counts: order (0: whole words) -> distinct tokens, and occurrences as (place of the token, place of the language, number)."""
+    def __init__(self, languages: list[str], counts: dict[int, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """counts: order (0: whole words) -> distinct tokens, and occurrences as (place of the token, place of the language, number).
+        Tokens stay packed until they are looked up, which is in the workers only."""
         self.languages = sorted(languages)
-        self.tables: dict[int, dict[str, int]] = {}
+        self.tokens: dict[int, tuple[pa.Array, int]] = {}
         self.base: dict[int, np.ndarray] = {}
         starts, langs, gains, norms, at, filled = [], [], [], [], 0, 0
         for order, (tokens, rows, own, n) in counts.items():
@@ -83,7 +85,7 @@ class Model:
             # log of the sum over all languages: what all have anyway, and what the token's own have beyond that
             more = np.bincount(rows, n / whole[own] if len(own) else n, len(tokens))
             norms.append(np.log(np.exp(base).sum() + more) if len(tokens) else np.zeros(0))
-            self.tables[order] = dict(zip(tokens, range(at, at + len(tokens)), strict=True))
+            self.tokens[order] = pa.array(tokens, pa.string()) if isinstance(tokens, list) else tokens, at
             self.base[order] = base
             starts.append(np.searchsorted(rows, np.arange(len(tokens))) + filled)
             langs.append(own.astype(np.int32)), gains.append(gain.astype(np.float32))
@@ -93,6 +95,14 @@ class Model:
         self.starts = np.append(joined(starts, np.int64), filled)
         self.langs, self.gains, self.norms = joined(langs, np.int32), joined(gains, np.float32), joined(norms, np.float64)
 
+    @functools.cached_property
+    def tables(self) -> dict[int, dict[str, int]]:
+        """The row of every token, by order."""
+        return {order: dict(zip(tokens.to_pylist(), range(at, at + len(tokens)), strict=True)) for order, (tokens, at) in self.tokens.items()}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
     def _found(self, word: str) -> tuple[list[int], float, int]:
         """Rows that stand for a word, their weight and order: its own, or those of its known n-grams of the longest order with any."""
         if (i := self.tables[0].get(word)) is not None:
@@ -166,7 +176,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     found = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     languages = sorted(r["lang"] for r in found.collect())
     if not languages:
-        return Model([], {k: ([], *[np.zeros(0, np.int64)] * 3) for k in (0, *ORDERS)})
+        return Model([], {k: (pa.array([], pa.string()), *[np.zeros(0, np.int64)] * 3) for k in (0, *ORDERS)})
     most = max(1, min(max_train_docs, max_train_rows // len(languages)))
     share = F.broadcast(found.select(F.col("lang").alias("_lang"), (F.lit(float(most)) / F.col("n")).alias("_share")))
     picked = rows.join(share, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
@@ -174,7 +184,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     words = spread(picked.select("lang", "text")).select("lang", F.explode(cut).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
     words = materialise(words, "words")
     counts = {order: _columns((_grams_of(words, order) if order else words).select("lang", "token", "n").toArrow(), languages) for order in (0, *ORDERS)}
-    return Model(languages, counts)
+    model = Model(languages, counts)
+    del counts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _grams_of(words: DataFrame, order: int) -> DataFrame:
@@ -184,14 +197,14 @@ def _grams_of(words: DataFrame, order: int) -> DataFrame:
     return marked.select("lang", F.explode(parts).alias("token"), "n").groupBy("lang", "token").agg(F.sum("n").alias("n"))
 
 
-def _columns(table: pa.Table, languages: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _columns(table: pa.Table, languages: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens, and the rows as (place of the token, place of the language, number)."""
     import pyarrow.compute as pc
 
     tokens = pc.unique(table.column("token"))
     rows = pc.index_in(table.column("token"), tokens).to_numpy()
     own = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy()
-    return tokens.to_pylist(), rows.astype(np.int64), own.astype(np.int64), table.column("n").to_numpy().astype(np.float64)
+    return tokens, rows.astype(np.int64), own.astype(np.int64), table.column("n").to_numpy().astype(np.float64)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
