@@ -19,7 +19,6 @@ predicted; an empty table gives an empty result; other columns of the input are
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
@@ -28,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,76 +62,89 @@ def grams(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
+def _hashes(tokens: list[str], seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in tokens), np.uint64, len(tokens))
+
+
 class Model:
     """Vectors of words and n-grams over the languages, in sorted order.
 
     A token's log posterior is the same for all languages without it but for their sizes, so a row holds what its own languages
-    have above that, and the sum that makes it a distribution."""
+    have above that, and the sum that makes it a distribution. Tokens are kept as sorted 64-bit hashes, under a seed that gives each of an
+    order its own; a word that the model does not know is taken for a known one once in 10^13 words or so."""
 
-    def __init__(self, languages: list[str], counts: dict[int, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """counts: order (0: whole words) -> distinct tokens, and occurrences as (place of the token, place of the language, number).
-        Tokens stay packed until they are looked up, which is in the workers only."""
+    def __init__(self, languages: list[str], counts: dict[int, tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """counts: order (0: whole words) -> distinct tokens, and occurrences as (place of the token, place of the language, number)."""
         self.languages = sorted(languages)
-        self.tokens: dict[int, tuple[pa.Array, int]] = {}
+        self.seed, hashed = 0, {k: _hashes(x[0], 0) for k, x in counts.items()}
+        while any(len(np.unique(h)) < len(h) for h in hashed.values()):
+            self.seed += 1
+            hashed = {k: _hashes(x[0], self.seed) for k, x in counts.items()}
+        self.keys: dict[int, tuple[np.ndarray, int]] = {}
         self.base: dict[int, np.ndarray] = {}
         starts, langs, gains, norms, at, filled = [], [], [], [], 0, 0
         for order, (tokens, rows, own, n) in counts.items():
             totals = np.bincount(own, n, len(self.languages))
             whole = totals + SMOOTHING * (len(tokens) + 1)
             base = np.log(SMOOTHING / whole) if len(self.languages) else np.zeros(0)
+            by_hash = np.argsort(hashed[order])
+            place = np.empty(len(tokens), np.int64)
+            place[by_hash] = np.arange(len(tokens))
+            rows = place[rows]
             ranked = np.lexsort((own, rows))
             rows, own, n = rows[ranked], own[ranked], n[ranked]
-            gain = np.log((n + SMOOTHING) / SMOOTHING)
             # log of the sum over all languages: what all have anyway, and what the token's own have beyond that
             more = np.bincount(rows, n / whole[own] if len(own) else n, len(tokens))
             norms.append(np.log(np.exp(base).sum() + more) if len(tokens) else np.zeros(0))
-            self.tokens[order] = pa.array(tokens, pa.string()) if isinstance(tokens, list) else tokens, at
+            self.keys[order] = hashed[order][by_hash], at
             self.base[order] = base
             starts.append(np.searchsorted(rows, np.arange(len(tokens))) + filled)
-            langs.append(own.astype(np.int32)), gains.append(gain.astype(np.float32))
+            langs.append(own.astype(np.int32)), gains.append(np.log((n + SMOOTHING) / SMOOTHING).astype(np.float32))
             at += len(tokens)
             filled += len(rows)
         joined = lambda parts, kind: np.concatenate([np.asarray(p, kind) for p in parts]) if parts else np.zeros(0, kind)
         self.starts = np.append(joined(starts, np.int64), filled)
         self.langs, self.gains, self.norms = joined(langs, np.int32), joined(gains, np.float32), joined(norms, np.float64)
 
-    @functools.cached_property
-    def tables(self) -> dict[int, dict[str, int]]:
-        """The row of every token, by order."""
-        return {order: dict(zip(tokens.to_pylist(), range(at, at + len(tokens)), strict=True)) for order, (tokens, at) in self.tokens.items()}
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "tables"}
-
-    def _found(self, word: str) -> tuple[list[int], float, int]:
-        """Rows that stand for a word, their weight and order: its own, or those of its known n-grams of the longest order with any."""
-        if (i := self.tables[0].get(word)) is not None:
-            return [i], 1.0, 0
-        weight = BACKOFF
-        for order in ORDERS:
-            get = self.tables[order].get
-            known = [i for g in grams(word, order) if (i := get(g)) is not None]
-            if known:
-                return known, weight, order
-            weight *= BACKOFF
-        return [], 0.0, 0
+    def rows(self, order: int, tokens: list[str]) -> np.ndarray:
+        """The rows of tokens of an order, -1 for those that are not known."""
+        keys, first = self.keys[order]
+        hashes = _hashes(tokens, self.seed)
+        if not len(keys):
+            return np.full(len(tokens), -1)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, at + first, -1)
 
     def vectors(self, words: list[str]) -> np.ndarray:
-        """One row per word: the weighted mean of the rows that stand for it, zeros if there are none."""
-        k = len(self.languages)
-        found = [self._found(w) for w in words]
-        sizes = np.array([len(x) for x, _, _ in found], np.int64)
-        flat = np.array([i for x, _, _ in found for i in x], np.int64)
+        """One row per word: the weighted mean of the rows that stand for it, zeros if there are none. A known word stands for itself;
+        another one goes by its known n-grams of the longest order with any."""
+        n, k = len(words), len(self.languages)
+        found = self.rows(0, words)
+        rest = np.flatnonzero(found < 0)
+        flat, owner = [found[found >= 0]], [np.flatnonzero(found >= 0)]
+        weight, orders, own_weight = (found >= 0).astype(np.float64), np.zeros(n, np.int64), BACKOFF
+        for order in ORDERS:
+            if not len(rest):
+                break
+            parts = [grams(words[i], order) for i in rest.tolist()]
+            held = np.repeat(rest, [len(x) for x in parts])
+            found = self.rows(order, [g for x in parts for g in x])
+            flat.append(found[found >= 0]), owner.append(held[found >= 0])
+            got = np.unique(owner[-1])
+            weight[got], orders[got] = own_weight, order
+            rest = np.setdiff1d(rest, got, assume_unique=True)
+            own_weight *= BACKOFF
+        flat, owner = np.concatenate(flat), np.concatenate(owner)
         if not len(flat):
-            return np.zeros((len(words), k), np.float32)
-        owner = np.repeat(np.arange(len(words)), sizes)
-        share = np.array([w for _, w, _ in found])[owner] / sizes[owner]
+            return np.zeros((n, k), np.float32)
+        share = (weight / np.maximum(1, np.bincount(owner, minlength=n)))[owner]
         begin, wide = self.starts[flat], self.starts[flat + 1] - self.starts[flat]
         place = np.repeat(begin - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
-        out = np.bincount(np.repeat(owner * k, wide) + self.langs[place], np.repeat(share, wide) * self.gains[place], len(words) * k).reshape(len(words), k)
-        weight = np.bincount(owner, share, len(words))
-        out += weight[:, None] * np.stack([self.base[o] for _, _, o in found])
-        out -= np.bincount(owner, share * self.norms[flat], len(words))[:, None]
+        out = np.bincount(np.repeat(owner * k, wide) + self.langs[place], np.repeat(share, wide) * self.gains[place], n * k).reshape(n, k)
+        for order in set(orders.tolist()):
+            own = orders == order
+            out[own] += weight[own, None] * self.base[order]
+        out -= np.bincount(owner, share * self.norms[flat], n)[:, None]
         return out.astype(np.float32)
 
 
@@ -176,7 +189,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     found = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     languages = sorted(r["lang"] for r in found.collect())
     if not languages:
-        return Model([], {k: (pa.array([], pa.string()), *[np.zeros(0, np.int64)] * 3) for k in (0, *ORDERS)})
+        return Model([], {k: ([], *[np.zeros(0, np.int64)] * 3) for k in (0, *ORDERS)})
     most = max(1, min(max_train_docs, max_train_rows // len(languages)))
     share = F.broadcast(found.select(F.col("lang").alias("_lang"), (F.lit(float(most)) / F.col("n")).alias("_share")))
     picked = rows.join(share, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
@@ -197,14 +210,14 @@ def _grams_of(words: DataFrame, order: int) -> DataFrame:
     return marked.select("lang", F.explode(parts).alias("token"), "n").groupBy("lang", "token").agg(F.sum("n").alias("n"))
 
 
-def _columns(table: pa.Table, languages: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _columns(table: pa.Table, languages: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens, and the rows as (place of the token, place of the language, number)."""
     import pyarrow.compute as pc
 
     tokens = pc.unique(table.column("token"))
     rows = pc.index_in(table.column("token"), tokens).to_numpy()
     own = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy()
-    return tokens, rows.astype(np.int64), own.astype(np.int64), table.column("n").to_numpy().astype(np.float64)
+    return tokens.to_pylist(), rows.astype(np.int64), own.astype(np.int64), table.column("n").to_numpy().astype(np.float64)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
