@@ -197,6 +197,20 @@ def test_places_in_a_block_do_not_depend_on_the_order_of_arrival():
         assert [(r["id"], r["body"]) for r in in_order(table, "body").to_pylist()] == want
 
 
+@pytest.mark.parametrize("groups,parts", [(1, 1), (13, 4), (100, 7), (64, 64)])
+def test_groups_are_dealt_evenly(spark, groups, parts):
+    from twinloom.llm import common
+
+    keys = common.even_keys(groups, parts)
+    assert len(set(keys)) == groups
+    rows = spark.range(groups).withColumn("k", common.dealt(F.col("id"), keys))
+    assert [r.k for r in rows.orderBy("id").collect()] == keys
+    sizes = [r["count"] for r in rows.repartition(parts, "k").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == min(groups, parts) and max(sizes) - min(sizes) <= 1
+    some = np.array([0, 1, -1, 2**40 + 17, -(2**62)], np.int64)
+    assert common.spark_hash(some).tolist() == [r[0] for r in spark.createDataFrame([(int(x),) for x in some], "v long").select(F.hash("v")).collect()]
+
+
 def test_blocks_of_short_texts_only(spark):
     """No block has a window or span to send."""
     rows = [(i, f"t{i}") for i in range(40)]

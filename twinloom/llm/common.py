@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,47 @@ def part_count(spark: SparkSession, total_bytes: int) -> int:
     return max(2 * spark.sparkContext.defaultParallelism if total_bytes > (4 << 20) else 4, -(-int(total_bytes) // size))
 
 
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """What Spark's hash partitioning takes of 64-bit integers: 32-bit Murmur3 with seed 42."""
+    u = np.uint32
+    h = np.full(len(values), 42, u)
+    with np.errstate(over="ignore"):
+        for word in (values.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF), values.astype(np.int64).view(np.uint64) >> np.uint64(32)):
+            k = word.astype(u) * u(0xCC9E2D51)
+            k = (k << u(15) | k >> u(17)) * u(0x1B873593)
+            h ^= k
+            h = (h << u(13) | h >> u(19)) * u(5) + u(0xE6546B64)
+        h ^= u(8)
+        h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+        h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+        return (h ^ h >> u(16)).view(np.int32)
+
+
+#: Groups that are dealt evenly at most, as their keys stand in the plan; more, at some ten a partition, even out by chance.
+EVEN_GROUPS = 100_000
+
+
+def even_keys(groups: int, parts: int) -> list[int]:
+    """A key for each of the groups 0, 1, ... such that hash partitioning into `parts` deals the groups in turn: numbers whose hash falls
+    into partition 0, 1, ..., 0, 1, ... Numbers as they are would leave some partitions with several times the mean."""
+    if groups > EVEN_GROUPS:
+        return list(range(groups))
+    found: list[list[int]] = [[] for _ in range(parts)]
+    need, at = -(-groups // parts), 0
+    while any(len(x) < need for x in found):
+        tried = np.arange(at, at + 8 * parts * need + 1000, dtype=np.int64)
+        at += len(tried)
+        for p, own in zip((spark_hash(tried) % np.int32(parts)).tolist(), tried.tolist(), strict=True):
+            if len(found[p]) < need:
+                found[p].append(own)
+    return [found[g % parts][g // parts] for g in range(groups)]
+
+
+def dealt(group: Column, keys: list[int]) -> Column:
+    """The key of a group, to partition by; the table of keys is one literal."""
+    return F.element_at(F.split(F.lit(",".join(map(str, keys))), ",").cast("array<bigint>"), (group + 1).cast("int"))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts; one pass over the column."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("b")).first()["b"] or 0)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, part_count, text_bytes
+from .common import block_count, dealt, even_keys, part_count, text_bytes
 from .passes import ANSWER, SENT, answer, binary, bucket_of, flags, in_order, mix, send, width_for
 
 DEPTH = 50
@@ -303,12 +303,15 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     total = text_bytes(docs, text)
     blocks, buckets = block_count(total, *BLOCK_BYTES), block_count(total, *BUCKET_BYTES)
     parts, width = part_count(docs.sparkSession, total), width_for(total // 16)
+    n, m = min(parts, blocks), min(parts, buckets)
+    of_block, of_bucket = even_keys(blocks, n), even_keys(buckets, m)
     place = F.pmod(F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.xxhash64(text)), F.lit(blocks))
-    rows = docs.select(place.alias("blk"), F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("body")).repartition(min(parts, blocks), "blk")
-    sent = rows.groupBy("blk").applyInArrow(lambda t: _anchor_rows(t, depth, buckets, width), SENT).repartition(min(parts, buckets), "bucket")
-    again = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width, HOT), ANSWER).repartition(min(parts, blocks), "blk")
-    runs = rows.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda k, x, y: _run_rows(k, x, y, depth, buckets), RUN_SCHEMA).repartition(min(parts, buckets), "bucket")
-    marks = runs.groupBy("bucket").applyInArrow(lambda t: _marks(t, depth), "blk long, spans binary").repartition(min(parts, blocks), "blk")
+    rows = docs.select(dealt(place, of_block).alias("blk"), F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("body")).repartition(n, "blk")
+    by_bucket = lambda t: t.withColumn("slot", dealt(F.col("bucket"), of_bucket)).repartition(m, "slot").groupBy("slot")
+    sent = rows.groupBy("blk").applyInArrow(lambda t: _anchor_rows(t, depth, buckets, width), SENT)
+    again = by_bucket(sent).applyInArrow(lambda t: answer(t, width, HOT), ANSWER).repartition(n, "blk")
+    runs = rows.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda k, x, y: _run_rows(k, x, y, depth, buckets), RUN_SCHEMA)
+    marks = by_bucket(runs).applyInArrow(lambda t: _marks(t, depth), "blk long, spans binary").repartition(n, "blk")
     schema = "id long, n_bytes long, n_removed long, n_spans long, longest_removed long, n_passages long, kept_sha256 string, kept_text string" + ", kept binary" * kept_bytes
     out = rows.groupBy("blk").cogroup(marks.groupBy("blk")).applyInArrow(lambda x, y: _with_digest(_cut(x, y), kept_bytes), schema)
     return out.withColumnRenamed("id", key)
