@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, part_count, text_bytes
+from .common import block_count, dealt, even_keys, part_count, text_bytes
 from .passes import ANSWER, SENT, answer, flags, in_order, send, width_for
 
 MIN_SENTENCES = 2
@@ -140,11 +140,13 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_se
     total, how = text_bytes(docs, text), (min_sentences, min_words, both_ends)
     blocks, buckets, width = block_count(total, *BLOCK_BYTES), block_count(total, *BUCKET_BYTES), width_for(total // 64)
     parts = part_count(docs.sparkSession, total)
+    n, m = min(parts, blocks), min(parts, buckets)
+    of_block, of_bucket = even_keys(blocks, n), even_keys(buckets, m)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    base = base.select(F.when(F.col("id").isNull(), place("text")).otherwise(place("id")).alias("blk"), "id", "text").repartition(min(parts, blocks), "blk")
-    sent = base.groupBy("blk").applyInArrow(lambda t: _prints(t, buckets, width, how), SENT).repartition(min(parts, buckets), "bucket")
-    again = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width, 255), ANSWER).repartition(min(parts, blocks), "blk")
+    base = base.select(dealt(F.when(F.col("id").isNull(), place("text")).otherwise(place("id")), of_block).alias("blk"), "id", "text").repartition(n, "blk")
+    sent = base.groupBy("blk").applyInArrow(lambda t: _prints(t, buckets, width, how), SENT).withColumn("slot", dealt(F.col("bucket"), of_bucket)).repartition(m, "slot")
+    again = sent.groupBy("slot").applyInArrow(lambda t: answer(t, width, 255), ANSWER).repartition(n, "blk")
     rows = base.groupBy("blk").cogroup(again.groupBy("blk")).applyInArrow(lambda x, y: _repeated(x, y, buckets, how), SPANS)
     # read twice, dealt once: both readers ask for the same columns, and none puts a filter for nulls below the exchange
     rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.lit(0))).repartition(parts, "h1", "h2", "salt")
@@ -153,6 +155,6 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_se
     firsts = part.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("members").alias("members"), F.collect_list("salt").alias("salts")).filter("members > 1")
     firsts = firsts.select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), F.explode("salts").alias("salt"))
     later = rows.join(firsts, ["h1", "h2", "salt"]).filter((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))
-    hits = later.select("blk", "row", "at", "n").repartition(min(parts, blocks), "blk")
+    hits = later.select("blk", "row", "at", "n").repartition(n, "blk")
     out = base.groupBy("blk").cogroup(hits.groupBy("blk")).applyInArrow(_cut, "id long, text string, n_sentences long, n_removed long, removed_words long, removed_spans array<struct<first:int,n:int>>")
     return out.withColumnRenamed("id", key)
